@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, langid
 from .common import held_out
 
 
@@ -41,5 +41,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN who USING (doc_id)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 3, 1)
+    model = langid.fit(docs.where(~held))
+    found = langid.identify(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {"op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
 ORACLES = {"op2_decontaminate": OP2_SQL}
