@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid
+from . import decontam, langid, pii
 from .common import held_out
 
 
@@ -50,5 +50,54 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {"op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
-ORACLES = {"op2_decontaminate": OP2_SQL}
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [pii.count_kind("base_spans", k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base_spans")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def _op6_kind(kind: pii.Kind) -> str:
+    """CTE of the confirmed spans of one kind: doc_id, kind, start, end, context before."""
+    pattern = pii.BASE_PATTERNS.get(kind.name, kind.pattern).replace("'", "''")
+    number = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = "(list_sum([CASE WHEN i % 2 = 0 THEN CASE WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END ELSE d END FOR d, i IN [CAST(x AS INTEGER) FOR x IN string_split(reverse(digits), '')]]) % 10 = 0)"
+    good = {
+        "email": "true",
+        "ip": "list_bool_and([len(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) <= 255 FOR p IN string_split(m, '.')])",
+        "card": f"len({number}) BETWEEN 13 AND 19 AND CASE WHEN len({number}) BETWEEN 13 AND 19 THEN {luhn.replace('digits', number)} ELSE false END",
+        "phone": f"len({number}) BETWEEN 9 AND 15",
+        "iban": "len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND CAST(list_aggregate([CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ord(c) - 55 AS VARCHAR) ELSE c END FOR c IN string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], '')], 'string_agg', '') AS HUGEINT) % 97 = 1",
+        "ssn": "NOT regexp_matches(m, '^(?:000|666|9)') AND NOT regexp_matches(m, '-00-') AND NOT regexp_matches(m, '-0000$')",
+        "local_phone": "true",
+    }[kind.name]
+    touch = f"AND NOT regexp_matches(right(l, 1), '{kind.neighbours}') AND NOT regexp_matches(left(r, 1), '{kind.neighbours}')" if kind.neighbours else ""
+    near = f"AND {kind.score} + CASE WHEN regexp_matches(lower(right(l, {pii.BEFORE})), '{kind.context}') THEN 0.5 ELSE 0 END >= 0.5" if kind.name not in pii.BASE else ""
+    return f"""{kind.name} AS (
+  SELECT doc_id, '{kind.name}' AS kind, s, s + len(m) AS e FROM (
+    SELECT doc_id, m, l, r, CAST(sum(len(l)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+    FROM (SELECT doc_id, i, ms[i] AS m, ps[i] AS l, ps[i + 1] AS r FROM (
+      SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}'))))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+  WHERE {good} {touch} {near})"""
+
+
+def _op6_sql() -> str:
+    names = [k.name for k in pii.KINDS]
+    rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(names)) + " END"
+    base = " UNION ALL ".join(f"SELECT * FROM {k}" for k in pii.BASE)
+    added = " UNION ALL ".join(f"SELECT * FROM {k}" for k in names if k not in pii.BASE)
+    counts = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in pii.BASE)
+    sums = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
+    return f"""WITH {", ".join(_op6_kind(k) for k in pii.KINDS)},
+base AS ({base}),
+whole AS (SELECT * FROM base UNION ALL SELECT * FROM ({added}) a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)),
+b AS (SELECT doc_id, {sums}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {rank}, s) AS t FROM base GROUP BY doc_id),
+w AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {rank}, s) AS t FROM whole GROUP BY doc_id)
+SELECT doc_id, {counts}, sha256(coalesce(b.t, '')) AS base_sha256, coalesce(w.t, '') AS spans
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN w USING (doc_id)"""
+
+
+QUERIES = {"op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
+ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
