@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pii
-from .common import held_out
+from . import decontam, langid, pii, quality
+from .common import durable, held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,5 +99,13 @@ SELECT doc_id, {counts}, sha256(coalesce(b.t, '')) AS base_sha256, coalesce(w.t,
 FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN w USING (doc_id)"""
 
 
-QUERIES = {"op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    described = durable(quality.describe(docs, keep=["doc_id", "held_out"]))
+    model = quality.fit(described.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return quality.score(described, model)
+
+
+QUERIES = {"op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
 ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
