@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pii, quality
+from . import decontam, langid, pii, quality, simhash
 from .common import durable, held_out
 
 
@@ -107,5 +107,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(described, model)
 
 
-QUERIES = {"op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
 ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
