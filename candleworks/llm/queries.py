@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pii, quality, simhash
+from . import decontam, langid, packing, pii, quality, sharding, simhash, tokenout
 from .common import durable, held_out
 
 
@@ -113,5 +113,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
+
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each segment of the packed rows that were written."""
+    rows = tokenout.write(table(spark, sf_dir, "documents"))
+    cut = tokenout.documents(rows)
+    return cut.select("doc_id", "start", (F.octet_length("ids") / 2).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op3_shard": op3_shard, "op7_pack": op7_pack, "op9_token_rows": op9_token_rows, "op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
 ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
