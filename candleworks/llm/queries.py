@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, packing, pii, quality, sharding, simhash, tokenout
+from . import decontam, embeddings, langid, lm, packing, pii, quality, sharding, simhash, tokenout
 from .common import durable, held_out
 
 
@@ -135,5 +135,10 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
 
 
-QUERIES = {"op8_vectors": op8_vectors, "op3_shard": op3_shard, "op7_pack": op7_pack, "op9_token_rows": op9_token_rows, "op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2), keep=["doc_id"])
+
+
+QUERIES = {"op4_lm_score": op4_lm_score, "op8_vectors": op8_vectors, "op3_shard": op3_shard, "op7_pack": op7_pack, "op9_token_rows": op9_token_rows, "op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
 ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
