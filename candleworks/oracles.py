@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CANDLES
+from .queries import CANDLES, PLACES
 
 BARS = """ticks AS (
   SELECT event_type AS symbol, ts, event_id, 1 + event_id % 97 AS volume,
@@ -67,8 +67,8 @@ CANDLE_STEPS = f"""f1 AS (SELECT *, (Open + Close) / 2 AS body_mid, (Close - Ope
 f2 AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0.0 END AS plus_dm, CASE WHEN down > up AND down > 0 THEN down ELSE 0.0 END AS minus_dm,
     lower_wick / (upper_wick + 1e-9) AS wick_ratio, Volume / nullif(avg_volume, 0) AS volume_spike, {roll("stddev_samp", "return_1", 10)} AS volatility,
     {roll("avg", "tr", 14)} AS atr_14, {roll("avg", "momentum", 10)} AS rolling_avg_momentum, (Close - pivot_mean) / nullif(Close, 0) AS pivot_distance,
-    CAST({roll("sum", "falls", 5)} AS BIGINT) AS bearish_sequence_strength, CAST({roll("sum", "rises", 5)} AS BIGINT) AS bullish_sequence_strength,
-    CAST({roll("sum", "higher", 20)} AS BIGINT) AS rolling_higher_highs, CAST({roll("sum", "lower_low", 20)} AS BIGINT) AS rolling_lower_lows,
+    CAST({roll("sum", "falls", 5)} AS DOUBLE) AS bearish_sequence_strength, CAST({roll("sum", "rises", 5)} AS DOUBLE) AS bullish_sequence_strength,
+    CAST({roll("sum", "higher", 20)} AS DOUBLE) AS rolling_higher_highs, CAST({roll("sum", "lower_low", 20)} AS DOUBLE) AS rolling_lower_lows,
     {roll("avg", "sign(return_1)", 20)} AS directional_persistence,
     {crosses("ma_20", "ma_50", True)} AS bullish_cross_20_50, {crosses("ma_20", "ma_50", False)} AS bearish_cross_20_50,
     {crosses("ma_50", "ma_100", True)} AS bullish_cross_50_100, {crosses("ma_50", "ma_100", False)} AS bearish_cross_50_100,
@@ -84,13 +84,13 @@ f5 AS (SELECT *, {roll("avg", "dx", 14)} AS adx_14, {roll("median", "atr_ratio",
 f AS (SELECT *, {flag("adx_14 > 25")} AS trending_market, {flag("adx_14 < 20")} AS ranging_market, {flag("atr_ratio > mid")} AS high_volatility_market, {flag("atr_ratio < mid")} AS low_volatility_market FROM f5)"""
 
 WHOLE = {
-    "bearish_sequence_strength", "bullish_sequence_strength", "rolling_higher_highs", "rolling_lower_lows", "trending_market", "ranging_market",
+    "trending_market", "ranging_market",
     "high_volatility_market", "low_volatility_market", "target_d", "bullish_cross_20_50", "bearish_cross_20_50", "bullish_cross_50_100", "bearish_cross_50_100",
 }
 
 
 def six(*columns: str) -> str:
-    return ", ".join(c if c in WHOLE else f"round({c}, 6) + 0.0 AS {c}" for c in columns)
+    return ", ".join(c if c in WHOLE else f"round({c}, {PLACES.get(c, 6)}) + 0.0 AS {c}" for c in columns)
 
 
 PRICES = six("Open", "High", "Low", "Close")

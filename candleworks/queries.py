@@ -18,9 +18,18 @@ from .plans import features as job
 from .sources import bars as source
 
 
+#: Counts that are missing until their frame is full: given as doubles.
+COUNTS = ("bearish_sequence_strength", "bullish_sequence_strength", "rolling_higher_highs", "rolling_lower_lows")
+
+
+#: wick_ratio reaches 1e10, where doubles have fewer sure places.
+PLACES = {"wick_ratio": 3}
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """df with doubles rounded and timestamps without a zone."""
-    change = {"double": lambda c: F.round(F.col(c), 6), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
+    df = df.withColumns({c: F.col(c).cast("double") for c in COUNTS if c in df.columns})
+    change = {"double": lambda c: F.round(F.col(c), PLACES.get(c, 6)), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
     return df.select(*[change[t](c).alias(c) if t in change else F.col(c) for c, t in df.dtypes])
 
 
