@@ -164,8 +164,8 @@ def links(nodes: DataFrame, most: int = 1024) -> DataFrame:
         if hot is None:
             break
         finer = F.create_map(*[x for m in masks for x in (F.lit(signed(m)), F.array(*[F.lit(signed(t)) for t in thirds(m)]))])
-        rows = keyed(rows.join(hot, ["mask", "key"], "left_semi").select("fingerprint", F.get(finer, F.col("mask")).alias("__m")), F.col("__m"))
-        masks = [t for m in masks for t in thirds(m)]
+        rows = keyed(rows.join(hot, ["mask", "key"], "left_semi").select("fingerprint", F.element_at(finer, F.col("mask")).alias("__m")), F.col("__m")).distinct()
+        masks = sorted({t for m in masks for t in thirds(m)})
     every = parts[0].select("mask", "key", "fingerprint")
     for part in parts[1:]:
         every = every.union(part.select("mask", "key", "fingerprint"))
