@@ -198,7 +198,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, switch: f
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, only: list[str] | None = None, min_score: float = 0.0, cells: int = 1 << 24) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, only: list[str] | None = None, min_score: float = 0.0, cells: int = 1 << 22) -> DataFrame:
     """docs with lang_pred, score (share of the letters that lang_pred labels, 0 to 1)
     and spans (start, end in code points, lang) of runs of words of one language.
 
@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, o
             span_lang.append(labels[run])
 
         waiting = 0
-        for i, j in slices(offsets) if languages else ():
+        for i, j in slices(offsets, 1 << 20) if languages else ():
             w = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
             w.doc += i
             parts.append((w, word_scores(w, model)))
