@@ -22,7 +22,7 @@ RESULT = ["symbol", "Datetime", "position", "part", "actual_d", "predicted_d", "
 def split(rows: DataFrame, test_share: float = 0.2, by_time: bool = False) -> DataFrame:
     """rows with part: the last ceil(share * n) rows in (symbol, time) order are test,
     or with by_time those of each symbol."""
-    numbered = ordinals(rows.drop("position") if "position" in rows.columns else rows).select("symbol", "Datetime", "position", "global_position")
+    numbered = ordinals(rows.select("symbol", "Datetime"))
     if by_time:
         n = numbered.groupBy("symbol").agg(F.count("*").alias("__n"))
         marked = numbered.join(n, "symbol").withColumn("part", F.when(F.col("position") < F.col("__n") - F.ceil(F.col("__n") * test_share), "train").otherwise("test"))
@@ -42,9 +42,9 @@ def fit(train: DataFrame, features: list[str], **changes):
     options = TREES | changes
     rows = assemble(with_weights(train), features).select("features", F.col("target_d").cast("double").alias("target_d"), "target_p", "weight").persist()
     try:
-        tree = GBTClassifier(labelCol="target_d", featuresCol="features", **options)
-        classifier = OneVsRest(classifier=tree, labelCol="target_d", featuresCol="features", weightCol="weight").fit(rows)
-        regressor = GBTRegressor(labelCol="target_p", featuresCol="features", **options).fit(rows)
+        tree = GBTClassifier(labelCol="target_d", featuresCol="features", **options).setRawPredictionCol("margins")
+        classifier = OneVsRest(classifier=tree, labelCol="target_d", featuresCol="features", weightCol="weight", predictionCol="predicted_d", rawPredictionCol="margins").fit(rows)
+        regressor = GBTRegressor(labelCol="target_p", featuresCol="features", predictionCol="predicted_p", **options).fit(rows)
     finally:
         rows.unpersist()
     return classifier, regressor
@@ -54,8 +54,7 @@ def predict(models, rows: DataFrame, features: list[str]) -> DataFrame:
     """The result table: actual and predicted class, confidence (the largest of the
     normalised logistic margins), actual and predicted return."""
     classifier, regressor = models
-    known = classifier.setPredictionCol("predicted_d").setRawPredictionCol("margins").transform(assemble(rows, features))
-    valued = regressor.setPredictionCol("predicted_p").transform(known)
+    valued = classifier.transform(regressor.transform(assemble(rows, features)))
     odds = F.transform(vector_to_array("margins"), lambda m: 1 / (1 + F.exp(-2 * m)))
     confidence = F.array_max("odds") / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     return valued.withColumn("odds", odds).select("symbol", "Datetime", "position", "part", F.col("target_d").cast("int").alias("actual_d"), F.col("predicted_d").cast("int").alias("predicted_d"), confidence.alias("confidence"), F.col("target_p").alias("actual_p"), "predicted_p")
