@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, o
             span_lang.append(labels[run])
 
         waiting = 0
-        for i, j in slices(offsets, 1 << 20) if languages else ():
+        for i, j in slices(offsets, 1 << 19) if languages else ():
             w = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
             w.doc += i
             parts.append((w, word_scores(w, model)))
