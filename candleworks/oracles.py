@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans.features import FEATURE_COLUMNS
 from .queries import CANDLES, PLACES
 
 BARS = """ticks AS (
@@ -223,3 +224,94 @@ FROM acc tr, acc te, reg rr, reg re WHERE tr.part = 'train' AND te.part = 'test'
     "n03_candles": bars_sql(f"SELECT symbol, CAST(epoch(Datetime) AS BIGINT) AS time, {', '.join(f'round({c}, 6) + 0.0 AS {c.lower()}' for c in ('Open', 'High', 'Low', 'Close'))} FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position DESC) <= 200"),
     "n02_payload": bars_sql("SELECT symbol, least(count(*), 200) AS n_rows FROM b GROUP BY symbol"),
 }
+
+# ---------------------------------------------------------------- the active line
+
+ACTIVE = f"""{LINES},
+cand AS (SELECT symbol, side, list({{'fp': first_pos, 'fv': first_price, 'sp': second_pos, 'sv': second_price, 'score': score, 'a': usable_from,
+         'z': coalesce(stale, 9000000000), 'key': first_pos * 1000000000 + second_pos}} ORDER BY score DESC, second_pos DESC, first_pos DESC) AS c FROM usable GROUP BY symbol, side),
+fold AS (
+  SELECT symbol, side, CAST(-1 AS BIGINT) AS position, CAST(NULL AS DOUBLE) AS line, false AS alive, CAST(NULL AS BIGINT) AS fp, CAST(NULL AS DOUBLE) AS fv, CAST(NULL AS BIGINT) AS sp, CAST(NULL AS DOUBLE) AS sv,
+         CAST(NULL AS BIGINT) AS key, CAST(NULL AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS score, 0 AS t, 0 AS r, 0 AS x, CAST(0 AS BIGINT) AS born, CAST(0 AS BIGINT) AS last, CAST([] AS BIGINT[]) AS retired FROM cand
+  UNION ALL
+  SELECT symbol, side, position, line, active AND NOT expired, fp, fv, sp, sv, key, base, score, t, r, x, born, last, CASE WHEN active AND expired THEN list_append(retired, key) ELSE retired END
+  FROM (SELECT *, x >= 2 OR position - last > 48 OR score < 30.0 AS expired
+    FROM (SELECT *, base + (t * 18.0 + r * 24.0) + least(position - born, 160) * 0.35 + greatest(24 - (position - last), 0) * 2.0 - greatest(position - last - 24, 0) * 4.0 - x * 55.0 AS score
+      FROM (SELECT * EXCLUDE (t, r, x, last), t + CAST(coalesce(touched, false) AS INTEGER) AS t, r + CAST(coalesce(touched AND inside, false) AS INTEGER) AS r,
+                   CASE WHEN broken THEN x + 1 ELSE 0 END AS x, CASE WHEN touched THEN position ELSE last END AS last
+        FROM (SELECT *, abs(extreme - line) <= tol AS touched, CASE side WHEN 'support' THEN close > line ELSE close < line END AS inside,
+                     CASE side WHEN 'support' THEN close < line - tol ELSE close > line + tol END AS broken
+          FROM (SELECT *, CASE WHEN active THEN sv + (sv - fv) / (sp - fp) * (position - sp) END AS line
+            FROM (SELECT symbol, side, position, extreme, close, tol, retired, alive OR adopt AS active,
+                         CASE WHEN adopt THEN best.fp ELSE fp END AS fp, CASE WHEN adopt THEN best.fv ELSE fv END AS fv, CASE WHEN adopt THEN best.sp ELSE sp END AS sp, CASE WHEN adopt THEN best.sv ELSE sv END AS sv,
+                         CASE WHEN adopt THEN best.key ELSE key END AS key, CASE WHEN adopt THEN best.score ELSE base END AS base,
+                         CASE WHEN adopt THEN 0 ELSE t END AS t, CASE WHEN adopt THEN 0 ELSE r END AS r, CASE WHEN adopt THEN 0 ELSE x END AS x,
+                         CASE WHEN adopt THEN position ELSE born END AS born, CASE WHEN adopt THEN position ELSE last END AS last
+              FROM (SELECT *, best IS NOT NULL AND (NOT alive OR (best.key <> key AND best.score > score * 1.18)) AS adopt
+                FROM (SELECT p.symbol, p.side, b.position, CASE p.side WHEN 'support' THEN b.Low ELSE b.High END AS extreme, b.Close AS close, b.Close * 0.0035 AS tol,
+                             p.alive, p.fp, p.fv, p.sp, p.sv, p.key, p.base, p.score, p.t, p.r, p.x, p.born, p.last, p.retired,
+                             list_filter(cand.c, lambda k: k.a <= b.position AND b.position < k.z AND NOT list_contains(p.retired, k.key))[1] AS best
+                      FROM fold p JOIN b ON b.symbol = p.symbol AND b.position = p.position + 1 JOIN cand ON cand.symbol = p.symbol AND cand.side = p.side))))))))),
+active AS (SELECT symbol, side, position, line, fp AS first_pos, fv AS first_price, sp AS second_pos, sv AS second_price FROM fold WHERE line IS NOT NULL)"""
+
+_PARTS = [(s, i, n) for s in ("support", "resistance") for i, n in ((1, "first"), (2, "second"))]
+_WIDE = ", ".join(
+    [f"max(line) FILTER (side = '{s}') AS anchored_{s}" for s in ("support", "resistance")]
+    + [f"max({n}_{c}) FILTER (side = '{s}') AS {s}_anchor_{i}_{name}" for s, i, n in _PARTS for c, name in (("pos", "position"), ("price", "price"))]
+)
+STRUCTURE = f"""{ACTIVE},
+wide AS (SELECT symbol, position, {_WIDE} FROM active GROUP BY symbol, position),
+marks AS (SELECT symbol, position, max(score) FILTER (side = 'resistance') AS hs, max(score) FILTER (side = 'support') AS ls FROM anchors GROUP BY symbol, position),
+st0 AS (SELECT s.symbol, s.position, Datetime, Open, High, Low, Close, Volume, swing_high, swing_low, coalesce(hs, 0.0) AS swing_high_score, coalesce(ls, 0.0) AS swing_low_score, w.* EXCLUDE (symbol, position),
+        CASE WHEN Close > anchored_resistance THEN 1 ELSE 0 END AS above, CASE WHEN Close < anchored_support THEN 1 ELSE 0 END AS below
+        FROM s LEFT JOIN wide w ON w.symbol = s.symbol AND w.position = s.position LEFT JOIN marks m ON m.symbol = s.symbol AND m.position = s.position),
+st AS (SELECT *, (Close - anchored_support) / nullif(Close, 0) AS distance_to_anchored_support, (anchored_resistance - Close) / nullif(Close, 0) AS distance_to_anchored_resistance,
+       {flag(f"sum(above) {back(2)} = 2")} AS anchored_breakout, {flag(f"sum(below) {back(2)} = 2")} AS anchored_breakdown,
+       {flag("Low < anchored_support AND Close > anchored_support")} AS failed_breakdown FROM st0)"""
+
+STRUCTURE_DOUBLES = ["swing_high_score", "swing_low_score", "anchored_support", "anchored_resistance", "distance_to_anchored_support", "distance_to_anchored_resistance"] + [f"{s}_anchor_{i}_price" for s, i, _ in _PARTS]
+STRUCTURE_WHOLE = ["swing_high", "swing_low", "anchored_breakout", "anchored_breakdown", "failed_breakdown"] + [f"{s}_anchor_{i}_position" for s, i, _ in _PARTS]
+KEPT = sorted({c for columns in CANDLES.values() for c in columns} - {"tr", "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "future_max_high", "future_min_low", "future_max_return", "future_min_return"})
+
+
+def structure_sql(select: str, steps: str = "") -> str:
+    return f"WITH RECURSIVE {HOURLY}, {STRUCTURE}{', ' + steps if steps else ''} {select}"
+
+
+_TABLE = f"""{CANDLE_STEPS},
+g AS (SELECT symbol, position, row_number() OVER (ORDER BY symbol, Datetime) - 1 AS global_position FROM b),
+feature AS (SELECT f.symbol, f.position, f.Datetime, f.Open, f.High, f.Low, f.Close, f.Volume, global_position, {", ".join(f"f.{c}" for c in KEPT)}, {", ".join(f"st.{c}" for c in STRUCTURE_DOUBLES + STRUCTURE_WHOLE)}
+  FROM f JOIN st ON st.symbol = f.symbol AND st.position = f.position JOIN g ON g.symbol = f.symbol AND g.position = f.position
+  WHERE {" AND ".join(f"f.{c} IS NOT NULL" for c in KEPT)} AND st.anchored_support IS NOT NULL AND st.anchored_resistance IS NOT NULL)"""
+
+_CAMEL = ", ".join(
+    f"CAST({s}_anchor_{i}_position AS DOUBLE) AS {s}Anchor{i}Position, round({s}_anchor_{i}_price, 6) + 0.0 AS {s}Anchor{i}Price" for s, i, _ in _PARTS
+)
+_LAST = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position DESC) <= 200"
+_VISIBLE = f"visible AS (SELECT *, CAST(epoch(Datetime) AS BIGINT) AS time FROM st {_LAST})"
+_LATEST = " UNION ALL ".join(
+    f"SELECT symbol, '{s}' AS side, {s}_anchor_1_position AS anchor1Position, {s}_anchor_1_price AS anchor1Price, {s}_anchor_2_position AS anchor2Position, {s}_anchor_2_price AS anchor2Price "
+    f"FROM visible WHERE {s}_anchor_1_position IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position DESC) = 1"
+    for s in ("support", "resistance")
+)
+_MARKERS = " UNION ALL ".join(
+    f"SELECT symbol, time, '{kind}' AS kind, '{place}' AS place FROM visible WHERE {c} = 1"
+    for c, kind, place in (("swing_high", "SH", "aboveBar"), ("swing_low", "SL", "belowBar"), ("anchored_breakout", "BO", "aboveBar"), ("anchored_breakdown", "BD", "belowBar"))
+)
+
+
+def _plain(columns: list[str]) -> str:
+    return ", ".join(columns)
+
+
+ORACLES |= {
+    "m10_active_lines": f"WITH RECURSIVE {HOURLY}, {ACTIVE} SELECT symbol, side, position, {six('line')}, first_pos, {six('first_price')}, second_pos, {six('second_price')} FROM active",
+    "m11_distances": structure_sql(f"SELECT symbol, position, {six('distance_to_anchored_support', 'distance_to_anchored_resistance')} FROM st"),
+    "m12_breakouts": structure_sql("SELECT symbol, position, anchored_breakout, anchored_breakdown, failed_breakdown FROM st WHERE anchored_breakout = 1 OR anchored_breakdown = 1 OR failed_breakdown = 1"),
+    "f02_feature_table": structure_sql(f"SELECT symbol, position, Datetime, {PRICES}, Volume, global_position, {six(*KEPT)}, {six(*STRUCTURE_DOUBLES)}, {_plain(STRUCTURE_WHOLE)} FROM feature", _TABLE),
+    "p02_model_table": structure_sql(f"SELECT symbol, Datetime, position, {', '.join(c if c in STRUCTURE_WHOLE else six(c) for c in [*FEATURE_COLUMNS, 'target_d', 'target_p'])} FROM feature", _TABLE),
+    "n01_records": structure_sql(f"SELECT symbol, CAST(epoch(Datetime) AS BIGINT) AS time, {', '.join(f'round({c}, 6) + 0.0 AS {c.lower()}' for c in ('Open', 'High', 'Low', 'Close'))}, CAST(Volume AS DOUBLE) AS volume, position, swing_high = 1 AS swingHigh, swing_low = 1 AS swingLow, anchored_breakout = 1 AS anchoredBreakout, anchored_breakdown = 1 AS anchoredBreakdown, {_CAMEL} FROM st"),
+    "k05_latest_anchors": structure_sql("SELECT symbol, side, anchor1Position, round(anchor1Price, 6) + 0.0 AS anchor1Price, anchor2Position, round(anchor2Price, 6) + 0.0 AS anchor2Price FROM latest", f"{_VISIBLE}, latest AS ({_LATEST})"),
+    "n04_rays": structure_sql("SELECT v.symbol, side, position, time, round(anchor1Price + (anchor2Price - anchor1Price) / (anchor2Position - anchor1Position) * (position - anchor1Position), 6) + 0.0 AS value FROM visible v JOIN latest l ON l.symbol = v.symbol", f"{_VISIBLE}, latest AS ({_LATEST})"),
+    "u02_markers": structure_sql(_MARKERS, _VISIBLE),
+}

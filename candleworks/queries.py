@@ -345,7 +345,8 @@ def k04_first_predictions(spark, sf_dir):
 
 
 def n01_records(spark, sf_dir):
-    return rounded(records(spark, sf_dir))
+    found = records(spark, sf_dir)
+    return rounded(found.withColumns({c: F.col(c).cast("double") for c in found.columns if c.endswith(("1Position", "2Position"))}))
 
 
 def k01_in_order(spark, sf_dir):
