@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import base_symbol, div, epoch_seconds, finite, whole
+from ..functions.columns import base_symbol, epoch_seconds, finite, whole
 from ..sources.bars import require, symbols
 
 SIDES = ("support", "resistance")
@@ -80,8 +80,3 @@ def payload(records: DataFrame, n: int = CANDLES) -> DataFrame:
 
 def payload_json(records: DataFrame, n: int = CANDLES) -> DataFrame:
     return payload(records, n).select("symbol", F.size("rows").cast("long").alias("n_rows"), F.to_json("rows").alias("json"))
-
-
-def range_of(visible: DataFrame) -> DataFrame:
-    """Per symbol: bars shown and their price range as a share of the last close."""
-    return visible.groupBy("symbol").agg(F.count("*").alias("n"), div(F.max("high") - F.min("low"), F.max_by("close", "position")).alias("range"))
