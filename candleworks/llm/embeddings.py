@@ -3,13 +3,12 @@
 Equal vectors collapse into one with a multiplicity. Coarse centroids and residual
 subspace codebooks are fitted on a bounded sample; every vector then has a home list,
 a code of its residual and the length of what the code leaves out. A vector probes all
-lists whose cells come within a margin: what a partner at the radius of the similarity
-moves towards a cell in a random direction, times `reach`. In a list, table look-ups
-give asymmetric distances to all members; those that the code's error cannot rule out
-are reranked by exact cosine. A pair is linked if either probes the other's list, and
-counted once. Probes and candidates have no cap. On vectors of 64 components one side
-misses about 2.5 % of partners at cosine 0.9 in random directions, both together less
-than 0.1 %; closer ones hardly any.
+lists whose cells come within half the distance of the similarity: between two vectors at
+that distance or less lies the plane that parts their cells, and one of them is within
+half of it, so a pair is found whatever way it lies. In a list, table look-ups give
+asymmetric distances to all members; those that the code's error cannot rule out are
+reranked by exact cosine. A pair is linked if either probes the other's list, and counted
+once. Probes and candidates have no cap.
 
 Lists are dealt to tasks in blocks of members and blocks of queries of at most `block`
 rows, so a list that holds a third of all vectors is many tasks.
@@ -50,11 +49,13 @@ class Index:
 
     def probes(self, d2: np.ndarray) -> list[np.ndarray]:
         """Lists to look into, the home included. The plane between the home's centroid
-        and another bounds the other's cell; its distance is compared with the margin."""
+        and another bounds the other's cell; its distance is compared with the margin, half
+        the distance of the similarity, or less where a finite reach trades recall."""
         gaps = np.sqrt(np.maximum((self.centroids**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * self.centroids @ self.centroids.T, 0))
         home = d2.argmin(axis=1)
-        margin = self.reach * np.sqrt((2 - 2 * self.similarity) / self.centroids.shape[1])
-        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[home] * margin + 1e-9
+        apart = np.sqrt(max(0.0, 2 - 2 * self.similarity))
+        margin = min(apart / 2, self.reach * apart / np.sqrt(self.centroids.shape[1]))
+        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[home] * margin + 1e-6
         return [np.flatnonzero(n) for n in near]
 
 
@@ -146,7 +147,7 @@ def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple
     return keys[some], counts[some], links
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str = "embedding", id_col: str = "vec_id", keep=None, per_list: int = 256, max_lists: int = 16_384, reach: float = 2.0, subspaces: int = 16, codes: int = 256, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str = "embedding", id_col: str = "vec_id", keep=None, per_list: int = 256, max_lists: int = 16_384, reach: float = float("inf"), subspaces: int = 16, codes: int = 256, block: int = 2048) -> DataFrame:
     """vectors with n_links (other rows at the similarity or above), component_id (the
     smallest id reachable by links, its own included) and kept (it is that id).
 
