@@ -324,17 +324,20 @@ def d01_split_by_time(spark, sf_dir):
 
 def trained(spark, sf_dir):
     rows = source.kept(model.split(job.model_table(features(spark, sf_dir))))
-    return model.fit(rows.where("part = 'train'"), job.FEATURE_COLUMNS, maxIter=10), rows
+    return model.fit(rows.where("part = 'train'"), job.FEATURE_COLUMNS), rows
 
 
 def d05_predictions(spark, sf_dir):
-    """Models of 10 trees a class, to keep the query short; the job's default is 100."""
     models, rows = trained(spark, sf_dir)
     return rounded(model.predict(models, rows, job.FEATURE_COLUMNS))
 
 
 def d06_importances(spark, sf_dir):
-    return rounded(model.importances(trained(spark, sf_dir)[0], job.FEATURE_COLUMNS, spark).limit(20))
+    return rounded(model.importances(trained(spark, sf_dir)[0], job.FEATURE_COLUMNS, spark))
+
+
+def k03_top_importances(spark, sf_dir):
+    return d06_importances(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(20)
 
 
 def k04_first_predictions(spark, sf_dir):
@@ -415,7 +418,7 @@ QUERIES = {name: candle_query(*columns) for name, columns in CANDLES.items()} |
         j01_without_bars, a01_summary, a02_symbols, u01_stack, x01_ordinals, c11_base_symbol, c12_default_symbol, c14_epoch, m01_swings,
         m02_strength, m04_rejections, m05_pivot_base, m06_anchors, j03_pairs, m07_projection, a11_line_facts, m08_lines, m09_usable_pairs,
         m10_active_lines, m11_distances, m12_breakouts, f02_feature_table, halo_chunks, a03_class_distribution, a04_class_weights, a05_accuracy,
-        a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances,
+        a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances, k03_top_importances,
         k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n03_candles, n04_rays, u02_markers,
     )
 }
