@@ -140,6 +140,15 @@ def s07_flatten_names(spark, sf_dir):
     return rounded(source.flatten_names(two))
 
 
+def s06_tag_all(spark, sf_dir):
+    return rounded(source.tag(hourly(spark, sf_dir).drop("symbol"), "ALL.X"))
+
+
+def s07_flatten_all_names(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return rounded(source.flatten_names(bars.toDF(*[f"{c}/all" if c != "symbol" else c for c in bars.columns])))
+
+
 def s08_write_bars(spark, sf_dir):
     return written(spark, hourly(spark, sf_dir))
 
@@ -188,6 +197,13 @@ def u01_stack(spark, sf_dir):
     return rounded(source.stack([bars.where("symbol = 'click'"), bars.where("symbol = 'view'")]))
 
 
+def u01_stack_all(spark, sf_dir):
+    """Two frames that together hold every symbol, whatever the symbols are."""
+    bars = hourly(spark, sf_dir)
+    half = F.pmod(F.xxhash64("symbol"), F.lit(2))
+    return rounded(source.stack([bars.where(half == k) for k in (0, 1)]))
+
+
 def x01_ordinals(spark, sf_dir):
     return rounded(numbered(spark, sf_dir).select("symbol", "Datetime", "position", "global_position"))
 
@@ -413,9 +429,9 @@ def crossings(spark, sf_dir):
 QUERIES = {name: candle_query(*columns) for name, columns in CANDLES.items()} | {
     f.__name__: f
     for f in (
-        crossings, s01_read_bars, s02_bars_from_ticks, s02_recent_bars, s03_parse_times, s04_exchange_time, s05_round_prices, s06_tag,
-        s07_flatten_names, s08_write_bars, s10_feature_table_roundtrip, p02_model_table, p03_complete_rows, p04_rows_with_targets, p06_one_symbol,
-        j01_without_bars, a01_summary, a02_symbols, u01_stack, x01_ordinals, c11_base_symbol, c12_default_symbol, c14_epoch, m01_swings,
+        crossings, s01_read_bars, s02_bars_from_ticks, s02_recent_bars, s03_parse_times, s04_exchange_time, s05_round_prices, s06_tag, s06_tag_all,
+        s07_flatten_names, s07_flatten_all_names, s08_write_bars, s10_feature_table_roundtrip, p02_model_table, p03_complete_rows, p04_rows_with_targets, p06_one_symbol,
+        j01_without_bars, a01_summary, a02_symbols, u01_stack, u01_stack_all, x01_ordinals, c11_base_symbol, c12_default_symbol, c14_epoch, m01_swings,
         m02_strength, m04_rejections, m05_pivot_base, m06_anchors, j03_pairs, m07_projection, a11_line_facts, m08_lines, m09_usable_pairs,
         m10_active_lines, m11_distances, m12_breakouts, f02_feature_table, halo_chunks, a03_class_distribution, a04_class_weights, a05_accuracy,
         a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances, k03_top_importances,
