@@ -386,6 +386,11 @@ def n02_payload(spark, sf_dir):
     return chart.payload_json(records(spark, sf_dir), 200).select("symbol", "n_rows")
 
 
+def n02_payload_json(spark, sf_dir):
+    """The payload itself, at the operator's own number of candles."""
+    return chart.payload_json(records(spark, sf_dir))
+
+
 def n03_candles(spark, sf_dir):
     return rounded(chart.candles(visible(spark, sf_dir)))
 
@@ -435,6 +440,6 @@ QUERIES = {name: candle_query(*columns) for name, columns in CANDLES.items()} |
         m02_strength, m04_rejections, m05_pivot_base, m06_anchors, j03_pairs, m07_projection, a11_line_facts, m08_lines, m09_usable_pairs,
         m10_active_lines, m11_distances, m12_breakouts, f02_feature_table, halo_chunks, a03_class_distribution, a04_class_weights, a05_accuracy,
         a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances, k03_top_importances,
-        k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n03_candles, n04_rays, u02_markers,
+        k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n02_payload_json, n03_candles, n04_rays, u02_markers,
     )
 }

@@ -1,6 +1,8 @@
 """Registered queries do the whole job of their operators."""
 
-import pytest
+import json
+
+from pyspark.sql import functions as F
 
 from candleworks import queries
 from candleworks.operators import model
@@ -27,3 +29,10 @@ def test_sets_of_bars_hold_every_symbol(spark):
         assert sorted(map(tuple, queries.QUERIES[name](spark, SF).collect())) == whole
     tagged = queries.QUERIES["s06_tag_all"](spark, SF).collect()
     assert len(tagged) == len(whole) and {r.symbol for r in tagged} == {"ALL.X"}
+
+
+def test_payload_holds_its_records(spark):
+    bars = {r.symbol: r.n for r in queries.QUERIES["s02_bars_from_ticks"](spark, SF).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    rows = queries.QUERIES["n02_payload_json"](spark, SF).collect()
+    assert {r.symbol: r.n_rows for r in rows} == {s: min(n, 500) for s, n in bars.items()}
+    assert all(len(json.loads(r.json)) == r.n_rows for r in rows)
