@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,20 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """A function that gives value in tasks: broadcast as bytes that hold classes by
+    value, so executors need no copy of the package."""
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    made: list = []
+
+    def get():
+        if not made:
+            made.append(pickle.loads(raw.value))
+        return made[0]
+
+    return get
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

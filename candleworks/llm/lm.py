@@ -1,390 +1,450 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model over words and one end token, smoothed by deleted
-interpolation: p(w|h) = (1 - l) c(h,w)/c(h) + l (c(w)+1)/(N+V+1), where l depends on
-the magnitude of c(h) and was fitted by leave-one-out likelihood. As an automaton:
-one state for each history h and one root; an arc for every pair of words seen in
-training, with the smoothed log-probability; a failure arc from each state to the
-root with log l; root arcs for all words and the unknown one. A text is read once
-from left to right: the state is the last word, an arc or the failure arc is taken,
-and weights accumulate (all steps of a batch at once, as the next state is the word).
-
-The automaton grows with the corpus and is never in one place. Texts are dealt in
-blocks of ids. Each block asks for the counts of its distinct words and pairs; keys
-are dealt by hash into buckets, which sum the training counts over all blocks and
-answer each; a block meets just the arcs that its own texts can take. An answer is
-left out if the count is 1 and only training texts of the block ask: it is their own.
-
-Keys are 64-bit hashes, sent with their upper bits (48 and the bucket's); about one
-key in 5e8 shares its count with another.
+The model has words and one end token, and n-grams of up to three of them. A state is a
+history seen in training: none (the root), a word or the start, or two words. An arc is
+an n-gram seen in training, with the smoothed log-probability of its last word; the
+failure arc of a state leads to the history without its first word, with the log of
+the weight that the smoothing gives to shorter histories:
+
+    p(w)     = (c(w) + 1) / (N + V + 1)
+    p(w | h) = (c(h, w) + m p(w | shorter h)) / (c(h) + m)      failure: m / (c(h) + m)
+
+m is one number for each length of history: the one at which the weight given away,
+over all training tokens, equals the share of tokens whose n-gram is seen once, which is
+the leave-one-out estimate of what is new. Both sides come from counts over all training
+texts. A text is read once from left to right: each token takes the arc of the state, or
+failure arcs until there is one; weights add up.
+
+The automaton grows with the corpus and is never in one place. Texts are dealt in blocks
+by their place in the input and written once. Each block asks for the training counts of
+its distinct words (as they are) and n-grams of two and three words (as hashes); buckets
+of keys add up the counts of all blocks and answer in the order asked, so that answers
+carry no keys; a block then builds the arcs that its own texts can take. Blocks lie in
+a bucketed table, so that only the answers are shuffled to them.
+
+Counts of words are exact. Hashes of n-grams have log2 of the tokens and 25 more bits:
+about one n-gram in 3e7 shares its count with another, at every size.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, carried, hash_spans, mix64, slices, spans_of, utf8
+from .common import LOWER, SPACE, carried, durable, hash_spans, mix64, share, shared_folder, slices, spans_of, utf8
 
-START, END = np.uint64(0x51ED270B9F3C2A17), np.uint64(0xA3B195354A39B70D)  # keys of the text's start and end
+_STEP = np.uint64(0x9FB21C651E98DF25)
+END, START = np.uint64(0xA3B195354A39B70D), np.uint64(0x51ED270B9F3C2A17)  # keys of the text's end and start
+ORDERS = (1, 2, 3)
+BLOCKS_IN_CHUNK = 16
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the words of each text and its end, keys of the words before them, and
-    the text each is in."""
-    n = len(offsets) - 1
-    start, end, doc = spans_of(data, offsets, SPACE)
-    words = np.bincount(doc, minlength=n)
-    last = np.cumsum(words + 1) - 1
-    out = np.full(len(start) + n, END, dtype=np.uint64)
-    out[np.arange(len(start)) + doc] = hash_spans(data, start, end, LOWER)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[last - words] = START
-    return out, before, np.repeat(np.arange(n), words + 1)
+# ---------------------------------------------------------------- numbers in transit
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0x9FB21C651E98DF25) + word)
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0: as few bytes of each as the largest needs, all first bytes
+    first, compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-# ---------------------------------------------------------------- counts in transit
+def restored(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    out = np.zeros((part.shape[1], 8), dtype=np.uint8)
+    out[:, : raw[0]] = part.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 @dataclass(frozen=True)
-class Wire:
-    """Keys in buckets of their first `bits` bits, sent as the next ones."""
+class Keys:
+    """n-gram hashes of `bits` bits, in buckets of their first `bucket_bits`."""
 
     bits: int
+    bucket_bits: int
 
-    @property
-    def sent(self) -> int:
-        return min(48, 64 - self.bits)
-
-    @property
-    def mask(self) -> np.uint64:
-        low = 64 - self.bits - self.sent
-        return np.uint64((1 << 64) - 1 - ((1 << low) - 1))
+    def bucket_of_word(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(1) >> np.uint64(63 - self.bucket_bits)).astype(np.int64)
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
+        return (keys >> np.uint64(self.bits - self.bucket_bits)).astype(np.int64)
 
     def pack(self, keys: np.ndarray) -> bytes:
-        """Rising keys of one bucket, as their steps."""
-        part = (keys << np.uint64(self.bits)) >> np.uint64(64 - self.sent)
+        """Rising keys of one bucket, as steps."""
+        part = keys & np.uint64((1 << (self.bits - self.bucket_bits)) - 1)
         part[1:] -= part[:-1].copy()
-        return planes(part, 6)
-
-    def unpack(self, bucket: int, raw: bytes) -> np.ndarray:
-        part = np.cumsum(unplanes(raw, 6), dtype=np.uint64)
-        return (np.uint64(bucket) << np.uint64(64 - self.bits) if self.bits else np.uint64(0)) | (part << np.uint64(64 - self.bits - self.sent))
-
-
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The low bytes of whole numbers, all first bytes first: the high ones compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        return squeezed(part)
+
+    def unpack(self, raw: bytes) -> np.ndarray:
+        return np.cumsum(restored(raw), dtype=np.uint64)
+
+
+def edges(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+
+
+# ---------------------------------------------------------------- the texts of a block
+
+
+class Block:
+    """Tokens of some texts: numbers of their words in the block's own vocabulary,
+    which goes by hash; behind it come the end and the start."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        data = LOWER[data]
+        start, end, doc = spans_of(data, offsets, SPACE)
+        stops = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(stops), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
+        ends = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int32)[: len(coded.dictionary) + 1].astype(np.int64)
+        letters = np.frombuffer(coded.dictionary.buffers()[2], dtype=np.uint8) if len(coded.dictionary) else np.empty(0, np.uint8)
+        hashes = hash_spans(letters, ends[:-1], ends[1:])
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.vocabulary = coded.dictionary.take(pa.array(order))
+        self.hashes = np.concatenate([hashes[order], [END, START]])
+        self.end, self.start = len(order), len(order) + 1
+        self.token = np.full(len(start) + n, self.end)
+        self.token[np.arange(len(start)) + doc] = rank[coded.indices.to_numpy()]
+        self.length = np.bincount(doc, minlength=n) + 1
+        self.first = np.cumsum(self.length) - self.length
+        self.before = np.empty_like(self.token)
+        self.before[1:] = self.token[:-1]
+        self.before[self.first] = self.start
+        h = self.hashes[self.token]
+        self.pair = mix64(self.hashes[self.before] * _STEP + h)
+        self.triple = np.empty_like(self.pair)  # not of a text's first token
+        self.triple[1:] = mix64(self.pair[:-1] * _STEP + h[1:])
+        inner = np.ones(len(h), dtype=bool)
+        inner[self.first] = False
+        self.inner = np.flatnonzero(inner)
+
+
+def asked(block: Block, train: np.ndarray, keys: Keys):
+    """For each order: buckets, keys as bytes, and training counts in the block; the
+    lowest bit of a pair's count says whether it ends a text."""
+    learn = np.repeat(train, block.length)
+    ids = np.bincount(block.token[learn], minlength=block.end + 1)[: block.end]
+    bucket = keys.bucket_of_word(block.hashes[: block.end])
+    at = edges(bucket)
+    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), block.vocabulary)
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for words, a, b in zip(pc.binary_join(lists, b" ").to_pylist() if len(bucket) else [], at, at[1:], strict=False):
+        yield 1, int(bucket[a]), compress(words), squeezed(ids[a:b])
+    for order, key, of in ((2, block.pair, learn), (3, block.triple[block.inner], learn[block.inner])):
+        end = (block.token == block.end).astype(np.uint64) if order == 2 else np.uint64(0)
+        marked = np.sort((key >> np.uint64(64 - keys.bits)) << np.uint64(2) | end << np.uint64(1) | of.astype(np.uint64))
+        key = marked >> np.uint64(2)
+        at = edges(key)
+        if len(at) == 1:
+            continue
+        count = np.add.reduceat(marked & np.uint64(1), at[:-1])
+        if order == 2:
+            count = count << np.uint64(1) | (marked[at[:-1]] >> np.uint64(1)) & np.uint64(1)
+        key = key[at[:-1]]
+        bucket = keys.bucket(key)
+        at = edges(bucket)
+        for a, b in zip(at, at[1:], strict=False):
+            yield order, int(bucket[a]), keys.pack(key[a:b]), squeezed(count[a:b])
+
+
+# ---------------------------------------------------------------- counts over all blocks
+
+
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts for the sums: each count up to 64 by itself, then 16 to an octave."""
+    return np.where(counts <= 64, counts, 64 + np.ceil(16 * (np.log2(np.maximum(counts, 1)) - 6)).astype(np.int64))
+
+
+ASKED = "order int, bucket long, chunk long, block long, keys binary, counts binary"
+ANSWERED = "order int, bucket long, chunk long, block long, counts binary, class int, n long, total long, history long"
+
+
+def answers(keys: Keys):
+    """All that is asked of one bucket to the counts over all blocks, in the order
+    asked; and sums over the distinct keys by class of count (block is null)."""
 
+    def run(table: pa.Table) -> pa.Table:
+        order = int(table.column("order")[0].as_py())
+        raw = table.column("keys").to_pylist()
+        own = [restored(c) for c in table.column("counts").to_pylist()]
+        size = np.array([len(c) for c in own])
+        own = np.concatenate(own)
+        history = np.ones(len(own), dtype=bool)
+        if order == 1:
+            texts = pa.array([zstandard.ZstdDecompressor().decompress(r) for r in raw], pa.binary())
+            which = pc.split_pattern(texts, b" ").flatten().dictionary_encode().indices.to_numpy()
+        else:
+            if order == 2:
+                history, own = (own & np.uint64(1)) == 0, own >> np.uint64(1)
+            key = np.concatenate([keys.unpack(r) for r in raw])
+            by = np.argsort(key)
+            which = np.empty(len(key), dtype=np.int64)
+            which[by] = np.cumsum(np.concatenate([[False], key[by][1:] != key[by][:-1]]))
+        total = np.bincount(which, weights=own.astype(np.float64)).astype(np.int64)
+        leads = np.zeros(len(total), dtype=bool)
+        leads[which] = history
+        cut = np.cumsum(size)
+        back = total[which]
+        n = len(raw)
+        found, of, number = np.unique(classes(total[total > 0]), return_inverse=True, return_counts=True)
+        amount = np.bincount(of, weights=total[total > 0], minlength=len(found)).astype(np.int64)
+        context = np.bincount(of, weights=leads[total > 0], minlength=len(found)).astype(np.int64)
+        m = len(found)
+        none = lambda k, kind: pa.nulls(k, kind)
+        long = pa.int64()
+        columns = [
+            pa.array(np.full(n + m, order, np.int32)),
+            pa.array(np.full(n + m, table.column("bucket")[0].as_py(), np.int64)),
+            pa.concat_arrays([table.column("chunk").combine_chunks(), none(m, long)]),
+            pa.concat_arrays([table.column("block").combine_chunks(), none(m, long)]),
+            pa.array([squeezed(back[b - s : b]) for s, b in zip(size, cut, strict=True)] + [None] * m, pa.binary()),
+            pa.concat_arrays([none(n, pa.int32()), pa.array(found.astype(np.int32))]),
+            *[pa.concat_arrays([none(n, long), pa.array(x.astype(np.int64))]) for x in (number, amount, context)],
+        ]
+        return pa.table(columns, names=["order", "bucket", "chunk", "block", "counts", "class", "n", "total", "history"])
 
-def unplanes(raw: bytes, width: int) -> np.ndarray:
-    part = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1)
-    out = np.zeros((part.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = part.T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def summed(keys: np.ndarray, amounts: np.ndarray, flags: np.ndarray | None = None):
-    """Distinct keys, rising, their summed amounts, and whether any flag is set."""
-    if not len(keys):
-        return keys, amounts, flags
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(amounts[order], first), None if flags is None else np.logical_or.reduceat(flags[order], first)
-
+    return run
 
-ASK = "bucket long, block long, keys binary, asked binary"
-ANSWER = "block long, bucket long, keys binary, counts binary"
 
+@dataclass
+class Smoothing:
+    train_tokens: int
+    vocabulary: int
+    texts: int  # for training: the count of the start and of the end
+    given: tuple[float, float]  # m for histories of one word and of two
 
-def asks(wire: Wire):
-    """Rows (block, train, text) to the keys of each block and batch: their training
-    counts, and whether a text that is not for training asks."""
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.train_tokens + self.vocabulary + 1)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blocks = batch.column("block").to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            blocks = blocks[order]
-            train = batch.column("train").to_numpy(zero_copy_only=False)[order]
-            data, offsets = utf8(batch.column("text").take(pa.array(order)))
-            cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                parts = []
-                for i, j in slices(offsets[a : b + 1]):
-                    i, j = i + a, j + a
-                    word, before, doc = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    learn = train[i:j][doc]
-                    for keys in (word, pair_keys(before, word)):
-                        parts.append(summed(keys & wire.mask, learn.astype(np.int64), ~learn))
-                keys, n, other = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                bucket = wire.bucket(keys)
-                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                asked = n.astype(np.uint64) * np.uint64(2) + other
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[edge[:-1]]),
-                        pa.array(np.full(len(edge) - 1, blocks[a])),
-                        pa.array([wire.pack(keys[x:y]) for x, y in zip(edge, edge[1:], strict=False)], pa.binary()),
-                        pa.array([planes(asked[x:y], 5) for x, y in zip(edge, edge[1:], strict=False)], pa.binary()),
-                    ],
-                    names=["bucket", "block", "keys", "asked"],
-                )
 
-    return run
+def weight_given(number: np.ndarray, mean: np.ndarray, new: float) -> float:
+    """m at which histories (`number` of them with the count `mean`) give away `new`
+    tokens in all: sum of number * mean * m / (mean + m)."""
+    low, high = 1e-3, 1e6
+    for _ in range(100):
+        middle = (low * high) ** 0.5
+        if (number * mean * middle / (mean + middle)).sum() < new:
+            low = middle
+        else:
+            high = middle
+    return high
 
 
-def answers(wire: Wire):
-    """All asks of one bucket to the counts that each block needs."""
+def smoothing(found: DataFrame, texts: int) -> Smoothing:
+    """The model's few numbers, from the sums over all buckets: at most some hundred
+    classes an order reach the driver."""
+    rows = found.where("block is null").groupBy("order", "class").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("history").alias("history")).collect()
+    by = {k: sorted((r["class"], r.n, r.total, r.history) for r in rows if r.order == k) for k in ORDERS}
+    words, vocabulary = sum(r[2] for r in by[1]), sum(r[1] for r in by[1])
+    given = []
+    for k in (2, 3):
+        number = np.array([r[3] for r in by[k - 1]] + [int(texts > 0)] * (k == 2), dtype=float)
+        mean = np.array([r[2] / r[1] for r in by[k - 1]] + [texts] * (k == 2), dtype=float)
+        given.append(weight_given(number, mean, sum(r[1] for r in by[k] if r[0] == 1)))
+    return Smoothing(words + texts, vocabulary + (texts > 0), texts, tuple(given))
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = int(table.column("bucket")[0].as_py())
-        blocks = table.column("block").to_numpy()
-        keys = [wire.unpack(bucket, raw) for raw in table.column("keys").to_pylist()]
-        asked = np.concatenate([unplanes(raw, 5) for raw in table.column("asked").to_pylist()])
-        of = np.repeat(blocks, [len(k) for k in keys])
-        keys = np.concatenate(keys)
-        distinct, total, _ = summed(keys, (asked >> np.uint64(1)).astype(np.int64))
-        total = total[np.searchsorted(distinct, keys)]
-        need = (total > 1) | ((total == 1) & (asked & np.uint64(1)).astype(bool))
-        keys, total, of = keys[need], total[need], of[need]
-        order = np.lexsort((keys, of))
-        keys, total, of = keys[order], total[order], of[order]
-        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-        pairs = list(zip(edge, edge[1:], strict=False))
-        return pa.table(
-            [
-                pa.array(of[edge[:-1]], pa.int64()),
-                pa.array([bucket] * len(pairs), pa.int64()),
-                pa.array([wire.pack(keys[x:y]) for x, y in pairs], pa.binary()),
-                pa.array([planes(total[x:y].astype(np.uint64), 5) for x, y in pairs], pa.binary()),
-            ],
-            names=["block", "bucket", "keys", "counts"],
-        )
 
-    return run
+# ---------------------------------------------------------------- the automaton
 
 
-# ---------------------------------------------------------------- the model's few numbers
+class Automaton:
+    """States and arcs that the texts of a block can take.
+
+    State 0 is the root, 1 + w the history of word w of the block, and behind these come
+    the pairs that were seen. Root arcs are a table by word; all other arcs are sorted
+    by state and word."""
+
+    def __init__(self, block: Block, counts: dict[int, np.ndarray], keys: Keys, model: Smoothing):
+        self.block = block
+        vocabulary = block.start + 1
+        word = np.concatenate([counts[1], [model.texts, model.texts]]).astype(np.float64)
+        self.known = word > 0
+        shift = np.uint64(64 - keys.bits)
+        distinct, pair = np.unique(block.pair >> shift, return_inverse=True)
+        assert len(distinct) == len(counts[2])
+        seen = counts[2][pair] > 0
+        self.root = np.log10(p1 := model.unigram(word))
+        self.root_next = np.where(self.known, 1 + np.arange(vocabulary), 0)
+        m2, m3 = model.given
+        # arcs of one-word histories, one for each seen pair, at its first place in the block
+        at = np.full(len(distinct), -1)
+        at[pair[::-1]] = np.arange(len(pair))[::-1]
+        at = at[counts[2] > 0]
+        state_of_pair = np.full(len(distinct), -1)
+        state_of_pair[counts[2] > 0] = 1 + vocabulary + np.arange(len(at))
+        h, w, c = block.before[at], block.token[at], counts[2][counts[2] > 0].astype(np.float64)
+        p2 = (c + m2 * p1[w]) / (word[h] + m2)
+        arcs = [(1 + h, w, np.log10(p2), np.arange(len(at)) + 1 + vocabulary)]
+        # arcs of two-word histories
+        inner = block.inner
+        triples, triple = np.unique(block.triple[inner] >> shift, return_inverse=True)
+        assert len(triples) == len(counts[3])
+        place = np.zeros(len(triples), dtype=np.int64)
+        place[triple[::-1]] = inner[::-1]
+        some = (counts[3] > 0) & seen[place] & seen[place - 1] if len(triples) else np.zeros(0, bool)
+        place, c3 = place[some], counts[3][some].astype(np.float64)
+        left, right = state_of_pair[pair[place - 1]], state_of_pair[pair[place]]
+        p3 = (c3 + m3 * p2[right - 1 - vocabulary]) / (c[left - 1 - vocabulary] + m3)
+        arcs.append((left, block.token[place], np.log10(p3), right))
+        state, label, weight, after = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        key = state * vocabulary + label
+        order = np.argsort(key)
+        self.key, self.weight, self.after = key[order], weight[order], after[order]
+        # failure arcs: of a pair to its last word, of a word to the root
+        self.failure = np.concatenate([[0], np.zeros(vocabulary, np.int64), 1 + w])
+        lost = np.concatenate([[1.0], m2 / (word + m2), m3 / (c + m3)])
+        self.failure_weight = np.log10(lost)
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each state has an arc for the word, and which."""
+        if not len(self.key):
+            return np.zeros(len(state), bool), np.zeros(len(state), np.int64)
+        wanted = state * (self.block.start + 1) + word
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return self.key[at] == wanted, at
+
+    def read(self, lanes: int = 4096) -> np.ndarray:
+        """Log-probability of each token. The stream of all texts is cut into lanes that
+        are read side by side; a state holds two words at most, so a lane that begins
+        two tokens early is in the right state at its own first token."""
+        token = self.block.token
+        n = len(token)
+        length = max(64, -(-n // lanes))
+        start = np.arange(0, n, length)
+        opening = np.zeros(n, dtype=bool)
+        opening[self.block.first] = True
+        begin = 1 + self.block.start if self.known[self.block.start] else 0
+        out = np.zeros(n)
+        state = np.zeros(len(start), dtype=np.int64)
+        for t in range(-2, length):
+            lane = np.flatnonzero((start + t >= 0) & (start + t < n))
+            at = start[lane] + t
+            word = token[at]
+            now = np.where(opening[at], begin, state[lane])
+            gained, after = np.zeros(len(at)), np.zeros(len(at), dtype=np.int64)
+            todo = np.arange(len(at))
+            while len(todo):
+                rooted = now[todo] == 0
+                if rooted.any():
+                    these = todo[rooted]
+                    gained[these] += self.root[word[these]]
+                    after[these] = self.root_next[word[these]]
+                    todo = todo[~rooted]
+                found, arc = self.arc(now[todo], word[todo])
+                these = todo[found]
+                gained[these] += self.weight[arc[found]]
+                after[these] = self.after[arc[found]]
+                todo = todo[~found]
+                gained[todo] += self.failure_weight[now[todo]]
+                now[todo] = self.failure[now[todo]]
+            state[lane] = after
+            if t >= 0:
+                out[at] = gained
+        return out
+
+
+# ---------------------------------------------------------------- the job
+
+
+def blocks_of(docs: DataFrame, train, text_col: str, names: list[str], block_bytes: int, buckets: int) -> DataFrame:
+    """Texts in blocks of about block_bytes, with the carried columns of their rows:
+    written once, bucketed by chunk (a few blocks that lie together)."""
+    kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+    row = T.StructType([T.StructField("train", T.BooleanType()), *kept])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("block", T.LongType()), T.StructField("texts", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("rows", T.ArrayType(row))])
+    rows = docs.select(F.coalesce(train, F.lit(False)).alias("train"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def run(batches):
+        part, number = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            values = pa.StructArray.from_arrays([batch.column(f.name) for f in row.fields], names=row.names)
+            for i, j in slices(offsets, block_bytes):
+                text = zstandard.ZstdCompressor(level=3).compress(data[offsets[i] : offsets[j]].tobytes())
+                columns = [[part + number // BLOCKS_IN_CHUNK], [part + number], [text], [squeezed(np.diff(offsets[i : j + 1]))]]
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), values.slice(i, j - i))], names=schema.names)
+                number += 1
 
-@dataclass
-class Smoothing:
-    train_tokens: int
-    vocabulary: int
-    texts: int  # for training: the count of the start
-    weights: np.ndarray  # of the failure arcs, by magnitude of the history's count
+    name = f"candleworks_{uuid.uuid4().hex}"
+    made = rows.mapInArrow(run, schema)
+    made.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(docs.sparkSession)}/{name}").saveAsTable(name)
+    return docs.sparkSession.table(name)
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1) / (self.train_tokens + self.vocabulary + 1)
 
-    def failure(self, history: np.ndarray) -> np.ndarray:
-        kind = np.minimum(np.log2(np.maximum(history, 1)).astype(int), len(self.weights) - 1)
-        return np.where(history > 0, self.weights[kind], 1.0)
-
-
-def deleted_interpolation(pair: np.ndarray, history: np.ndarray, word: np.ndarray, train_tokens: int, vocabulary: int, kinds: int = 48, rounds: int = 60) -> np.ndarray:
-    """Failure weights that maximise the leave-one-out likelihood of sampled training
-    tokens, given full counts of their pairs, histories and words."""
-    kind = np.minimum(np.log2(np.maximum(history, 1)).astype(int), kinds - 1)
-    seen = np.where(history > 1, (pair - 1) / np.maximum(history - 1, 1), 0.0)
-    root = word / max(1, train_tokens + vocabulary)
-    weight = np.full(kinds, 0.5)
-    n = np.bincount(kind, minlength=kinds)
-    for _ in range(rounds):
-        lost = weight[kind] * root
-        part = lost / np.maximum(lost + (1 - weight[kind]) * seen, 1e-300)
-        weight = np.where(n > 0, np.bincount(kind, weights=part, minlength=kinds) / np.maximum(n, 1), weight)
-    known = np.flatnonzero(n)
-    if len(known):
-        weight = weight[known[np.abs(np.arange(kinds)[:, None] - known).argmin(axis=1)]]
-    return np.clip(weight, 1e-4, 1.0)
-
-
-def fit(rows: DataFrame, wire: Wire, sample_tokens: int) -> Smoothing:
-    """rows: (block, train, text). Counts tokens and distinct words of all training
-    rows; weights are fitted on the tokens of about sample_tokens tokens' worth of
-    training texts chosen by hash, with their exact counts over all training rows."""
-    train = rows.where("train")
-    size = train.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
-    share = F.pmod(F.xxhash64(F.lit("lm"), "text"), F.lit(1 << 30))
-    chosen = train.where(share < int(min(1.0, 6 * sample_tokens / max(size, 1)) * (1 << 30)))
-
-    def sampled(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets):
-                word, before, _ = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array([word.tobytes()], pa.binary()), pa.array([before.tobytes()], pa.binary())], names=["word", "before"])
-
-    got = chosen.select("text").mapInArrow(sampled, "word binary, before binary").toArrow()
-    word, before = (np.frombuffer(b"".join(got.column(c).to_pylist()), dtype=np.uint64) for c in ("word", "before"))
-    pair = pair_keys(before, word)
-    wanted = np.unique(np.concatenate([word, before, pair]))
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batches):
-        wanted = shared.value
-        total = np.zeros(len(wanted), dtype=np.int64)
-        words, texts, tokens = [], 0, 0
-
-        def flush():
-            keys = summed(np.concatenate(words), np.zeros(sum(map(len, words)), np.int8))[0]
-            words.clear()
-            bucket = wire.bucket(keys)
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            n = len(edge) - 1
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array([wire.pack(keys[x:y]) for x, y in zip(edge, edge[1:], strict=False)], pa.binary()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array([None] * n, pa.binary())], names=names)
-
-        names = ["bucket", "keys", "tokens", "texts", "counts"]
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            texts += batch.num_rows
-            for i, j in slices(offsets):
-                word, before, _ = tokens_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                tokens += len(word)
-                for keys in (word, pair_keys(before, word)):
-                    if len(wanted):
-                        at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                        total += np.bincount(at[wanted[at] == keys], minlength=len(wanted))
-                words.append(np.unique(word))
-                if sum(map(len, words)) > 4_000_000:
-                    yield flush()
-        if words:
-            yield flush()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([some.astype("<u4").tobytes()], pa.binary()), pa.array([tokens], pa.int64()), pa.array([texts], pa.int64()), pa.array([total[some].astype("<u8").tobytes()], pa.binary())], names=names)
-
-    def merge(table: pa.Table) -> pa.Table:
-        """Distinct words of a bucket; of the sampled keys (bucket below 0), sums."""
-        names = ["tokens", "texts", "vocabulary", "counts"]
-        bucket = int(table.column("bucket")[0].as_py())
-        if bucket >= 0:
-            keys = np.unique(np.concatenate([wire.unpack(bucket, raw) for raw in table.column("keys").to_pylist()]))
-            return pa.table([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([None], pa.binary())], names=names)
-        total = np.zeros(len(shared.value), dtype=np.uint64)
-        for at, n in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[np.frombuffer(at, dtype="<u4")] += np.frombuffer(n, dtype="<u8")
-        tokens, texts = (int(table.column(c).to_numpy().sum()) for c in ("tokens", "texts"))
-        return pa.table([pa.array([tokens]), pa.array([texts]), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
-
-    counted = train.select("text").mapInArrow(count, "bucket long, keys binary, tokens long, texts long, counts binary")
-    merged = counted.groupBy(F.col("bucket"), F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("tokens", "texts", "keys"), F.lit(8))).alias("part")).applyInArrow(merge, "tokens long, texts long, vocabulary long, counts binary")
-    rows = merged.where("vocabulary > 0 or counts is not null").groupBy(F.col("counts").isNotNull().alias("sums")).agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"), F.sum("vocabulary").alias("vocabulary"), F.collect_list("counts").alias("counts")).collect()
-    tokens, texts, vocabulary = (sum(r[c] for r in rows) for c in ("tokens", "texts", "vocabulary"))
-    total = sum((np.frombuffer(c, dtype=np.uint64).astype(float) for r in rows for c in r.counts), np.zeros(len(wanted)))
-    if len(word):
-        of = lambda keys: total[np.searchsorted(wanted, keys)]
-        history = np.where(before == START, texts, of(before))
-        weights = deleted_interpolation(of(pair), history, of(word), tokens, vocabulary)
-    else:
-        weights = np.ones(1)
-    return Smoothing(tokens, vocabulary, texts, weights)
-
-
-# ---------------------------------------------------------------- scoring
+def block_of(texts: bytes, lengths: bytes) -> Block:
+    raw = zstandard.ZstdDecompressor().decompress(texts)
+    return Block(np.frombuffer(raw, dtype=np.uint8), np.concatenate([[0], np.cumsum(restored(lengths).astype(np.int64))]))
 
 
-class Automaton:
-    """The arcs that the texts of one block can take: counts by key, rising."""
-
-    def __init__(self, wire: Wire, keys: np.ndarray, counts: np.ndarray, smoothing: Smoothing):
-        self.wire, self.keys, self.counts, self.smoothing = wire, keys, counts, smoothing
-
-    def count(self, keys: np.ndarray, absent: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return absent
-        keys = keys & self.wire.mask
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], absent)
-
-    def read(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray):
-        """Tokens, known tokens, base score and score of each text."""
-        n, model = len(offsets) - 1, self.smoothing
-        word, before, doc = tokens_of(data, offsets)
-        absent = train[doc].astype(np.int64)  # an unanswered key of a training text is its own
-        c = self.count(word, absent)
-        root = model.unigram(c)
-        history = np.empty_like(c)  # the state: the word before
-        history[1:] = c[:-1]
-        history[before == START] = model.texts
-        failure = model.failure(history)
-        arc = self.count(pair_keys(before, word), absent)
-        step = np.log10(np.where((arc > 0) & (history > 0), (1 - failure) * arc / np.maximum(history, 1), 0.0) + failure * root)
-        total = lambda x: np.bincount(doc, weights=x, minlength=n)
-        return np.bincount(doc, minlength=n), total(c > 0).astype(np.int64), total(np.log10(root)), total(step)
-
-
-def score(docs: DataFrame, train, text_col: str = "text", id_col: str = "doc_id", keep=None, block_ids: int = 1024, bucket_bytes: int = 8 << 20, sample_tokens: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with held_out (not `train`, a boolean column expression), n_tokens,
     n_known, train_tokens, base_score and score, log10 probabilities of the text.
 
-    Null and empty texts are the end token alone. Ids must be whole numbers: texts
-    whose ids share all but their last part are scored together, null ones as well;
-    rows that share an id are read one after another. Without training texts all
-    tokens are unknown. Columns of docs named like the results are replaced.
+    Null and empty texts are the end token alone. Rows need no ids; null, repeated and
+    text ids are carried like any column. Without training texts all tokens are
+    unknown, and score is base_score. A text is never cut: one longer than block_bytes
+    is a block by itself. Columns of docs named like the results are replaced.
     """
     made = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = carried(docs, keep, made)
-    rows = docs.select(
-        F.coalesce(F.floor(F.col(id_col) / block_ids).cast("long"), F.lit(-1)).alias("block"),
-        F.coalesce(train, F.lit(False)).alias("train"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        *[F.col(f"`{c}`").alias(f"keep_{c}") for c in names],
-    )
-    plain = rows.select("block", "train", "text")
-    size = plain.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
-    wire = Wire(int(np.clip(np.ceil(np.log2(max(1, size / bucket_bytes))), 0, 24)))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(plain, wire, sample_tokens))
-    answered = plain.mapInArrow(asks(wire), ASK).groupBy("bucket").applyInArrow(answers(wire), ANSWER)
-    nothing = [F.lit(None).cast(rows.schema[f"keep_{c}"].dataType).alias(f"keep_{c}") for c in names]
-    arcs = answered.select("block", F.lit(0).alias("kind"), "bucket", "keys", "counts", F.lit(False).alias("train"), F.lit(None).cast("string").alias("text"), *nothing)
-    texts = rows.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "train", "text", *[f"keep_{c}" for c in names])
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in made[1:4]] + [T.StructField(c, T.DoubleType()) for c in made[4:]])
+    size, texts = docs.agg(F.sum(F.octet_length(text_col) + 1), F.count_if(train)).first()
+    size = size or 1
+    buckets = int(np.clip(np.ceil(np.log2(size / bucket_bytes)), 0, 24)) if size > bucket_bytes else 0
+    keys = Keys(min(61, int(size).bit_length() + 22), buckets)  # a token has 6 bytes or so
+    blocks = blocks_of(docs, train, text_col, names, block_bytes, int(np.clip(size // bucket_bytes, 16, 100_000)))
 
-    def read(batches):
-        smoothing = shared.value
-        block, keys, counts, automaton = None, [], [], None
+    def ask(batches):
         for batch in batches:
-            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(blocks) else []
-            for a, b in zip(edge, edge[1:], strict=False):
-                if blocks[a] != block:
-                    block, keys, counts, automaton = blocks[a], [], [], None
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    for bucket, k, n in zip(*(part.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
-                        keys.append(wire.unpack(bucket, k))
-                        counts.append(unplanes(n, 5).astype(np.int64))
-                    continue
-                if automaton is None:
-                    k, n = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((keys, np.uint64), (counts, np.int64)))
-                    order = np.argsort(k)
-                    automaton = Automaton(wire, k[order], n[order], smoothing)
-                    keys, counts = [], []
-                train = part.column("train").to_numpy(zero_copy_only=False)
-                data, offsets = utf8(part.column("text"))
-                got = [automaton.read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], train[i:j]) for i, j in slices(offsets)]
-                n_tokens, n_known, base, full = (np.concatenate(x) for x in zip(*got, strict=True))
+            for chunk, block, text, lengths, rows in zip(*(batch.column(c) for c in ("chunk", "block", "texts", "lengths", "rows")), strict=True):
+                learn = rows.values.field("train").to_numpy(zero_copy_only=False)
+                rows = list(zip(*asked(block_of(text.as_py(), lengths.as_py()), learn, keys), strict=True))
+                order, bucket, raw, counts = rows or ([],) * 4
+                n = len(order)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(f"keep_{c}") for c in names] + [pa.array(~train), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(train), smoothing.train_tokens)), pa.array(base), pa.array(full)],
+                    [pa.array(order, pa.int32()), pa.array(bucket, pa.int64()), pa.array([chunk.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["order", "bucket", "chunk", "block", "keys", "counts"],
+                )
+
+    asks = blocks.select("chunk", "block", "texts", "lengths", F.transform("rows", lambda r: F.struct(r["train"].alias("train"))).alias("rows")).mapInArrow(ask, ASKED)
+    found = durable(asks.repartition(len(ORDERS) << buckets, "order", "bucket").groupBy("order", "bucket").applyInArrow(answers(keys), ANSWERED))
+    model = share(docs.sparkSession, smoothing(found, texts))
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in made[1:4]] + [T.StructField(c, T.DoubleType()) for c in made[4:]])
+
+    def read(mine: pa.Table, counted: pa.Table) -> pa.Table:
+        numbers = model()
+        by: dict[tuple[int, int], list] = {}
+        for block, order, bucket, counts in zip(*(counted.column(c).to_pylist() for c in ("block", "order", "bucket", "counts")), strict=True):
+            by.setdefault((block, order), []).append((bucket, counts))
+        parts = []
+        for block, text, lengths, rows in zip(*(mine.column(c) for c in ("block", "texts", "lengths", "rows")), strict=True):
+            tokens = block_of(text.as_py(), lengths.as_py())
+            lists = {k: [restored(c).astype(np.int64) for _, c in sorted(by.get((block.as_py(), k), []))] for k in ORDERS}
+            counts = {k: np.concatenate(x) if x else np.empty(0, np.int64) for k, x in lists.items()}
+            machine = Automaton(tokens, counts, keys, numbers)
+            add = lambda x, first=tokens.first: np.add.reduceat(x, first)
+            values = rows.values
+            parts.append(
+                pa.table(
+                    [*[values.field(f"k{i}") for i in range(len(names))], pc.invert(values.field("train")), pa.array(tokens.length), pa.array(add(machine.known[tokens.token].astype(np.int64)))]
+                    + [pa.array(np.full(len(values), numbers.train_tokens)), pa.array(add(machine.root[tokens.token])), pa.array(add(machine.read()))],
                     names=schema.names,
                 )
+            )
+        return pa.concat_tables(parts) if parts else pa.table({f: [] for f in schema.names})
 
-    return arcs.union(texts).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(read, schema)
+    told = found.where("block is not null").select("chunk", "block", "order", "bucket", "counts")
+    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(read, schema)

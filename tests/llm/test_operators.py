@@ -147,51 +147,6 @@ def test_positions(spark):
         assert [s for s, _ in pairs] == list(range(len(pairs))) and [o for _, o in pairs] == sorted(o for _, o in pairs)
 
 
-# ---------------------------------------------------------------- language model
-
-
-def test_lm_matches_a_plain_model(docs, texts, nothing):
-    train = F.coalesce(F.col("doc_id") % 5 != 2, F.lit(False))
-    rows = {r.doc_id: r for r in lm.score(docs, train, block_ids=8, sample_tokens=10**9).collect()}
-    split = lambda t: re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None]
-    tokens = {i: split(t) for i, t in enumerate(texts)}
-    learn = [i for i in tokens if i % 5 != 2]
-    words = Counter(w for i in learn for w in tokens[i])
-    pairs = Counter(p for i in learn for p in zip(["start", *tokens[i]], tokens[i], strict=False))
-    n, v = sum(words.values()), len(words)
-    sample = [(h, w) for i in learn for h, w in zip(["start", *tokens[i]], tokens[i], strict=False)]
-    count = lambda h: len(learn) if h == "start" else words[h]
-    weights = lm.deleted_interpolation(*(np.array(x, float) for x in ([pairs[p] for p in sample], [count(h) for h, _ in sample], [words[w] for _, w in sample])), n, v)
-    for i, own in tokens.items():
-        r, base, full = rows[i], 0.0, 0.0
-        for h, w in zip(["start", *own], own, strict=False):
-            root = (words[w] + 1) / (n + v + 1)
-            base += np.log10(root)
-            c = count(h)
-            back = weights[int(np.log2(c))] if c else 1.0
-            full += np.log10((1 - back) * (pairs[h, w] / c if c else 0) + back * root)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(words[w] > 0 for w in own), n, i % 5 == 2)
-        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(full, abs=1e-6)
-        assert r.shard == 7
-    assert lm.score(nothing, train).count() == 0
-    unlearned = lm.score(docs, F.lit(False)).collect()
-    assert all(r.n_known == 0 and r.score == pytest.approx(r.base_score) for r in unlearned)
-
-
-def test_lm_probabilities_sum_to_one(spark):
-    """Over all words after a history, with the unknown word."""
-    texts = ["a b a c", "a b", "b a c c"]
-    vocabulary = ["a", "b", "c", "unseen"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + k, w) for k, w in enumerate(vocabulary)] + [(2000, "")]
-    found = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
-    # texts of one word are that word after the start, then the end after it; the empty text is the end after the start
-    base = {r.doc_id: r for r in found.values()}
-    assert base[2000].n_tokens == 1 and base[1003].n_known == 1
-    n, v = 13, 4
-    root = lambda c: (c + 1) / (n + v + 1)
-    assert sum(root(c) for c in (4, 3, 3, 3)) + root(0) == pytest.approx(1)
-
-
 # ---------------------------------------------------------------- simhash
 
 
