@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, mix64, slices, utf8
+from .common import map_text, mix64, share, slices, utf8
 
 #: First code point of the ranges of Unicode scripts; "" ends a script.
 SCRIPT_RANGES = [
@@ -42,16 +42,32 @@ _SCRIPT_OF = np.array([SCRIPTS.index("")] + [SCRIPTS.index(name) for _, name in
 
 TRIGRAMS, WORDS = 1 << 16, 1 << 15
 FEATURES = TRIGRAMS + WORDS
+#: Code points below this have a table; the few above are looked up one by one.
 _LAST = 0x30000
+LETTER, MARK = 1, 2
+
+
+def kind_of(c: str) -> int:
+    return LETTER if c.isalpha() else MARK if unicodedata.category(c)[0] == "M" else 0
 
 
 def letter_tables():
-    """Which code points are letters or marks, and their lower case of equal length."""
+    """Which code points are letters and which are marks, and their lower case of equal
+    length."""
     chars = list(map(chr, range(_LAST)))
-    letter = np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in chars])
+    kind = np.array(list(map(kind_of, chars)), dtype=np.uint8)
     low = [c.lower() for c in chars]
     lower = np.array([ord(l) if len(l) == 1 else i for i, l in enumerate(low)], dtype=np.uint32)
-    return letter, lower
+    return kind, lower
+
+
+def kinds(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    kind = table[np.minimum(points, _LAST - 1)]
+    high = np.flatnonzero(points >= _LAST)
+    if len(high):
+        distinct, at = np.unique(points[high], return_inverse=True)
+        kind[high] = np.array([kind_of(chr(p)) for p in distinct], dtype=np.uint8)[at]
+    return kind
 
 
 @dataclass
@@ -69,20 +85,31 @@ class Words:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, tables) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i+1]] (UTF-8)."""
-    letter, lower = tables
+    """Words of the texts data[offsets[i]:offsets[i+1]] (UTF-8): runs of letters and
+    marks that hold a letter."""
+    table, lower = tables
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     lead = (data & 0xC0) != 0x80
     begin = np.concatenate([[0], np.cumsum(lead)])[offsets] if len(data) else np.zeros(len(offsets), dtype=np.int64)
-    known = np.minimum(points, _LAST - 1)
-    is_letter = letter[known]
+    kind = kinds(points, table)
+    is_letter = kind > 0
     cut = np.zeros(len(points) + 1, dtype=bool)
     cut[begin] = True
-    before = np.concatenate([[False], is_letter[:-1]]) if len(points) else is_letter
-    after = np.concatenate([is_letter[1:], [False]]) if len(points) else is_letter
-    starts = np.flatnonzero(is_letter & (~before | cut[:-1]))
-    ends = np.flatnonzero(is_letter & (~after | cut[1:])) + 1
-    low = np.where(is_letter, lower[known], 0).astype(np.uint64)
+
+    def runs():
+        before = np.concatenate([[False], is_letter[:-1]]) if len(points) else is_letter
+        after = np.concatenate([is_letter[1:], [False]]) if len(points) else is_letter
+        return np.flatnonzero(is_letter & (~before | cut[:-1])), np.flatnonzero(is_letter & (~after | cut[1:])) + 1
+
+    starts, ends = runs()
+    if (kind == MARK).any():
+        letters = np.concatenate([[0], np.cumsum(kind == LETTER)])
+        bare = letters[ends] == letters[starts]
+        if bare.any():
+            for a, b in zip(starts[bare], ends[bare], strict=True):
+                is_letter[a:b] = False
+            starts, ends = runs()
+    low = np.where(is_letter, np.where(points < _LAST, lower[np.minimum(points, _LAST - 1)], points), 0).astype(np.uint64)
     left, right = np.zeros_like(low), np.zeros_like(low)
     left[1:], right[:-1] = low[:-1], low[1:]
     left[starts], right[ends - 1] = 0, 0
@@ -166,7 +193,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, switch: f
     """Best label of every word of many texts at once: text i has the words
     first[i] .. first[i]+length[i]-1. Step t handles the t-th words of all texts that
     have one. Ties keep the label, then prefer the first language."""
-    labels = np.zeros(len(scores), dtype=np.int8)
+    kind = np.min_scalar_type(-max(1, scores.shape[1]))
+    labels = np.zeros(len(scores), dtype=kind)
     order = np.argsort(-length, kind="stable")
     order = order[length[order] > 0]
     if not len(order):
@@ -174,8 +202,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, switch: f
     first, length = first[order], length[order]
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-    source = np.zeros(scores.shape, dtype=np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    source = np.zeros(scores.shape, dtype=kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     best = scores[first].astype(np.float64)
     for t in range(1, steps):
         k = active[t]
@@ -183,10 +211,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, switch: f
         top = best_now.argmax(axis=1)
         most = best_now[np.arange(k), top][:, None] - switch
         stay = best_now >= most
-        source[rows] = np.where(stay, own, top[:, None].astype(np.int8))
+        source[rows] = np.where(stay, own, top[:, None].astype(kind))
         best_now = np.maximum(best_now, most) + scores[rows]
         best[:k] = best_now - best_now.max(axis=1, keepdims=True)
-    state = best.argmax(axis=1).astype(np.int8)
+    state = best.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         rows = first[:k] + t
@@ -207,13 +235,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, o
     of docs that clash with the results are replaced. With `only`, rows are kept whose
     language is in it and whose score is at least min_score, and no column is added.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
 
     built: list = []
 
     def label(column):
-        model = shared.value
+        model = shared()
         languages = len(model.languages)
         n = len(column)
         if not built:
