@@ -23,14 +23,17 @@ from pyspark.sql import types as T
 from .common import shared_folder
 from .tokens import Encoder
 
-ROWS = T.StructType([
-    T.StructField("input_ids", T.BinaryType()),
-    T.StructField("n_tokens", T.IntegerType()),
-    T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
-    T.StructField("position_ids", T.BinaryType()),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())),
-    T.StructField("starts", T.ArrayType(T.LongType())),
-])
+
+
+def row_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("input_ids", T.BinaryType()),
+        T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
+        T.StructField("position_ids", T.BinaryType()),
+        T.StructField("doc_ids", T.ArrayType(id_type)),
+        T.StructField("starts", T.ArrayType(T.LongType())),
+    ])
 
 
 class CapacityTree:
@@ -79,19 +82,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def packed(docs: DataFrame, row: int = 2048, end_id: int = 50256, pad_id: int = 50256, text_col: str = "text", id_col: str = "doc_id", width: int = 2, pool: int = 8192, place: str | None = None) -> DataFrame:
-    """Packed rows of all docs. `width` is the bytes of an id (2 or 4).
+    """Packed rows of all docs. `width` is the bytes of an id (2 or 4); an id that does
+    not fit raises. The strings of special tokens are ordinary text, so that no text can
+    hold an end id of its own.
 
-    Null and empty texts are one segment of the end id. Null ids stay null in doc_ids;
-    ids must be whole numbers. Repeated documents are packed one by one.
+    Null and empty texts are one segment of the end id. doc_ids keeps the ids as they
+    are, of any type and null. Repeated documents are packed one by one.
     """
-    encoder = Encoder(place)
+    encoder = Encoder(place, special=False)
     kind = {2: "<u2", 4: "<u4"}[width]
+    largest = (1 << 8 * width) - 1
+    if max(end_id, pad_id) > largest:
+        raise ValueError(f"end_id {end_id} or pad_id {pad_id} needs more than {width} bytes")
+    schema = row_schema(docs.schema[id_col].dataType)
 
     def run(batches):
         waiting: list[tuple] = []  # remainders: (doc, start, ids)
+        id_kind = pa.null()
 
         def emit(rows):
-            columns = [[] for _ in ROWS.fields]
+            columns = [[] for _ in schema.fields]
             for segments in rows:
                 ids = np.full(row, pad_id, dtype=kind)
                 positions = np.zeros(row, dtype="<u2" if row <= 1 << 16 else "<u4")
@@ -101,8 +111,8 @@ def packed(docs: DataFrame, row: int = 2048, end_id: int = 50256, pad_id: int =
                     positions[a:b] = np.arange(b - a)
                 for column, value in zip(columns, (ids.tobytes(), int(ends[-1]), ends.astype(np.int32), positions.tobytes(), [s[0] for s in segments], [s[1] for s in segments]), strict=True):
                     column.append(value)
-            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=ROWS.names)
+            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(id_kind), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 
         def fitted():
             lengths = np.array([len(w[2]) for w in waiting])
@@ -111,9 +121,12 @@ def packed(docs: DataFrame, row: int = 2048, end_id: int = 50256, pad_id: int =
             return rows
 
         for batch in batches:
-            full = []
+            full, id_kind = [], batch.schema.field("__id").type
             for doc, text in zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype(kind)
+                ids = np.append(encoder.ids(text or ""), np.uint32(end_id))
+                if int(ids.max()) > largest:
+                    raise ValueError(f"token id {ids.max()} needs more than {width} bytes")
+                ids = ids.astype(kind)
                 whole = len(ids) - len(ids) % row
                 full += [[(doc, a, ids[a : a + row])] for a in range(0, whole, row)]
                 if whole < len(ids):
@@ -131,20 +144,26 @@ def packed(docs: DataFrame, row: int = 2048, end_id: int = 50256, pad_id: int =
         for i in range(0, len(ready), 1024):
             yield emit(ready[i : i + 1024])
 
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, ROWS)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the packed rows as Parquet (to a new folder beside the shared tables by
     default) and return them, read back, with row_id: part of the table and number."""
     path = path or f"{shared_folder(docs.sparkSession)}/packed-{uuid.uuid4().hex}"
-    packed(docs, **options).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.schema(T.StructType(ROWS.fields + [T.StructField("row_id", T.LongType())])).parquet(path)
+    rows = packed(docs, **options).withColumn("row_id", F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def documents(rows: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids): the segments of packed rows, ids as little-endian bytes."""
-    segment = F.posexplode("doc_ids").alias("k", "doc_id")
-    cut = rows.select("input_ids", "cu_seqlens", "starts", segment)
-    a, b = F.get("cu_seqlens", F.col("k")), F.get("cu_seqlens", F.col("k") + 1)
-    return cut.select("doc_id", F.get("starts", F.col("k")).alias("start"), F.substring("input_ids", a * width + 1, (b - a) * width).alias("ids"))
+    """The segments of packed rows: doc_id, start (ids of the document before it), ids
+    (little-endian bytes), row_id, segment (its number in the row), offset and end (its
+    cumulative lengths), positions (bytes of its position ids) and n_tokens of the row."""
+    segment = F.posexplode("doc_ids").alias("segment", "doc_id")
+    cut = rows.select("row_id", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "starts", segment)
+    k = F.col("segment")
+    a, b = F.get("cu_seqlens", k), F.get("cu_seqlens", k + 1)
+    wide = (F.octet_length("position_ids") / (F.octet_length("input_ids") / width)).cast("int")
+    part = lambda column, size: F.substring(column, a * size + 1, (b - a) * size)
+    return cut.select("doc_id", F.get("starts", k).alias("start"), part("input_ids", F.lit(width)).alias("ids"), "row_id", "segment", a.alias("offset"), b.alias("end"), part("position_ids", wide).alias("positions"), "n_tokens")
