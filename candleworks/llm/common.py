@@ -23,9 +23,11 @@ SLICE_BYTES = 2 << 20
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset (local mode) a temporary one, which is then kept in the setting."""
+    that is unset a temporary one, in local mode alone, kept in a setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("candleworks.scratch", None) or tempfile.mkdtemp(prefix="spark-candleworks-")
         spark.conf.set("candleworks.scratch", folder)
     return folder.rstrip("/")
@@ -40,6 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_each(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, most: int = 100_000) -> DataFrame:
+    """left joined to right on key, without the column `rows`. right has one row for a
+    key, and `rows` says how many of the `total` rows of left have it. Keys of more than
+    1/1000 of all rows (and more than `most`) are at most 1000: these are broadcast and
+    their rows stay where they are, so no task gets all rows of one key; the others
+    meet by shuffle."""
+    if total <= most:
+        return left.join(right.drop(rows), key)
+    hot = F.broadcast(right.where(F.col(rows) > max(total // 1000, most)).drop(rows))
+    cold = right.where(F.col(rows) <= max(total // 1000, most)).drop(rows)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def share(spark: SparkSession, value):
     """A function that gives value in tasks: broadcast as bytes that hold classes by
     value, so executors need no copy of the package."""
@@ -183,10 +198,6 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return out
 
 
-def sizes_of(docs_of_words: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(docs_of_words, minlength=n)
-
-
 def held_out(id_col: str, folds: int, fold: int):
     """True for rows of the fold that learning leaves out: crc32 of the id as text."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

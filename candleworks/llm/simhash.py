@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, map_text
+from .common import durable, join_each, map_text
 from .components import components
 
 RADIUS = 2
@@ -183,12 +183,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     with_id = docs.withColumn("__id", F.col(id_col))
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id")]
     marked = durable(fingerprints(with_id, text_col, [*names, "__id"], size))
-    nodes = durable(marked.groupBy("fingerprint").agg(F.min("__id").alias("least")))
+    nodes = durable(marked.groupBy("fingerprint").agg(F.min("__id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(nodes.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint")
     of = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = of.join(least, "root").select("fingerprint", "component_id")
-    return marked.join(table, "fingerprint").select(*[F.col(f"`{c}`") for c in names], "fingerprint", "component_id")
+    table = of.join(least, "root").select("fingerprint", "component_id", "rows")
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    return join_each(marked, table, "fingerprint", "rows", total).select(*[F.col(f"`{c}`") for c in names], "fingerprint", "component_id")
 
 
 def hexadecimal(column: str = "fingerprint"):
