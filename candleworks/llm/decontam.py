@@ -6,22 +6,25 @@ words of an item becomes a pattern over word numbers; shorter items are one patt
 The automaton reads each text once. Word numbers lead back to byte offsets of the
 original text, so hits are reported as code-point spans of the text as it was.
 
-Items are a stated query set: they are broadcast after their size is checked, and
-beyond `block_windows` windows several automata are used in turn on each batch.
+Items are a stated query set. The automaton is built once, on the driver, after its
+size is known from the number of windows, and broadcast; a task loads it once. A window
+is numbered, and arrays list the items of each number.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
+from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, share
 
 #: Word separators, as bytes: controls, ASCII punctuation and space.
 _LOWERED = bytes(
@@ -38,33 +41,57 @@ def load_items(items: DataFrame, item_col: str, item_text: str, max_bytes: int)
     """The items on the driver, after a check of their size: they go to every task."""
     total = items.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
     if total > max_bytes:
-        raise ValueError(f"{total} bytes of items; raise max_item_bytes or call once for each part of the items")
+        raise ValueError(f"{total} bytes of items; raise max_bytes if driver and tasks have the memory")
     rows = items.select(F.col(item_col).cast("string"), F.col(item_text)).where(F.col(item_text).isNotNull()).toArrow()
     return [(str(i), t.encode()) for i, t in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
 
 
-def plan_windows(items, window: int, block_windows: int):
-    """Vocabulary and blocks of patterns: {words as numbers: positions of its items}."""
+#: Most bytes of an automaton for each word of a window: 13 words take at most about
+#: 13 nodes, measured at 62 bytes each.
+NODE_BYTES = 64
+
+
+@dataclass
+class Windows:
+    numbers: dict[bytes, int]  # of the words of items, from 1
+    names: list[str]  # of the items, sorted
+    machine: ahocorasick.Automaton | None  # of word numbers; ends give the window's number
+    size: np.ndarray  # words of each window
+    first: np.ndarray  # where the items of each window begin in `items`
+    items: np.ndarray
+
+    def owners(self, window: int) -> list[int]:
+        return self.items[self.first[window] : self.first[window + 1]].tolist()
+
+
+def build(items: list[tuple[str, bytes]], window: int, max_bytes: int) -> Windows:
+    """One automaton for all windows of the items; ValueError if it could need more
+    than max_bytes."""
     numbers: dict[bytes, int] = {}
     names = sorted({name for name, _ in items})
     at = {name: k for k, name in enumerate(names)}
-    patterns: dict[tuple[int, ...], set[int]] = {}
-    for name, text in items:
-        ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words(text))
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1 if size else 0):
-            patterns.setdefault(ids[i : i + size], set()).add(at[name])
-    flat = [(ids, tuple(sorted(who))) for ids, who in patterns.items()]
-    return numbers, names, [flat[i : i + block_windows] for i in range(0, len(flat), block_windows)]
-
-
-def automaton(patterns):
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for ids, who in patterns:
-        found.add_word(ids, (len(ids), who))
-    if patterns:
-        found.make_automaton()
-    return found
+    texts = [(at[name], array("I", [numbers.setdefault(w, len(numbers) + 1) for w in words(text)])) for name, text in items]
+    nodes = sum((max(1, len(ids) - window + 1)) * min(window, len(ids)) for _, ids in texts)
+    if nodes * NODE_BYTES > max_bytes:
+        raise ValueError(f"windows of up to {nodes} words in all need up to {nodes * NODE_BYTES} bytes in every task; raise max_bytes if tasks have the memory")
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    size, of, who = array("I"), array("I"), array("I")
+    for owner, ids in texts:
+        n = min(window, len(ids))
+        for i in range(len(ids) - n + 1 if n else 0):
+            key = tuple(ids[i : i + n])
+            k = machine.get(key, -1)
+            if k < 0:
+                k = len(size)
+                machine.add_word(key, k)
+                size.append(n)
+            of.append(k)
+            who.append(owner)
+    if len(size):
+        machine.make_automaton()
+    pair = np.unique(np.array(of, dtype=np.int64) * max(1, len(names)) + np.array(who, dtype=np.int64))
+    first = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(names)))
+    return Windows(numbers, names, machine if len(size) else None, np.array(size, dtype=np.int64), first, pair % max(1, len(names)))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,8 +113,7 @@ def decontaminate(
     window: int = 13,
     min_share: tuple[int, int] = (1, 20),
     keep=None,
-    max_item_bytes: int = 256 << 20,
-    block_windows: int = 500_000,
+    max_bytes: int = 512 << 20,
     only_clean: bool = False,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (their ids as sorted strings), hits
@@ -98,11 +124,10 @@ def decontaminate(
     or wordless match nothing; rows of items that share an id count as one item, and
     equal windows of different items report all of them. Repeated documents are
     judged one by one. Columns of docs that clash with the results are replaced.
-    only_clean leaves contaminated rows out and adds no columns.
+    only_clean leaves contaminated rows out and adds no columns. Items whose texts or
+    automaton could need more than max_bytes raise ValueError before anything is built.
     """
-    numbers, names, blocks = plan_windows(load_items(items, item_col, item_text, max_item_bytes), window, block_windows)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((numbers, names, blocks))
+    shared = share(docs.sparkSession, build(load_items(items, item_col, item_text, max_bytes), window, max_bytes))
     over, under = min_share
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     fields = [
@@ -113,32 +138,27 @@ def decontaminate(
         T.StructField("hits", T.ArrayType(span)),
         T.StructField("contaminated", T.BooleanType()),
     ]
-    built: dict[int, object] = {}
 
     def scan(column):
-        vocabulary, labels, parts = shared.value
+        windows = shared()
+        vocabulary, labels, machine, sizes = windows.numbers, windows.names, windows.machine, windows.size
         texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
         ids, ranges, who = [], [[] for _ in texts], [set() for _ in texts]
         number = vocabulary.get
         for text in texts:
             ids.append(tuple([number(w, 0) for w in words(text)]))
-        for k, part in enumerate(parts):
-            machine = built.get(k)
-            if machine is None:
-                built.clear()
-                machine = built[k] = automaton(part)
-            for d, sequence in enumerate(ids):
-                if sequence:
-                    for end, (size, owners) in machine.iter(sequence):
-                        ranges[d].append((end - size + 1, end + 1))
-                        who[d].update(owners)
+        for d, sequence in enumerate(ids):
+            if sequence and machine is not None:
+                for end, k in machine.iter(sequence):
+                    ranges[d].append((end - int(sizes[k]) + 1, end + 1))
+                    who[d].add(k)
         n_hit, items_of, hits, bad = [], [], [], []
         for text, sequence, found, owners in zip(texts, ids, ranges, who, strict=True):
             runs = merged(found)
             n = sum(b - a for a, b in runs)
             n_hit.append(n)
             bad.append(n > 0 and under * n >= over * len(sequence))
-            items_of.append(sorted(labels[o] for o in owners))
+            items_of.append(sorted({labels[o] for k in owners for o in windows.owners(k)}))
             at = []
             if runs and not only_clean:
                 places = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))]
@@ -167,7 +187,3 @@ def decontaminate(
 def items_digest(items_col: str = "items"):
     """Lower-case hex SHA-256 of the item ids, comma-joined."""
     return F.sha2(F.array_join(F.col(items_col), ","), 256)
-
-
-def python_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
