@@ -1,6 +1,6 @@
 """Near-duplicate vectors by product quantisation, with exact reranking.
 
-Equal vectors collapse into one with a multiplicity. Coarse centroids and residual
+Equal vectors (by two 64-bit hashes) collapse into one with a multiplicity. Coarse centroids and residual
 subspace codebooks are fitted on a bounded sample; every vector then has a home list,
 a code of its residual and the length of what the code leaves out. A vector probes all
 lists whose cells come within half the distance of the similarity: between two vectors at
@@ -23,10 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_each, share
 from .components import components
 
 
+#: Doubles in one table of distances between rows and lists.
+CELLS = 1 << 22
+
+#: Bytes of the vectors, as doubles, that the index is fitted on.
+SAMPLE_BYTES = 256 << 20
+
+
 @dataclass
 class Index:
     centroids: np.ndarray  # lists x width
@@ -35,6 +42,11 @@ class Index:
     similarity: float
     reach: float
 
+    @property
+    def batch(self) -> int:
+        """Rows that are compared with all lists at once: a few tables of CELLS doubles."""
+        return max(16, CELLS // len(self.centroids))
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Home list, codes, length of the coding error, and probed lists of unit rows."""
         d2 = np.maximum((x * x).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T, 0)
@@ -51,11 +63,13 @@ class Index:
         """Lists to look into, the home included. The plane between the home's centroid
         and another bounds the other's cell; its distance is compared with the margin, half
         the distance of the similarity, or less where a finite reach trades recall."""
-        gaps = np.sqrt(np.maximum((self.centroids**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * self.centroids @ self.centroids.T, 0))
         home = d2.argmin(axis=1)
+        own, at = np.unique(home, return_inverse=True)
+        squares = (self.centroids**2).sum(1)
+        gaps = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * self.centroids[own] @ self.centroids.T, 0))
         apart = np.sqrt(max(0.0, 2 - 2 * self.similarity))
         margin = min(apart / 2, self.reach * apart / np.sqrt(self.centroids.shape[1]))
-        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[home] * margin + 1e-6
+        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[at] * margin + 1e-6
         return [np.flatnonzero(n) for n in near]
 
 
@@ -108,7 +122,7 @@ def packed(vectors: DataFrame, kind: str) -> DataFrame:
 def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Keys with their numbers of linked rows as far as this block counts them, and
     links that connect what all links of the block connect."""
-    x, codes, error = members["x"], members["codes"], members["error"]
+    x, codes, error, lists = members["x"], members["codes"], members["error"], len(index.centroids)
     keys = np.unique(np.concatenate([members["k"], queries["k"]]))
     counts, label = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
     at_member, at_query = np.searchsorted(keys, members["k"]), np.searchsorted(keys, queries["k"])
@@ -130,7 +144,7 @@ def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple
             continue
         np.add.at(counts, at_query[i + row], members["n"][column])
         # the member counts the query here unless it meets it in the query's home list
-        alone = np.array([queries["home"][i + r] not in members["probed"][c] for r, c in zip(row.tolist(), column.tolist(), strict=True)])
+        alone = ~np.isin(column * lists + queries["home"][i + row], members["probed"])
         np.add.at(counts, at_member[column[alone]], queries["n"][i + row[alone]])
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         for a, b in zip(first, [*first[1:], len(row)], strict=True):
@@ -154,7 +168,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
     Vectors that are null, empty, zero or hold a null, NaN or infinite component link
     with nothing, and vectors of different widths not with each other. Equal vectors
     all link. The index is fitted on about 16 distinct vectors a list (8192 at least, and
-    16 * max_lists at most) chosen by hash, and covers all. Columns of vectors named like the results are replaced.
+    16 * max_lists or SAMPLE_BYTES at most) chosen by hash, and covers all; max_lists bounds this fit on
+    the driver, not what is found: with more vectors the lists grow, and the work in each
+    with its square. Columns of vectors named like the results are replaced.
     """
     made = ["n_links", "component_id", "kept"]
     names = [c for c in (vectors.columns if keep is None else keep) if c.lower() not in made]
@@ -163,22 +179,26 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
     sound = F.coalesce(
         F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0), F.lit(False)
     )
-    rows = vectors.select(*[F.col(f"`{c}`") for c in names], F.col(id_col).alias("__id"), F.when(sound, value).alias("__v"))
-    classes = rows.where(F.col("__v").isNotNull()).groupBy("__v").agg(F.count("*").alias("n"), F.min("__id").alias("least"))
+    digest = F.concat_ws(":", F.xxhash64("__v"), F.xxhash64(F.lit(1), "__v"))
+    rows = vectors.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], F.col(id_col).alias("__id"), F.when(sound, value).alias("__v")).withColumn("__digest", digest)
+    has, none = rows.where(F.col("__v").isNotNull()), rows.where(F.col("__v").isNull())
+    classes = has.groupBy("__digest").agg(F.first("__v").alias("__v"), F.count("*").alias("n"), F.min("__id").alias("least"))
     classes = durable(classes.withColumn("k", F.monotonically_increasing_id()))
-    n, width = classes.agg(F.count("*"), F.max(F.size("__v"))).first()
-    alone = rows.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"), F.lit(True).alias("kept"))
+    n, width, total = classes.agg(F.count("*"), F.max(F.size("__v")), F.sum("n")).first()
+    kept_columns = [F.col(f"`keep_{c}`").alias(c) for c in names]
+    alone = none.select(*kept_columns, F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return alone
     raw = packed(classes.select("k", "n", F.col("__v").alias("v")), kind)
-    lists = int(np.clip(n // per_list, 1, max_lists))
-    sample = max(16 * lists, 8192)
+    most = max(1024, SAMPLE_BYTES // (8 * width))
+    lists = int(np.clip(n // per_list, 1, min(max_lists, most // 4)))
+    sample = min(max(16 * lists, 8192), most)
     share = min(1.0, sample / n)
     chosen = raw.where(F.pmod(F.xxhash64("raw"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("raw").toArrow()
     train = unit_rows(chosen.column("raw").to_pylist(), width, kind)[0]
     if not len(train):  # few vectors, none in the share of the hash
         train = unit_rows([r.raw for r in raw.select("raw").limit(sample).collect()], width, kind)[0]
-    index = vectors.sparkSession.sparkContext.broadcast(fit(train, lists, subspaces, codes, similarity, reach))
+    index = share(vectors.sparkSession, fit(train, lists, subspaces, codes, similarity, reach))
 
     def deal(batches):
         """Rows for the lists: members (with code and probed lists) and queries (with
@@ -187,8 +207,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
             blobs = batch.column("raw").to_pylist()
             x, _ = unit_rows(blobs, width, kind)
             k, count = batch.column("k").to_numpy(), batch.column("n").to_numpy()
-            for i in range(0, len(x), 2048):
-                home, code, error, probed = index.value.encode(x[i : i + 2048])
+            step = index().batch
+            for i in range(0, len(x), step):
+                home, code, error, probed = index().encode(x[i : i + step])
                 of = np.repeat(np.arange(len(home)), [len(p) for p in probed])
                 take = np.concatenate([np.arange(len(home)), of]) + i
                 yield pa.RecordBatch.from_arrays(
@@ -221,12 +242,16 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
         k, count = table.column("k").to_numpy(), table.column("n").to_numpy()
         x, had = unit_rows(table.column("raw").to_pylist(), width, kind)
         code = [c for c in table.column("code").to_pylist() if c is not None]
-        others = table.column("lists").to_pylist()
+        others = table.column("lists").combine_chunks()
+        begin, others = others.offsets.to_numpy(), others.values.to_numpy()
         here, there = np.flatnonzero(~query), np.flatnonzero(query)
-        members = {"k": k[here], "n": count[here], "x": x[here], "had": had[here], "error": table.column("error").to_numpy()[here] + 1e-6, "probed": [set(others[i]) for i in here]}
+        members = {"k": k[here], "n": count[here], "x": x[here], "had": had[here], "error": table.column("error").to_numpy()[here] + 1e-6}
+        size = begin[here + 1] - begin[here]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        members["probed"] = np.repeat(np.arange(len(here)), size) * len(index().centroids) + others[np.repeat(begin[here], size) + within]
         members["codes"] = np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1)
-        queries = {"k": k[there], "n": count[there], "x": x[there], "had": had[there], "home": [others[i][0] for i in there]}
-        who, counts, links = search_block(index.value, int(table.column("list")[0].as_py()), members, queries)
+        queries = {"k": k[there], "n": count[there], "x": x[there], "had": had[there], "home": others[begin[there]].astype(np.int64)}
+        who, counts, links = search_block(index(), int(table.column("list")[0].as_py()), members, queries)
         a = np.concatenate([who, np.array([p for p, _ in links], dtype=np.int64)])
         b = pa.array([None] * len(who) + [p for _, p in links], pa.int64())
         return pa.table([pa.array(a), b, pa.array(np.concatenate([counts, np.zeros(len(links), np.int64)]))], names=names)
@@ -236,12 +261,6 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
     counted = found.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("linked"))
     of = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = of.join(least, "root").join(counted, "k", "left").select("__v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    joined = rows.join(table, "__v", "left")
-    component = F.when(F.col("__v").isNull(), F.col("__id")).otherwise(F.col("component_id"))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("__id")).alias("kept"),
-    )
+    table = of.join(least, "root").join(counted, "k", "left").select("__digest", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id", "n")
+    joined = join_each(has.drop("__v"), table, "__digest", "n", total)
+    return joined.select(*kept_columns, "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("__id")).alias("kept")).union(alone)
