@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, carried, durable, hash_spans, map_text, slices, spans_of, utf8
+from .common import LOWER, SPACE, carried, durable, hash_spans, map_text, share, slices, spans_of, utf8
 
 STATISTICS = [
     "log_words", "mean_word", "log_longest_word", "upper_share", "digit_share", "symbol_share", "sentence_share",
@@ -34,7 +34,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 13]] = True
 
 
-def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
@@ -76,17 +76,21 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters = by[:, 1] + by[:, 2] + by[:, 6]
     count = lambda mask: np.bincount(doc[mask], minlength=n)
     return np.column_stack([
-        np.log1p(words), share(length_sum := np.bincount(doc, weights=length, minlength=n), words), np.log1p(longest),
-        share(upper, letters), share(by[:, 3], size), share(by[:, 5], size), share(by[:, 4], size),
-        share(count(last == 5), words), share(distinct, words), share(count(again), words), share(top, words),
-        share(count(length <= 3), words), share(count((length == 1) & (first == 5)), words),
-        share(lines, words), 1 - share(distinct_lines, np.maximum(lines, 1)) * (lines > 0) - (lines == 0), share(by[:, 6], size),
-        share(np.bincount(of[data == 0x21], minlength=n), np.maximum(words, length_sum / 50)),
+        np.log1p(words), ratio(length_sum := np.bincount(doc, weights=length, minlength=n), words), np.log1p(longest),
+        ratio(upper, letters), ratio(by[:, 3], size), ratio(by[:, 5], size), ratio(by[:, 4], size),
+        ratio(count(last == 5), words), ratio(distinct, words), ratio(count(again), words), ratio(top, words),
+        ratio(count(length <= 3), words), ratio(count((length == 1) & (first == 5)), words),
+        ratio(lines, words), 1 - ratio(distinct_lines, np.maximum(lines, 1)) * (lines > 0) - (lines == 0), ratio(by[:, 6], size),
+        ratio(np.bincount(of[data == 0x21], minlength=n), np.maximum(words, length_sum / 50)),
     ])
 
 
+#: Name of the column that `describe` adds and `score` takes away.
+DESCRIBED = "quality_statistics"
+
+
 def describe(docs: DataFrame, text_col: str = "text", keep=None) -> DataFrame:
-    """docs with `statistics`, an array of doubles; zeros where there is no text."""
+    """docs with `quality_statistics`, an array of doubles; zeros where there is no text."""
 
     def run(column):
         data, offsets = utf8(column)
@@ -94,7 +98,7 @@ def describe(docs: DataFrame, text_col: str = "text", keep=None) -> DataFrame:
         flat = np.concatenate(rows).ravel() if rows else np.empty(0)
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(flat, pa.float64()))]
 
-    return map_text(docs, text_col, keep, [T.StructField("statistics", T.ArrayType(T.DoubleType()))], run)
+    return map_text(docs, text_col, keep, [T.StructField(DESCRIBED, T.ArrayType(T.DoubleType()))], run)
 
 
 @dataclass
@@ -138,14 +142,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 #: Raw scores are calibrated on a grid of this step between -1 and 2.
 GRID = 0.001
 
+#: Partition sums (half a megabyte each) that one task or the driver adds up.
+MERGED = 32
+
 
 def fit(described: DataFrame, labels: DataFrame, key: str = "doc_id", label_col: str = "quality", features: int = 256, ridge: float = 1e-3, width: float = 0.03, seed: int = 17) -> Model | None:
     """Fit on the rows of `described` that have a label 0 or 1. Of several labels of
     one key the largest counts. None if there is no labelled row."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label_col).cast("double").alias("__y"))
-    rows = durable(described.join(marks, F.col(key) == F.col("__key")).select("statistics", "__y"))
+    rows = durable(described.join(marks, F.col(key) == F.col("__key")).select(DESCRIBED, "__y"))
     k = len(STATISTICS)
-    each = [F.get("statistics", F.lit(i)) for i in range(k)]
+    each = [F.get(DESCRIBED, F.lit(i)) for i in range(k)]
     summary = rows.agg(F.count("*"), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
     if not summary[0]:
         return None
@@ -157,7 +164,7 @@ def fit(described: DataFrame, labels: DataFrame, key: str = "doc_id", label_col:
     def sums(batches):
         zz, zy, n = np.zeros((size, size)), np.zeros(size), 0
         for batch in batches:
-            x, y = matrix(batch.column("statistics")), batch.column("__y").to_numpy()
+            x, y = matrix(batch.column(DESCRIBED)), batch.column("__y").to_numpy()
             for i in range(0, len(y), 4096):
                 z = model.features(x[i : i + 4096])
                 zz += z.T @ z
@@ -175,14 +182,18 @@ def fit(described: DataFrame, labels: DataFrame, key: str = "doc_id", label_col:
             yield pa.RecordBatch.from_arrays([pa.array([zz.tobytes()], pa.binary()), pa.array([zy.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["zz", "zy", "n"])
 
     schema = "zz binary, zy binary, n long"
-    parts = rows.mapInArrow(sums, schema).repartition(8).mapInArrow(add, schema).collect()
+    parts, width = rows.mapInArrow(sums, schema), rows.rdd.getNumPartitions()
+    while width > MERGED:  # a tree of merges: no task adds up more than about MERGED sums
+        width = -(-width // MERGED)
+        parts = parts.repartition(width).mapInArrow(add, schema)
+    parts = parts.collect()
     zz = sum(np.frombuffer(r.zz) for r in parts).reshape(size, size)
     zy, n = sum(np.frombuffer(r.zy) for r in parts), sum(r.n for r in parts)
     model.weights = np.linalg.solve(zz + ridge * n / size * np.eye(size), zy)
 
     def cells(batches):
         for batch in batches:
-            raw = np.round(np.clip(model.raw(matrix(batch.column("statistics"))), -1, 2) / GRID).astype(np.int64)
+            raw = np.round(np.clip(model.raw(matrix(batch.column(DESCRIBED))), -1, 2) / GRID).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column("__y")], names=["cell", "y"])
 
     grid = rows.mapInArrow(cells, "cell long, y double").groupBy("cell").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("cell").toArrow()
@@ -194,14 +205,14 @@ def fit(described: DataFrame, labels: DataFrame, key: str = "doc_id", label_col:
 def score(described: DataFrame, model: Model | None, keep=None, threshold: float = 0.7) -> DataFrame:
     """described with score (0 to 1) and predicted (1 from `threshold` on). Without a
     model every score is 0.5. Columns named score or predicted are replaced."""
-    names = [c for c in carried(described, keep, ["score", "predicted"]) if c != "statistics"]
+    names = [c for c in carried(described, keep, ["score", "predicted"]) if c != DESCRIBED]
     schema = T.StructType([described.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = described.sparkSession.sparkContext.broadcast(model)
+    shared = share(described.sparkSession, model)
 
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column("statistics"))
-            s = np.full(len(x), 0.5) if shared.value is None else shared.value.score(x)
+            x = matrix(batch.column(DESCRIBED))
+            s = np.full(len(x), 0.5) if shared() is None else shared().score(x)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return described.select(*[F.col(f"`{c}`") for c in names], "statistics").mapInArrow(run, schema)
+    return described.select(*[F.col(f"`{c}`") for c in names], DESCRIBED).mapInArrow(run, schema)

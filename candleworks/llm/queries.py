@@ -124,10 +124,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each segment of the packed rows that were written."""
+    """One row for each segment of the packed rows that were written: whose it is, its
+    row and place in it, and checksums of its ids and position ids as they are stored."""
     rows = tokenout.write(table(spark, sf_dir, "documents"))
     cut = tokenout.documents(rows)
-    return cut.select("doc_id", "start", (F.octet_length("ids") / 2).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    length = (F.octet_length("ids") / 2).cast("long").alias("length")
+    return cut.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "row_id", "segment", "offset", "end", F.crc32("positions").alias("positions_crc32"), "n_tokens")
 
 
 

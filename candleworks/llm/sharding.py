@@ -21,6 +21,7 @@ from .common import durable
 from .ordinals import positions
 
 FIRST, FINER = 3, 2  # hexadecimal digits of the first ranges, and added by each split
+SPLIT = 64  # ranges split in one round where the cuts do not say which
 
 
 def walk(ends: np.ndarray, single: np.ndarray, capacity: int, most: int, sure: bool) -> tuple[int, list[int]]:
@@ -75,7 +76,10 @@ def search(sizes: np.ndarray, single: np.ndarray, shards: int) -> tuple[int, lis
         b = late[k] if k < len(late) else len(sizes) - 1
         between.update(range(max(0, min(a, b) - 1), min(len(sizes), max(a, b) + 1)))
     found = {k for k in between if not single[k]}
-    return best, cuts, found or set(np.flatnonzero(~single).tolist())
+    if not found:  # the largest of the others, a few at a time
+        several = np.flatnonzero(~single)
+        found = set(several[np.argsort(-sizes[several], kind="stable")[:SPLIT]].tolist())
+    return best, cuts, found
 
 
 def even_cuts(sizes: np.ndarray, capacity: int, shards: int, forward: list[int], backward: list[int]) -> list[int]:
@@ -137,12 +141,12 @@ def shard(docs: DataFrame, shards: int = 24, text_col: str = "text", order_col:
     CRC 0. With fewer groups than shards some shards are empty. Repeated rows each
     have a slot. Columns of docs named like the results are replaced.
     """
-    made = ["size", "text_crc32", "law", "shard", "slot", "digest"]
+    made = ["size", "text_crc32", "law", "shard", "slot"]
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = durable(
         docs.select(
-            *[F.col(f"`{c}`") for c in names],
+            *[F.col(f"`{c}`").alias(f"keep_{c}") for c in names],
             F.col(order_col).alias("__order"),
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
@@ -154,4 +158,4 @@ def shard(docs: DataFrame, shards: int = 24, text_col: str = "text", order_col:
     for cut in cuts:
         number = number + (F.col("digest") >= cut).cast("int")
     placed = rows.withColumn("law", F.lit("bytes")).withColumn("shard", number)
-    return positions(placed, "shard", ["digest", "__order"]).drop("digest", "__order")
+    return positions(placed, "shard", ["digest", "__order"]).select(*[F.col(f"`keep_{c}`").alias(c) for c in names], *made)
