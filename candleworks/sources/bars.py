@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import epoch_seconds, parse_time, round_price
+from ..functions.columns import parse_time, round_price
 
 PRICES = ["Open", "High", "Low", "Close"]
 BAR_COLUMNS = ["Datetime", *PRICES, "Volume", "symbol"]
@@ -115,8 +115,13 @@ def symbols(bars: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession) -> str:
     """A new folder where driver and executors both see it: under spark.checkpoint.dir,
-    or a temporary one where that is unset (local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-candleworks-")
+    or, in local mode alone, a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-candleworks-")
     return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -151,7 +156,3 @@ def walk_ticks(events: DataFrame) -> DataFrame:
     summed = steps.withColumn("so_far", F.sum("cents").over(so_far)).join(days, ["symbol", "day"])
     price = F.expr("(2000000 + before + so_far) DIV 20") / F.lit(100.0)
     return summed.select("symbol", "ts", "id", price.alias("price"), (F.lit(1) + F.col("id") % 97).alias("volume"))
-
-
-def with_epoch(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("time", epoch_seconds(F.col("Datetime")))
