@@ -18,12 +18,12 @@ failure arcs until there is one; weights add up.
 The automaton grows with the corpus and is never in one place. Texts are dealt in blocks
 by their place in the input and written once. Each block asks for the training counts of
 its distinct words (as they are) and n-grams of two and three words (as hashes); buckets
-of keys add up the counts of all blocks and answer in the order asked, so that answers
-carry no keys; a block then builds the arcs that its own texts can take. Blocks lie in
+of keys add up the counts of all blocks and answer with those of the others in the order
+asked, so that answers carry no keys; a block then builds the arcs that its own texts can take. Blocks lie in
 a bucketed table, so that only the answers are shuffled to them.
 
-Counts of words are exact. Hashes of n-grams have log2 of the tokens and 25 more bits:
-about one n-gram in 3e7 shares its count with another, at every size.
+Counts of words are exact. Hashes of n-grams have log2 of the tokens and 23 more bits:
+about one n-gram in 1e7 shares its count with another, at every size.
 """
 
 from __future__ import annotations
@@ -52,17 +52,28 @@ BLOCKS_IN_CHUNK = 16
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers from 0: as few bytes of each as the largest needs, all first bytes
-    first, compressed."""
+    """Whole numbers from 0: how many, then as few bytes of each as the largest needs;
+    all first bytes, all second ones and so on, each compressed where that helps."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    compress = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+    out = [len(values).to_bytes(4, "little")]
+    for plane in planes:
+        raw = plane.tobytes()
+        small = compress(raw)
+        small = small if len(small) < len(raw) else raw
+        out += [len(small).to_bytes(4, "little"), small]
+    return b"".join(out)
 
 
 def restored(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
-    out = np.zeros((part.shape[1], 8), dtype=np.uint8)
-    out[:, : raw[0]] = part.T
+    n, at, width = int.from_bytes(raw[:4], "little"), 4, 0
+    out = np.zeros((n, 8), dtype=np.uint8)
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        part = raw[at + 4 : at + 4 + size]
+        out[:, width] = np.frombuffer(part if size == n else zstandard.ZstdDecompressor().decompress(part), dtype=np.uint8)
+        at, width = at + 4 + size, width + 1
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -116,45 +127,62 @@ class Block:
         self.vocabulary = coded.dictionary.take(pa.array(order))
         self.hashes = np.concatenate([hashes[order], [END, START]])
         self.end, self.start = len(order), len(order) + 1
-        self.token = np.full(len(start) + n, self.end)
+        self.token = np.full(len(start) + n, self.end, dtype=np.int32)
         self.token[np.arange(len(start)) + doc] = rank[coded.indices.to_numpy()]
         self.length = np.bincount(doc, minlength=n) + 1
         self.first = np.cumsum(self.length) - self.length
         self.before = np.empty_like(self.token)
         self.before[1:] = self.token[:-1]
         self.before[self.first] = self.start
-        h = self.hashes[self.token]
-        self.pair = mix64(self.hashes[self.before] * _STEP + h)
-        self.triple = np.empty_like(self.pair)  # not of a text's first token
-        self.triple[1:] = mix64(self.pair[:-1] * _STEP + h[1:])
-        inner = np.ones(len(h), dtype=bool)
+        inner = np.ones(len(self.token), dtype=bool)
         inner[self.first] = False
-        self.inner = np.flatnonzero(inner)
+        self.inner = np.flatnonzero(inner).astype(np.int32)
+
+    def pairs(self) -> np.ndarray:
+        """Hash of the pair that each token ends."""
+        return mix64(self.hashes[self.before] * _STEP + self.hashes[self.token])
+
+    def triples(self) -> np.ndarray:
+        """Hash of the triple that each token ends, but for first tokens."""
+        return mix64(self.pairs()[self.inner - 1] * _STEP + self.hashes[self.token[self.inner]])
+
+
+def counted(block: Block, train: np.ndarray, keys: Keys):
+    """Rising distinct keys of pairs and of triples, their training counts in the block,
+    and whether they end a text."""
+    learn = np.repeat(train, block.length)
+    for hashed, where in ((block.pairs, slice(None)), (block.triples, block.inner)):
+        end = (block.token[where] == block.end).astype(np.uint64)
+        marked = np.sort((hashed() >> np.uint64(64 - keys.bits)) << np.uint64(2) | end << np.uint64(1) | learn[where].astype(np.uint64))
+        at = edges(marked >> np.uint64(2))
+        count = np.add.reduceat(marked & np.uint64(1), at[:-1]) if len(at) > 1 else np.empty(0, np.uint64)
+        yield marked[at[:-1]] >> np.uint64(2), count, (marked[at[:-1]] >> np.uint64(1)) & np.uint64(1)
+
+
+def words_counted(block: Block, train: np.ndarray) -> np.ndarray:
+    return np.bincount(block.token[np.repeat(train, block.length)], minlength=block.end + 1)[: block.end]
+
+
+def own_counts(block: Block, train: np.ndarray, keys: Keys) -> dict[int, np.ndarray]:
+    """Training counts in the block, by order, in the order asked."""
+    pairs, triples = ((count.astype(np.int64)) for _, count, _ in counted(block, train, keys))
+    return {1: words_counted(block, train), 2: pairs, 3: triples}
 
 
 def asked(block: Block, train: np.ndarray, keys: Keys):
     """For each order: buckets, keys as bytes, and training counts in the block; the
     lowest bit of a pair's count says whether it ends a text."""
-    learn = np.repeat(train, block.length)
-    ids = np.bincount(block.token[learn], minlength=block.end + 1)[: block.end]
+    ids = words_counted(block, train)
     bucket = keys.bucket_of_word(block.hashes[: block.end])
     at = edges(bucket)
     lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), block.vocabulary)
     compress = zstandard.ZstdCompressor(level=3).compress
     for words, a, b in zip(pc.binary_join(lists, b" ").to_pylist() if len(bucket) else [], at, at[1:], strict=False):
         yield 1, int(bucket[a]), compress(words), squeezed(ids[a:b])
-    for order, key, of in ((2, block.pair, learn), (3, block.triple[block.inner], learn[block.inner])):
-        end = (block.token == block.end).astype(np.uint64) if order == 2 else np.uint64(0)
-        marked = np.sort((key >> np.uint64(64 - keys.bits)) << np.uint64(2) | end << np.uint64(1) | of.astype(np.uint64))
-        key = marked >> np.uint64(2)
-        at = edges(key)
-        if len(at) == 1:
-            continue
-        count = np.add.reduceat(marked & np.uint64(1), at[:-1])
-        if order == 2:
-            count = count << np.uint64(1) | (marked[at[:-1]] >> np.uint64(1)) & np.uint64(1)
-        key = key[at[:-1]]
+    for order, (key, count, end) in zip((2, 3), counted(block, train, keys), strict=True):
         bucket = keys.bucket(key)
+        if order == 2:
+            count = count << np.uint64(1) | end
         at = edges(bucket)
         for a, b in zip(at, at[1:], strict=False):
             yield order, int(bucket[a]), keys.pack(key[a:b]), squeezed(count[a:b])
@@ -173,7 +201,7 @@ ANSWERED = "order int, bucket long, chunk long, block long, counts binary, class
 
 
 def answers(keys: Keys):
-    """All that is asked of one bucket to the counts over all blocks, in the order
+    """All that is asked of one bucket to the counts of the other blocks, in the order
     asked; and sums over the distinct keys by class of count (block is null)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -191,13 +219,15 @@ def answers(keys: Keys):
                 history, own = (own & np.uint64(1)) == 0, own >> np.uint64(1)
             key = np.concatenate([keys.unpack(r) for r in raw])
             by = np.argsort(key)
-            which = np.empty(len(key), dtype=np.int64)
-            which[by] = np.cumsum(np.concatenate([[False], key[by][1:] != key[by][:-1]]))
+            key = key[by]
+            which = np.empty(len(key), dtype=np.int32)
+            which[by] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
+            del key, by
         total = np.bincount(which, weights=own.astype(np.float64)).astype(np.int64)
         leads = np.zeros(len(total), dtype=bool)
         leads[which] = history
         cut = np.cumsum(size)
-        back = total[which]
+        back = total[which] - own.astype(np.int64)
         n = len(raw)
         found, of, number = np.unique(classes(total[total > 0]), return_inverse=True, return_counts=True)
         amount = np.bincount(of, weights=total[total > 0], minlength=len(found)).astype(np.int64)
@@ -260,6 +290,15 @@ def smoothing(found: DataFrame, texts: int) -> Smoothing:
 # ---------------------------------------------------------------- the automaton
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each key among the distinct ones, and how many these are."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    rank = np.empty(len(keys), dtype=np.int32)
+    rank[by] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32) if len(keys) else 0
+    return rank, int(rank[by[-1]]) + 1 if len(keys) else 0
+
+
 class Automaton:
     """States and arcs that the texts of a block can take.
 
@@ -273,36 +312,37 @@ class Automaton:
         word = np.concatenate([counts[1], [model.texts, model.texts]]).astype(np.float64)
         self.known = word > 0
         shift = np.uint64(64 - keys.bits)
-        distinct, pair = np.unique(block.pair >> shift, return_inverse=True)
-        assert len(distinct) == len(counts[2])
+        pair, n_pairs = numbered(block.pairs() >> shift)
+        assert n_pairs == len(counts[2])
         seen = counts[2][pair] > 0
         self.root = np.log10(p1 := model.unigram(word))
         self.root_next = np.where(self.known, 1 + np.arange(vocabulary), 0)
         m2, m3 = model.given
         # arcs of one-word histories, one for each seen pair, at its first place in the block
-        at = np.full(len(distinct), -1)
+        at = np.zeros(n_pairs, dtype=np.int64)
         at[pair[::-1]] = np.arange(len(pair))[::-1]
         at = at[counts[2] > 0]
-        state_of_pair = np.full(len(distinct), -1)
+        state_of_pair = np.full(n_pairs, -1)
         state_of_pair[counts[2] > 0] = 1 + vocabulary + np.arange(len(at))
         h, w, c = block.before[at], block.token[at], counts[2][counts[2] > 0].astype(np.float64)
         p2 = (c + m2 * p1[w]) / (word[h] + m2)
         arcs = [(1 + h, w, np.log10(p2), np.arange(len(at)) + 1 + vocabulary)]
         # arcs of two-word histories
         inner = block.inner
-        triples, triple = np.unique(block.triple[inner] >> shift, return_inverse=True)
-        assert len(triples) == len(counts[3])
-        place = np.zeros(len(triples), dtype=np.int64)
+        triple, n_triples = numbered(block.triples() >> shift)
+        assert n_triples == len(counts[3])
+        place = np.zeros(n_triples, dtype=np.int64)
         place[triple[::-1]] = inner[::-1]
-        some = (counts[3] > 0) & seen[place] & seen[place - 1] if len(triples) else np.zeros(0, bool)
+        del triple
+        some = (counts[3] > 0) & seen[place] & seen[place - 1] if n_triples else np.zeros(0, bool)
         place, c3 = place[some], counts[3][some].astype(np.float64)
         left, right = state_of_pair[pair[place - 1]], state_of_pair[pair[place]]
         p3 = (c3 + m3 * p2[right - 1 - vocabulary]) / (c[left - 1 - vocabulary] + m3)
         arcs.append((left, block.token[place], np.log10(p3), right))
-        state, label, weight, after = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        key = state * vocabulary + label
+        key = np.concatenate([state * vocabulary + label for state, label, _, _ in arcs])
         order = np.argsort(key)
-        self.key, self.weight, self.after = key[order], weight[order], after[order]
+        self.key = key[order]
+        self.weight, self.after = (np.concatenate([arc[k] for arc in arcs])[order] for k in (2, 3))
         # failure arcs: of a pair to its last word, of a word to the root
         self.failure = np.concatenate([[0], np.zeros(vocabulary, np.int64), 1 + w])
         lost = np.concatenate([[1.0], m2 / (word + m2), m3 / (c + m3)])
@@ -390,7 +430,7 @@ def block_of(texts: bytes, lengths: bytes) -> Block:
     return Block(np.frombuffer(raw, dtype=np.uint8), np.concatenate([[0], np.cumsum(restored(lengths).astype(np.int64))]))
 
 
-def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes: int = 3 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with held_out (not `train`, a boolean column expression), n_tokens,
     n_known, train_tokens, base_score and score, log10 probabilities of the text.
 
@@ -404,7 +444,7 @@ def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes
     size, texts = docs.agg(F.sum(F.octet_length(text_col) + 1), F.count_if(train)).first()
     size = size or 1
     buckets = int(np.clip(np.ceil(np.log2(size / bucket_bytes)), 0, 24)) if size > bucket_bytes else 0
-    keys = Keys(min(61, int(size).bit_length() + 22), buckets)  # a token has 6 bytes or so
+    keys = Keys(min(61, int(size).bit_length() + 20), buckets)  # a token has 6 bytes or so
     blocks = blocks_of(docs, train, text_col, names, block_bytes, int(np.clip(size // bucket_bytes, 16, 100_000)))
 
     def ask(batches):
@@ -432,8 +472,10 @@ def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes
         parts = []
         for block, text, lengths, rows in zip(*(mine.column(c) for c in ("block", "texts", "lengths", "rows")), strict=True):
             tokens = block_of(text.as_py(), lengths.as_py())
-            lists = {k: [restored(c).astype(np.int64) for _, c in sorted(by.get((block.as_py(), k), []))] for k in ORDERS}
-            counts = {k: np.concatenate(x) if x else np.empty(0, np.int64) for k, x in lists.items()}
+            lists = {k: [restored(c).astype(np.int64) for _, c in sorted(by.pop((block.as_py(), k), []))] for k in ORDERS}
+            others = {k: np.concatenate(x) if x else np.empty(0, np.int64) for k, x in lists.items()}
+            learn = rows.values.field("train").to_numpy(zero_copy_only=False)
+            counts = {k: others[k] + own for k, own in own_counts(tokens, learn, keys).items()}
             machine = Automaton(tokens, counts, keys, numbers)
             add = lambda x, first=tokens.first: np.add.reduceat(x, first)
             values = rows.values
