@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.bars import kept
 from .columns import flag
 
 
@@ -51,22 +52,37 @@ class Frames:
         return flag((p >= q) & (F.col(a) < F.col(b)))
 
 
-def ordinals(bars: DataFrame) -> DataFrame:
-    """bars with `position` (0-based in its symbol) and `global_position` (0-based in
-    (symbol, time) order). Bars are numbered within (symbol, day); running sums of the
-    small table of day counts give the offsets, so no task needs a whole symbol."""
+def first_positions(counts: DataFrame) -> DataFrame:
+    """(symbol, __base): the rows of all symbols before each, from (symbol, __n).
+    Symbols are dealt by range; sums within a range and over the ranges, of which there
+    are as many as partitions, add up, so no task needs all symbols."""
+    dealt = counts.repartitionByRange("symbol").sortWithinPartitions("symbol").withColumn("__range", F.spark_partition_id())
+    rows = kept(dealt)
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("__range").agg(F.sum("__n").alias("__n"))
+    ranges = ranges.select("__range", before(Window.orderBy("__range")).alias("__earlier"))
+    within = rows.withColumn("__within", before(Window.partitionBy("__range").orderBy("symbol")))
+    return within.join(ranges, "__range").select("symbol", (F.col("__within") + F.col("__earlier")).alias("__base"))
+
+
+def ordinals(bars: DataFrame, whole: bool = False) -> DataFrame:
+    """bars with `position` (0-based in its symbol) and, with `whole`, `global_position`
+    (0-based in (symbol, time) order). Bars are numbered within (symbol, day); running
+    sums of the small table of day counts give the offsets, so no task needs a whole
+    symbol."""
     dated = bars.withColumn("__day", F.to_date("Datetime"))
     days = dated.groupBy("symbol", "__day").agg(F.count("*").alias("__n"))
     in_symbol = Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.withColumn("__offset", F.coalesce(F.sum("__n").over(in_symbol), F.lit(0)))
-    symbols = days.groupBy("symbol").agg(F.sum("__n").alias("__n"))
-    earlier = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)  # one row a symbol
-    bases = symbols.select("symbol", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    offsets = offsets.join(bases, "symbol").select("symbol", "__day", "__offset", "__base")
+    offsets = offsets.select("symbol", "__day", "__offset")
+    if whole:
+        offsets = offsets.join(first_positions(days.groupBy("symbol").agg(F.sum("__n").alias("__n"))), "symbol")
     in_day = Window.partitionBy("symbol", "__day").orderBy("Datetime")
     numbered = dated.withColumn("__i", F.row_number().over(in_day) - 1).join(offsets, ["symbol", "__day"])
     position = (F.col("__i") + F.col("__offset")).cast("long")
-    return numbered.select(*bars.columns, position.alias("position"), (position + F.col("__base")).cast("long").alias("global_position"))
+    if whole:
+        return numbered.select(*bars.columns, position.alias("position"), (position + F.col("__base")).cast("long").alias("global_position"))
+    return numbered.select(*bars.columns, position.alias("position"))
 
 
 #: Bars that a feature looks back (previous close, 14 true ranges, 100 ratios) and ahead.

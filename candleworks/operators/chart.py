@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import base_symbol, epoch_seconds, finite, whole
-from ..sources.bars import require, symbols
+from ..sources.bars import not_empty, require, symbols
 
 SIDES = ("support", "resistance")
+
+#: Names of the fields that the page reads, and its choices of candles.
 REQUIRED = ["symbol", "Datetime", "position", "Open", "High", "Low", "Close", "Volume", "swing_high", "swing_low", "anchored_breakout", "anchored_breakdown"] + [f"{s}_anchor_{i}_{c}" for s in SIDES for i in (1, 2) for c in ("position", "price")]
 CANDLES, CANDLE_OPTIONS = 500, [100, 200, 300, 500, 1000]
 
@@ -78,5 +80,20 @@ def payload(records: DataFrame, n: int = CANDLES) -> DataFrame:
     return last_candles(records, n).groupBy("symbol").agg(F.array_sort(F.collect_list(record)).alias("rows"))
 
 
-def payload_json(records: DataFrame, n: int = CANDLES) -> DataFrame:
-    return payload(records, n).select("symbol", F.size("rows").cast("long").alias("n_rows"), F.to_json("rows").alias("json"))
+def payload_json(features: DataFrame, wanted: str, n: int = CANDLES, clean=None) -> DataFrame:
+    """(field, symbol, json): what the page reads. `symbols`, `defaultSymbol`,
+    `defaultCandleCount` and `candleCountOptions` are a row each, without a symbol; each
+    symbol has a row `series` with its last n records in order. Null values stay as
+    null. `clean` changes the records first. No symbol raises ValueError."""
+    records_of = records(features)
+    records_of = records_of if clean is None else clean(records_of)
+    json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    row = lambda field, symbol, text: (F.lit(field).alias("field"), symbol.alias("symbol"), text.alias("json"))
+    none = F.lit(None).cast("string")
+    series = payload(records_of.where(F.col("symbol").isNotNull()), n).select(*row("series", F.col("symbol"), json("rows")))
+    names = not_empty(symbols(features), "symbols").agg(F.array_sort(F.collect_list("symbol")).alias("s")).select(*row("symbols", none, json("s")))
+    default = default_symbol(features, wanted).select(*row("defaultSymbol", none, F.concat(F.lit('"'), F.col("symbol"), F.lit('"'))))
+    fixed = features.sparkSession.range(1)
+    count = fixed.select(*row("defaultCandleCount", none, F.lit(str(n))))
+    options = fixed.select(*row("candleCountOptions", none, json(F.array(*map(F.lit, CANDLE_OPTIONS)))))
+    return names.union(default).union(count).union(options).union(series)

@@ -59,9 +59,13 @@ def class_report(predictions: DataFrame) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def confusion(predictions: DataFrame, labels=(0, 1, 2)) -> DataFrame:
-    """Counts by actual (rows) and predicted class (columns), zeros filled."""
+def confusion(predictions: DataFrame, labels=None) -> DataFrame:
+    """Counts by actual (rows) and predicted class (columns), zeros filled: of the labels
+    given, or of all that occur as either. Classes are few; null is none."""
     spark = predictions.sparkSession
+    if labels is None:
+        either = predictions.select(F.explode(F.array("actual_d", "predicted_d")).alias("label")).where("label is not null")
+        labels = sorted(r.label for r in either.distinct().collect())
     frame = spark.createDataFrame([(int(x),) for x in labels], "actual_d int")
     table = predictions.groupBy("actual_d").pivot("predicted_d", list(labels)).count()
     out = frame.join(table, "actual_d", "left").na.fill(0)

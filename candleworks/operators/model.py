@@ -21,16 +21,19 @@ RESULT = ["symbol", "Datetime", "position", "part", "actual_d", "predicted_d", "
 
 def split(rows: DataFrame, test_share: float = 0.2, by_time: bool = False) -> DataFrame:
     """rows with part: the last ceil(share * n) rows in (symbol, time) order are test,
-    or with by_time those of each symbol."""
-    numbered = ordinals(rows.select("symbol", "Datetime"))
+    or with by_time those of each symbol. Each row is numbered where it is, so that
+    repeated (symbol, Datetime) stay as many rows as they are."""
+    names = rows.columns
+    apart = rows.select("symbol", "Datetime", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    numbered = ordinals(apart, whole=not by_time)
     if by_time:
-        n = numbered.groupBy("symbol").agg(F.count("*").alias("__n"))
-        marked = numbered.join(n, "symbol").withColumn("part", F.when(F.col("position") < F.col("__n") - F.ceil(F.col("__n") * test_share), "train").otherwise("test"))
+        n = rows.groupBy("symbol").agg(F.count("*").alias("__n"))
+        numbered = numbered.join(n, "symbol")
+        train = F.col("position") < F.col("__n") - F.ceil(F.col("__n") * test_share)
     else:
         n = rows.count()
-        first = n - math.ceil(test_share * n)
-        marked = numbered.withColumn("part", F.when(F.col("global_position") < first, "train").otherwise("test"))
-    return rows.join(marked.select("symbol", "Datetime", "part"), ["symbol", "Datetime"])
+        train = F.col("global_position") < n - math.ceil(test_share * n)
+    return numbered.select(*[F.col("__row").getField(c).alias(c) for c in names], F.when(train, "train").otherwise("test").alias("part"))
 
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -1,17 +1,17 @@
 """Market structure: swings, anchors, trendlines, breakouts.
 
 Swings, pivot terms, pairs of anchors and the facts of every line are windows, joins
-and groupings. Two ordered folds remain, both small grouped maps: the greedy choice
-of anchors (over swings only), and the line that is active at each bar.
+and groupings. Two ordered folds remain: the greedy choice of anchors (over swings only),
+and the line that is active at each bar. Both read sorted rows batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections import deque
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from ..functions.frames import Frames
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters of the structure; the values are the feature job's."""
+    """Parameters of the structure. They are the feature job's."""
 
     pivot_window: int = 3
     confirmation: int = 2
@@ -98,29 +98,71 @@ def pivots(marked: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return found.join(counts, ["symbol", "side", "position"]).select("symbol", "side", "position", "price", "strength", "local_volatility", "rejections", base.alias("base"))
 
 
-def choose_anchors(swing: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """Swings of one symbol and side, in order, that become anchors."""
-    swing = swing.sort_values("position")
-    taken, last = [], None
-    for position, price, base in zip(swing["position"], swing["price"], swing["base"], strict=True):
-        if last is not None and position - last < rules.min_pivot_distance:
-            continue
-        separation = 1.0 if last is None else min((position - last) / max(rules.separation_unit, 1), 2.5)
-        score = (0.0 if np.isnan(base) else base + separation * 0.25)
+def in_order(df: DataFrame, order: list[str], fold, schema: str) -> DataFrame:
+    """fold(symbol, side) gives an object for one symbol and side whose step(row) and
+    end() give rows; rows come by `order`, batch after batch, and no more than the
+    object's own state is kept, however long the history is."""
+    names = df.columns
+    keys = len(KEYS)
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        key, state, out = None, None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:keys] != key:
+                    out += state.end() if state else []
+                    key, state = row[:keys], fold(*row[:keys])
+                out += state.step(row[keys:])
+            if len(out) > 10_000:
+                yield table(out)
+                out = []
+        out += state.end() if state else []
+        yield table(out)
+
+    def table(rows):
+        columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names=fields)
+
+    return df.repartition(*KEYS).sortWithinPartitions(*KEYS, *order).mapInArrow(run, schema)
+
+
+KEYS = ("symbol", "side")
+KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+ANCHOR_COLUMNS = "symbol string, side string, position long, price double, score double, stale long"
+
+
+class Chooser:
+    """Which swings of one symbol and side become anchors. An anchor is given out once
+    it is known when it gets stale: as a later one lies more than lookback beyond it."""
+
+    def __init__(self, symbol: str, side: str, rules: Rules):
+        self.key, self.rules, self.last, self.open = (symbol, side), rules, None, deque()
+
+    def step(self, row: tuple) -> list[tuple]:
+        (position, price, base), rules = row, self.rules
+        if self.last is not None and position - self.last < rules.min_pivot_distance:
+            return []
+        separation = 1.0 if self.last is None else min((position - self.last) / max(rules.separation_unit, 1), 2.5)
+        score = 0.0 if base is None or base != base else base + separation * 0.25
         if score < rules.pivot_strength:
-            continue
-        last = position
-        taken.append((position, price, score))
-    out = pd.DataFrame(taken, columns=["position", "price", "score"])
-    out.insert(0, "side", swing["side"].iloc[0])
-    out.insert(0, "symbol", swing["symbol"].iloc[0])
-    return out
+            return []
+        self.last, done = position, []
+        while self.open and self.open[0][0] < position - rules.lookback:
+            done.append((*self.key, *self.open.popleft(), position + rules.pivot_window))
+        self.open.append((position, price, score))
+        return done
+
+    def end(self) -> list[tuple]:
+        return [(*self.key, *anchor, None) for anchor in self.open]
 
 
 def anchors(pivot: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """(symbol, side, position, price, score) of the anchors; known `pivot_window`
-    bars after their position."""
-    return pivot.groupBy("symbol", "side").applyInPandas(lambda swing: choose_anchors(swing, rules), "symbol string, side string, position long, price double, score double")
+    """(symbol, side, position, price, score, stale) of the anchors; known `pivot_window`
+    bars after their position. stale is the bar from which an anchor is not a line's
+    first any more: when one is known that lies more than `lookback` beyond it."""
+    rows = pivot.select(*KEYS, "position", "price", "base")
+    return in_order(rows, ["position"], lambda symbol, side: Chooser(symbol, side, rules), ANCHOR_COLUMNS)
 
 
 def projected(p1: Column, v1: Column, p2: Column, v2: Column, at: Column) -> Column:
@@ -133,12 +175,10 @@ def pairs(anchor: DataFrame, bars: DataFrame, rules: Rules = DEFAULT) -> DataFra
     they can be used: from the second's confirmation until an anchor is confirmed that
     lies more than `lookback` beyond the first."""
     w = Window.partitionBy("symbol", "side").orderBy("position")
-    stale = F.min("position").over(w.rangeBetween(rules.lookback + 1, Window.unboundedFollowing)) + rules.pivot_window
     # what ends the use of a pair is a matter of its first anchor
-    known = anchor.withColumn("stale", stale)
     firsts = F.collect_list(F.struct("position", "price", "score", "stale")).over(w.rangeBetween(-rules.lookback, -rules.min_span))
     last = bars.groupBy("symbol").agg(F.max("position").alias("last_pos"))
-    found = known.withColumn("firsts", firsts).select("symbol", "side", F.explode("firsts").alias("f"), F.col("position").alias("second_pos"), F.col("price").alias("second_price"), F.col("score").alias("second_score"))
+    found = anchor.withColumn("firsts", firsts).select("symbol", "side", F.explode("firsts").alias("f"), F.col("position").alias("second_pos"), F.col("price").alias("second_price"), F.col("score").alias("second_score"))
     found = found.select("symbol", "side", F.col("f.position").alias("first_pos"), F.col("f.price").alias("first_price"), F.col("f.score").alias("first_score"), "second_pos", "second_price", "second_score", F.col("f.stale").alias("stale"))
     slope = (F.col("second_price") - F.col("first_price")) / (F.col("second_pos") - F.col("first_pos"))
     found = found.join(last, "symbol").withColumns(
@@ -204,35 +244,52 @@ def lines(pair: DataFrame, bars: DataFrame, rules: Rules = DEFAULT) -> DataFrame
 LINE_COLUMNS = "symbol string, side string, position long, line double, first_pos long, first_price double, second_pos long, second_price double"
 
 
-def follow(bars: pd.DataFrame, pair: pd.DataFrame, side: str, rules: Rules) -> Iterator[tuple]:
-    """The active line at each bar of one symbol and side. The best candidate changes
-    only when a pair starts or ends to be usable or is retired, so it is looked up
-    only then."""
-    columns = ["first_pos", "first_price", "second_pos", "second_price", "score", "usable_from", "stale"]
-    rows = list(zip(*(pair[c].tolist() for c in columns), strict=True))
-    rows.sort(key=lambda r: (-r[4], -r[2], -r[0]))  # best first; ties to the later second, then first
-    changes = {int(r[5]) for r in rows} | {int(r[6]) for r in rows if not np.isnan(r[6])}
-    retired: set[tuple] = set()
-    best, dirty, active = None, True, None
-    up = 1 if side == "support" else -1
-    price = bars["Low" if side == "support" else "High"].tolist()
-    for at, extreme, close in zip(bars["position"].tolist(), price, bars["Close"].tolist(), strict=True):
-        if dirty or at in changes:
-            best = next((r for r in rows if r[5] <= at and (np.isnan(r[6]) or at < r[6]) and (r[0], r[2]) not in retired), None)
-            dirty = False
-        if best is not None and (active is None or ((best[0], best[2]) != active["key"] and best[4] > active["score"] * rules.replacement)):
-            active = {"line": best, "key": (best[0], best[2]), "base": best[4], "score": best[4], "touches": 0, "rejections": 0, "breaks": 0, "born": at, "touched": at}
+class Follower:
+    """The active line of one symbol and side. Pairs come before the bar from which they
+    can be used and wait in a heap, best first (ties to the later second anchor, then
+    first); a stale or retired one goes when it comes to the top, or when the heap has
+    doubled since it was last cleared."""
+
+    def __init__(self, symbol: str, side: str, rules: Rules):
+        self.key, self.rules, self.up = (symbol, side), rules, 1 if side == "support" else -1
+        self.heap: list[tuple] = []
+        self.retired: set[tuple] = set()
+        self.room, self.active = 1024, None
+
+    def alive(self, entry: tuple, at: int) -> bool:
+        return (entry[6] is None or at < entry[6]) and (-entry[2], -entry[1]) not in self.retired
+
+    def best(self, at: int) -> tuple | None:
+        if len(self.heap) > self.room:
+            self.heap = [e for e in self.heap if self.alive(e, at)]
+            heapq.heapify(self.heap)
+            self.retired.clear()
+            self.room = max(1024, 2 * len(self.heap))
+        while self.heap and not self.alive(self.heap[0], at):
+            heapq.heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
+    def step(self, row: tuple) -> list[tuple]:
+        at, bar, low, high, close, p1, v1, p2, v2, score, stale = row
+        if not bar:
+            heapq.heappush(self.heap, (-score, -p2, -p1, v1, v2, at, stale))
+            return []
+        rules, best, active = self.rules, self.best(at), self.active
+        key = None if best is None else (-best[2], -best[1])
+        if best is not None and (active is None or (key != active["key"] and -best[0] > active["score"] * rules.replacement)):
+            active = {"key": key, "line": (key[0], best[3], key[1], best[4]), "base": -best[0], "score": -best[0], "touches": 0, "rejections": 0, "breaks": 0, "born": at, "touched": at}
+        self.active = active
         if active is None:
-            continue
-        p1, v1, p2, v2 = active["line"][:4]
+            return []
+        p1, v1, p2, v2 = active["line"]
         value = v2 + (v2 - v1) / (p2 - p1) * (at - p2)
         tolerance = close * rules.tolerance
-        touched = abs(extreme - value) <= tolerance
+        touched = abs((low if self.up > 0 else high) - value) <= tolerance
         if touched:
             active["touches"] += 1
             active["touched"] = at
-            active["rejections"] += (close - value) * up > 0
-        broken = close < value - tolerance if up > 0 else close > value + tolerance
+            active["rejections"] += (close - value) * self.up > 0
+        broken = close < value - tolerance if self.up > 0 else close > value + tolerance
         active["breaks"] = active["breaks"] + 1 if broken else 0
         untouched = at - active["touched"]
         active["score"] = (
@@ -243,31 +300,30 @@ def follow(bars: pd.DataFrame, pair: pd.DataFrame, side: str, rules: Rules) -> I
             - max(untouched - rules.recent, 0) * 4.0
             - active["breaks"] * 55.0
         )
-        yield at, value, p1, v1, p2, v2
         if active["breaks"] >= rules.max_breaks or untouched > rules.max_untouched or active["score"] < rules.min_active:
-            retired.add(active["key"])
-            active, dirty = None, True
-
-
-def active_lines(bars: DataFrame, line: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """One row for each bar and side that has an active line."""
-    both = bars.select("symbol", "position", "High", "Low", "Close", F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side"))
+            self.retired.add(active["key"])
+            self.active = None
+        return [(*self.key, at, value, p1, v1, p2, v2)]
 
-    def fold(key, one: pd.DataFrame, pair: pd.DataFrame) -> pd.DataFrame:
-        names = ["position", "line", "first_pos", "first_price", "second_pos", "second_price"]
-        rows = list(follow(one.sort_values("position"), pair, key[1], rules)) if len(pair) else []
-        out = pd.DataFrame(rows, columns=names).astype({"position": "int64", "first_pos": "int64", "second_pos": "int64"})
-        out.insert(0, "side", key[1])
-        out.insert(0, "symbol", key[0])
-        return out
+    def end(self) -> list[tuple]:
+        return []
 
-    usable = line.select("symbol", "side", "first_pos", "first_price", "second_pos", "second_price", "score", "usable_from", F.col("stale").cast("double").alias("stale"))
-    return both.groupBy("symbol", "side").cogroup(usable.groupBy("symbol", "side")).applyInPandas(fold, LINE_COLUMNS)
 
-
-def with_structure(marked: DataFrame, anchor: DataFrame, active: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """marked (bars with swings) and the scores of anchors, both lines with their
-    anchors, distances, breakouts, breakdowns and failed breakdowns."""
+def active_lines(bars: DataFrame, line: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """One row for each bar and side that has an active line. Bars without a price are
+    passed over."""
+    none = lambda kind: F.lit(None).cast(kind)
+    pair = ["first_pos", "first_price", "second_pos", "second_price", "score", "stale"]
+    kinds = ["long", "double", "long", "double", "double", "long"]
+    priced = bars.where(F.col("Close").isNotNull() & F.col("Low").isNotNull() & F.col("High").isNotNull())
+    both = priced.select("symbol", F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side"), F.col("position").alias("at"), F.lit(1).alias("bar"), "Low", "High", "Close", *[none(k).alias(c) for c, k in zip(pair, kinds, strict=True)])
+    usable = line.select("symbol", "side", F.col("usable_from").alias("at"), F.lit(0).alias("bar"), *[none("double").alias(c) for c in ("Low", "High", "Close")], *[F.col(c).cast(k) for c, k in zip(pair, kinds, strict=True)])
+    return in_order(both.union(usable), ["at", "bar"], lambda symbol, side: Follower(symbol, side, rules), LINE_COLUMNS)
+
+
+def with_lines(marked: DataFrame, anchor: DataFrame, active: DataFrame) -> DataFrame:
+    """marked (bars with swings) and the scores of anchors and both lines with their
+    anchors."""
     scores = anchor.groupBy("symbol", "position").agg(
         F.max(F.when(F.col("side") == "resistance", F.col("score"))).alias("swing_high_score"),
         F.max(F.when(F.col("side") == "support", F.col("score"))).alias("swing_low_score"),
@@ -278,13 +334,16 @@ def with_structure(marked: DataFrame, anchor: DataFrame, active: DataFrame, rule
         *[of(s, f"{n}_{c}").alias(f"{s}_anchor_{i}_{name}") for s in SIDES for i, n in ((1, "first"), (2, "second")) for c, name in (("pos", "position"), ("price", "price"))],
     )
     df = marked.drop("high_strength", "low_strength", "local_volatility").join(scores, ["symbol", "position"], "left").join(wide, ["symbol", "position"], "left")
+    return df.withColumns({"swing_high_score": F.coalesce("swing_high_score", F.lit(0.0)), "swing_low_score": F.coalesce("swing_low_score", F.lit(0.0))})
+
+
+def breakouts(df: DataFrame, keys=("symbol",), rules: Rules = DEFAULT) -> DataFrame:
+    """df (bars with lines) and distances, breakouts, breakdowns, failed breakdowns."""
     c, support, resistance = F.col("Close"), F.col("anchored_support"), F.col("anchored_resistance")
     n = rules.confirmation
-    frame = Frames().rows(-(n - 1), 0)
+    frame = Frames(keys).rows(-(n - 1), 0)
     return df.withColumns(
         {
-            "swing_high_score": F.coalesce("swing_high_score", F.lit(0.0)),
-            "swing_low_score": F.coalesce("swing_low_score", F.lit(0.0)),
             "distance_to_anchored_support": div(c - support, c),
             "distance_to_anchored_resistance": div(resistance - c, c),
             "anchored_breakout": flag(F.sum(flag(c > resistance)).over(frame) == n),

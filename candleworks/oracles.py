@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .operators.chart import REQUIRED
 from .plans.features import FEATURE_COLUMNS
 from .queries import CANDLES, PLACES
+from .sources.bars import BAR_COLUMNS
 
 BARS = """ticks AS (
   SELECT event_type AS symbol, ts, event_id, 1 + event_id % 97 AS volume,
@@ -181,8 +183,10 @@ SELECT event_id, strftime(s, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 2 = 0
        CASE WHEN event_id % 2 = 0 THEN s - INTERVAL '330 minutes' ELSE s END AS at FROM t""",
     "s04_exchange_time": bars_sql("SELECT symbol, Datetime, Datetime + INTERVAL '330 minutes' AS local_time FROM bars"),
     "s05_round_prices": "SELECT event_id, round_even(value / 8 * 100, 0) / 100 AS price FROM events",
-    "s06_tag": bars_sql(f"SELECT Datetime, {PRICES}, Volume, 'CLICK.X' AS symbol FROM bars WHERE symbol = 'click'"),
-    "s07_flatten_names": bars_sql(f"SELECT {BAR_ROW} FROM bars WHERE symbol = 'view'"),
+    "s06_tag": bars_sql(f"SELECT Datetime, {PRICES}, Volume, upper(symbol) || '.X' AS symbol FROM bars"),
+    "s06_tag_all": bars_sql(f"SELECT Datetime, {PRICES}, Volume, 'ALL.X' AS symbol FROM bars"),
+    "s07_flatten_names": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
+    "s07_flatten_all_names": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "s08_write_bars": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "s10_feature_table_roundtrip": bars_sql(f"SELECT symbol, position, Datetime, {six('Close', 'ma_20')}, target_d FROM f", CANDLE_STEPS),
     "p03_complete_rows": bars_sql(f"SELECT symbol, count(*) AS n, min(position) AS first_position, max(position) AS last_position FROM f WHERE {COMPLETE} GROUP BY symbol", CANDLE_STEPS),
@@ -191,7 +195,10 @@ SELECT event_id, strftime(s, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 2 = 0
     "j01_without_bars": "SELECT lower(n_name) AS symbol FROM nation WHERE lower(n_name) NOT IN (SELECT event_type FROM events)",
     "a01_summary": bars_sql("SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM bars"),
     "a02_symbols": "SELECT DISTINCT event_type AS symbol FROM events WHERE event_type IS NOT NULL",
-    "u01_stack": bars_sql(f"SELECT {BAR_ROW} FROM bars WHERE symbol IN ('click', 'view')"),
+    "u01_stack": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
+    "u01_stack_all": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
+    "p05_missing_columns": bars_sql(f"SELECT symbol, count(*) AS n, '{','.join(c for c in REQUIRED if c not in BAR_COLUMNS)}' AS missing FROM bars GROUP BY symbol"),
+    "p07_empty_symbols": bars_sql("SELECT a.symbol, coalesce(n, 0) AS n, n IS NULL AS empty FROM (SELECT lower(n_name) AS symbol FROM nation UNION SELECT symbol FROM bars) a LEFT JOIN (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol) c ON c.symbol = a.symbol"),
     "x01_ordinals": bars_sql("SELECT symbol, Datetime, position, row_number() OVER (ORDER BY symbol, Datetime) - 1 AS global_position FROM b"),
     "c11_base_symbol": "SELECT s AS symbol, split_part(upper(s), '.', 1) AS base_symbol FROM (SELECT lower(n_name || CASE WHEN n_nationkey % 2 = 0 THEN '.ns' ELSE '' END) AS s FROM nation)",
     "c12_default_symbol": "SELECT event_type || '.x' AS symbol FROM events GROUP BY 1 ORDER BY symbol <> 'view.x', symbol LIMIT 1",
@@ -222,7 +229,6 @@ FROM acc tr, acc te, reg rr, reg re WHERE tr.part = 'train' AND te.part = 'test'
     "k01_in_order": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "k02_last_candles": bars_sql(f"SELECT symbol, position, {six('Close')} FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position DESC) <= 100"),
     "n03_candles": bars_sql(f"SELECT symbol, CAST(epoch(Datetime) AS BIGINT) AS time, {', '.join(f'round({c}, 6) + 0.0 AS {c.lower()}' for c in ('Open', 'High', 'Low', 'Close'))} FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position DESC) <= 200"),
-    "n02_payload": bars_sql("SELECT symbol, least(count(*), 200) AS n_rows FROM b GROUP BY symbol"),
 }
 
 # ---------------------------------------------------------------- the active line
@@ -300,6 +306,16 @@ _MARKERS = " UNION ALL ".join(
 )
 
 
+_RECORD = [("position", "position"), ("time", "CAST(epoch(Datetime) AS BIGINT)")]
+_RECORD += [(c.lower(), f"round({c}, 6) + 0.0") for c in ("Open", "High", "Low", "Close")] + [("volume", "CAST(Volume AS DOUBLE)")]
+_RECORD += [(name, f"{c} = 1") for name, c in (("swingHigh", "swing_high"), ("swingLow", "swing_low"), ("anchoredBreakout", "anchored_breakout"), ("anchoredBreakdown", "anchored_breakdown"))]
+for _s, _i, _ in _PARTS:
+    _RECORD += [(f"{_s}Anchor{_i}Position", f"{_s}_anchor_{_i}_position"), (f"{_s}Anchor{_i}Price", f"round({_s}_anchor_{_i}_price, 6) + 0.0")]
+_STRUCT = "{" + ", ".join(f"'{name}': {x}" for name, x in _RECORD) + "}"
+_SERIES = f"series AS (SELECT symbol, count(*) AS n_rows, CAST(to_json(list({_STRUCT} ORDER BY position)) AS VARCHAR) AS json FROM (SELECT * FROM st {_LAST.replace('200', '500')}) GROUP BY symbol)"
+_SYMBOLS = "(SELECT DISTINCT event_type AS s FROM events)"
+
+
 def _plain(columns: list[str]) -> str:
     return ", ".join(columns)
 
@@ -314,4 +330,10 @@ ORACLES |= {
     "k05_latest_anchors": structure_sql("SELECT symbol, side, anchor1Position, round(anchor1Price, 6) + 0.0 AS anchor1Price, anchor2Position, round(anchor2Price, 6) + 0.0 AS anchor2Price FROM latest", f"{_VISIBLE}, latest AS ({_LATEST})"),
     "n04_rays": structure_sql("SELECT v.symbol, side, position, time, round(anchor1Price + (anchor2Price - anchor1Price) / (anchor2Position - anchor1Position) * (position - anchor1Position), 6) + 0.0 AS value FROM visible v JOIN latest l ON l.symbol = v.symbol", f"{_VISIBLE}, latest AS ({_LATEST})"),
     "u02_markers": structure_sql(_MARKERS, _VISIBLE),
+    "n02_payload_json": structure_sql("SELECT symbol, n_rows, json FROM series", _SERIES),
+    "n02_payload": structure_sql(f"""SELECT 'series' AS field, symbol, json FROM series
+UNION ALL SELECT 'symbols', NULL, CAST(to_json(list(s ORDER BY s)) AS VARCHAR) FROM {_SYMBOLS}
+UNION ALL SELECT 'defaultSymbol', NULL, '"' || arg_min(s, CASE WHEN s = 'view' THEN '' ELSE s END) || '"' FROM {_SYMBOLS}
+UNION ALL SELECT 'defaultCandleCount', NULL, '500' UNION ALL SELECT 'candleCountOptions', NULL, '[100,200,300,500,1000]'""", _SERIES),
+    "s11_chart_rows": structure_sql(f"SELECT symbol, {', '.join(f'{x} AS {name}' for name, x in _RECORD if name != 'position')} FROM (SELECT * FROM st {_LAST.replace('200', '500')})"),
 }

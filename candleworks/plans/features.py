@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 from ..functions.frames import ordinals
 from ..operators import structure
-from ..operators.features import candle_features
+from ..operators.features import candle_features, in_chunks
 from ..operators.targets import targets
-from ..sources.bars import BAR_COLUMNS, kept, require, select_bars
+from ..sources.bars import BAR_COLUMNS, kept, not_empty, require, select_bars, unique_times
 
 #: The 44 model features, in order.
 FEATURE_COLUMNS = [
@@ -33,22 +33,29 @@ TARGETS = ["target_d", "target_p"]
 INTERMEDIATE = ["tr", "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "future_max_high", "future_min_low", "future_max_return", "future_min_return"]
 
 
+#: Bars of a chunk; windows run over chunks with a halo, so one symbol is many tasks.
+CHUNK = 4096
+
+
 def positioned(bars: DataFrame) -> DataFrame:
-    return ordinals(select_bars(bars))
+    """bars with their positions. No bars, missing columns and repeated (symbol,
+    Datetime), whose order would not be certain, raise ValueError."""
+    return ordinals(unique_times(not_empty(select_bars(bars), "bars")), whole=True)
 
 
 def structured(bars: DataFrame, rules: structure.Rules = structure.DEFAULT) -> DataFrame:
     """Positioned bars with all structure columns."""
-    marked = structure.swings(bars, rules=rules)
+    marked = kept(in_chunks(bars, lambda b, keys: structure.swings(b, keys, rules), CHUNK))
     anchor = kept(structure.anchors(structure.pivots(marked, rules), rules))
     line = structure.lines(structure.pairs(anchor, bars, rules), bars, rules)
-    return structure.with_structure(marked, anchor, structure.active_lines(bars, line, rules), rules)
+    lined = structure.with_lines(marked, anchor, structure.active_lines(bars, line, rules))
+    return in_chunks(lined, lambda b, keys: structure.breakouts(b, keys, rules), CHUNK)
 
 
 def all_columns(bars: DataFrame, rules: structure.Rules = structure.DEFAULT) -> DataFrame:
     """Every feature and target of every bar, before rows with missing values go."""
-    numbered = kept(positioned(require(bars, BAR_COLUMNS)))
-    candles = targets(candle_features(numbered)).drop(*INTERMEDIATE)
+    numbered = kept(positioned(kept(require(bars, BAR_COLUMNS))))
+    candles = in_chunks(numbered, lambda b, keys: targets(candle_features(b, keys), keys), CHUNK).drop(*INTERMEDIATE)
     lines = structured(numbered, rules).drop(*[c for c in numbered.columns if c not in ("symbol", "position")])
     return candles.join(lines, ["symbol", "position"])
 

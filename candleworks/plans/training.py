@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import metrics, model
+from ..sources.bars import not_empty
 from .features import FEATURE_COLUMNS, model_table
 
 
@@ -24,7 +25,7 @@ class Outcome:
 
 def train_and_evaluate(features: DataFrame, **changes) -> Outcome:
     """Split, weigh, fit, predict and score; `changes` are tree parameters."""
-    rows = model.split(model_table(features))
+    rows = model.split(not_empty(model_table(features), "rows with features and targets"))
     models = model.fit(rows.where("part = 'train'"), FEATURE_COLUMNS, **changes)
     results = model.predict(models, rows, FEATURE_COLUMNS)
     test = results.where("part = 'test'")

@@ -6,7 +6,7 @@ give equal values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import base_symbol, epoch_seconds, exchange_time, parse_time, round_price
@@ -15,6 +15,7 @@ from .operators import chart, metrics, model, structure
 from .operators.features import candle_features, in_chunks
 from .operators.targets import targets
 from .plans import features as job
+from .plans.chart import write_chart
 from .sources import bars as source
 
 
@@ -132,12 +133,15 @@ def s05_round_prices(spark, sf_dir):
 
 
 def s06_tag(spark, sf_dir):
-    return rounded(source.tag(hourly(spark, sf_dir).where("symbol = 'click'").drop("symbol"), "CLICK.X"))
+    """Each symbol's bars tagged with a name of its own. Symbols are the few event types."""
+    bars = source.kept(hourly(spark, sf_dir))
+    names = [r.symbol for r in source.symbols(bars).collect()]
+    return rounded(source.stack([source.tag(bars.where(F.col("symbol") == s).drop("symbol"), f"{s.upper()}.X") for s in names]))
 
 
 def s07_flatten_names(spark, sf_dir):
-    two = hourly(spark, sf_dir).where("symbol = 'view'").toDF(*[f"{c}/view" if c != "symbol" else c for c in source.BAR_COLUMNS])
-    return rounded(source.flatten_names(two))
+    bars = hourly(spark, sf_dir)
+    return rounded(source.flatten_names(bars.toDF(*[f"{c}/X" if c != "symbol" else c for c in bars.columns])))
 
 
 def s06_tag_all(spark, sf_dir):
@@ -193,8 +197,10 @@ def a02_symbols(spark, sf_dir):
 
 
 def u01_stack(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return rounded(source.stack([bars.where("symbol = 'click'"), bars.where("symbol = 'view'")]))
+    """One frame for each symbol. Symbols are the few event types."""
+    bars = source.kept(hourly(spark, sf_dir))
+    names = [r.symbol for r in source.symbols(bars).collect()]
+    return rounded(source.stack([bars.where(F.col("symbol") == s) for s in names]))
 
 
 def u01_stack_all(spark, sf_dir):
@@ -205,7 +211,7 @@ def u01_stack_all(spark, sf_dir):
 
 
 def x01_ordinals(spark, sf_dir):
-    return rounded(numbered(spark, sf_dir).select("symbol", "Datetime", "position", "global_position"))
+    return rounded(ordinals(hourly(spark, sf_dir), whole=True).select("symbol", "Datetime", "position", "global_position"))
 
 
 def c11_base_symbol(spark, sf_dir):
@@ -242,7 +248,7 @@ def m05_pivot_base(spark, sf_dir):
 
 
 def m06_anchors(spark, sf_dir):
-    return rounded(anchored(spark, sf_dir)[1])
+    return rounded(anchored(spark, sf_dir)[1].drop("stale"))
 
 
 def j03_pairs(spark, sf_dir):
@@ -373,9 +379,7 @@ def k01_in_order(spark, sf_dir):
 
 
 def k02_last_candles(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy(F.desc("position"))
-    bars = numbered(spark, sf_dir).withColumn("k", F.row_number().over(w))
-    return rounded(bars.where("k <= 100").select("symbol", "position", "Close"))
+    return rounded(chart.last_candles(numbered(spark, sf_dir), 100).select("symbol", "position", "Close"))
 
 
 def k05_latest_anchors(spark, sf_dir):
@@ -383,12 +387,41 @@ def k05_latest_anchors(spark, sf_dir):
 
 
 def n02_payload(spark, sf_dir):
-    return chart.payload_json(records(spark, sf_dir), 200).select("symbol", "n_rows")
+    """The whole payload, numbers rounded as in the other queries."""
+    return chart.payload_json(source.kept(with_lines(spark, sf_dir)), "view", clean=rounded)
 
 
 def n02_payload_json(spark, sf_dir):
-    """The payload itself, at the operator's own number of candles."""
-    return chart.payload_json(records(spark, sf_dir))
+    """The series of the payload alone, with their numbers of records."""
+    series = n02_payload(spark, sf_dir).where("field = 'series'")
+    return series.select("symbol", F.json_array_length("json").cast("long").alias("n_rows"), "json")
+
+
+def s11_chart_rows(spark, sf_dir):
+    """The chart's rows of all symbols, written as JSON and read back."""
+    path = source.new_path(spark)
+    write_chart(with_lines(spark, sf_dir), path)
+    kinds = ", ".join(f"{c} {'boolean' if c in FLAGS else 'double' if c in DOUBLES else 'long'}" for c in ("time", *DOUBLES, *FLAGS, *PLACES_OF_ANCHORS))
+    return rounded(spark.read.schema(f"{kinds}, symbol string").json(path).select("symbol", "time", *DOUBLES, *FLAGS, *PLACES_OF_ANCHORS))
+
+
+FLAGS = ("swingHigh", "swingLow", "anchoredBreakout", "anchoredBreakdown")
+DOUBLES = ("open", "high", "low", "close", "volume", *(f"{s}Anchor{i}Price" for s in chart.SIDES for i in (1, 2)))
+PLACES_OF_ANCHORS = tuple(f"{s}Anchor{i}Position" for s in chart.SIDES for i in (1, 2))
+
+
+def p05_missing_columns(spark, sf_dir):
+    """For each symbol's bars, the columns of the chart that they lack."""
+    bars = hourly(spark, sf_dir)
+    lacking = source.missing(bars, chart.REQUIRED)
+    return bars.groupBy("symbol").agg(F.count("*").alias("n"), F.lit(",".join(lacking)).alias("missing"))
+
+
+def p07_empty_symbols(spark, sf_dir):
+    """Which of the symbols asked for the guard against empty input would refuse."""
+    asked = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower("n_name").alias("symbol"))
+    bars = source.kept(hourly(spark, sf_dir))
+    return source.guarded(asked.union(bars.select("symbol").distinct()), bars)
 
 
 def n03_candles(spark, sf_dir):
@@ -440,6 +473,6 @@ QUERIES = {name: candle_query(*columns) for name, columns in CANDLES.items()} |
         m02_strength, m04_rejections, m05_pivot_base, m06_anchors, j03_pairs, m07_projection, a11_line_facts, m08_lines, m09_usable_pairs,
         m10_active_lines, m11_distances, m12_breakouts, f02_feature_table, halo_chunks, a03_class_distribution, a04_class_weights, a05_accuracy,
         a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances, k03_top_importances,
-        k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n02_payload_json, n03_candles, n04_rays, u02_markers,
+        k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n02_payload_json, s11_chart_rows, p05_missing_columns, p07_empty_symbols, n03_candles, n04_rays, u02_markers,
     )
 }

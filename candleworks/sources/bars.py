@@ -21,11 +21,16 @@ BARS = T.StructType(
 )
 
 
+def missing(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that df lacks, in their order."""
+    return [c for c in columns if c not in df.columns]
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, if it has all the columns; else ValueError names those it lacks."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+    lacking = missing(df, columns)
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
     return df
 
 
@@ -35,6 +40,13 @@ def not_empty(df: DataFrame, what: str = "rows") -> DataFrame:
     return df
 
 
+def guarded(requested: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, n, empty) of the requested symbols: those without bars are empty."""
+    counts = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    found = requested.distinct().join(counts, "symbol", "left")
+    return found.select("symbol", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("empty"))
+
+
 def unique_times(bars: DataFrame) -> DataFrame:
     """bars, if no (symbol, Datetime) repeats: window order would not be certain."""
     if not bars.groupBy("symbol", "Datetime").count().where("count > 1").isEmpty():

@@ -1,7 +1,6 @@
 """Candle features, targets and structure: SQL, plain twins, properties, hand cases."""
 
 import datetime as dt
-import math
 
 import duckdb
 import numpy as np
@@ -167,7 +166,7 @@ def test_anchors_and_lines_equal_a_plain_fold(spark, seed):
 
 
 def test_chunks_equal_whole_symbols(spark):
-    bars = ordinals(walk_bars(spark, n=700)).drop("global_position")
+    bars = ordinals(walk_bars(spark, n=700))
     apply = lambda b, keys: targets(structure.swings(candle_features(b, keys), keys), keys)
     a = apply(bars, ("symbol",)).toPandas()
     b = in_chunks(bars, apply, 256).select(*a.columns).toPandas()
@@ -207,22 +206,41 @@ def test_flat_short_and_single(spark):
     assert row.return_1 == 0 and row.volume_spike is None and row.adx_14 == 0 and row.volatility_expansion is None and row.swing_high == 0
     assert table.agg(F.sum("swing_high"), F.sum("swing_low")).first() == (0, 0)
     assert job.feature_table(flat).count() == 0
-    assert job.feature_table(flat.limit(5)).count() == 0 and job.all_columns(flat.limit(0)).count() == 0
+    assert job.feature_table(flat.limit(5)).count() == 0
+    with pytest.raises(ValueError, match="no bars"):
+        job.all_columns(flat.limit(0))
+    with pytest.raises(ValueError, match="repeat"):
+        job.all_columns(flat.union(flat.limit(1)))
     tie = [(10, 9), (11, 9), (12, 9), (13, 9), (13, 9), (12, 9), (11, 9), (10, 9)]
     ties = spark.createDataFrame([(dt.datetime(2024, 1, 1, i), float(h), float(h), float(l), float(l), 1, "T") for i, (h, l) in enumerate(tie)], source.BARS)
     assert structure.swings(job.positioned(ties)).agg(F.sum("swing_high")).first()[0] == 0
 
 
 def test_ties_between_lines_go_to_the_later_anchors():
-    bars = pd.DataFrame({"position": range(100), "High": 11.0, "Low": 10.0, "Close": 10.5})
-    row = lambda first, second, score: {"first_pos": first, "first_price": 10.0, "second_pos": second, "second_price": 10.0, "score": score, "usable_from": second + 3, "stale": math.nan}
-    pair = pd.DataFrame([row(0, 40, 100.0), row(5, 40, 100.0), row(5, 41, 100.0), row(7, 41, 99.0)])
-    found = list(structure.follow(bars, pair, "support", RULES))
-    assert found[0][0] == 43 and (found[0][2], found[0][4]) == (5, 40)
-    bars.loc[60:, "Close"] = 9.0
-    found = list(structure.follow(bars, pair, "support", RULES))
-    later = [f for f in found if f[0] > 61]
-    assert (found[0][2], found[0][4]) == (5, 40) and (later[0][2], later[0][4]) == (5, 41)
+    pairs = [(0, 40, 100.0), (5, 40, 100.0), (5, 41, 100.0), (7, 41, 99.0)]
+
+    def follow(close):
+        state, found = structure.Follower("s", "support", RULES), []
+        for at in range(100):
+            for first, second, score in pairs:
+                if second + 3 == at:
+                    found += state.step((at, 0, None, None, None, first, 10.0, second, 10.0, score, None))
+            found += state.step((at, 1, 10.0, 11.0, close(at), *[None] * 6))
+        return [(r[2], r[4], r[6]) for r in found]
+
+    found = follow(lambda at: 10.5)
+    assert found[0] == (43, 5, 40)
+    found = follow(lambda at: 10.5 if at < 60 else 9.0)
+    assert found[0] == (43, 5, 40) and next(f for f in found if f[0] > 61)[1:] == (5, 41)
+
+
+def test_follower_forgets_what_is_stale():
+    """The heap stays small over a long history, and keeps the best usable pair."""
+    state = structure.Follower("s", "resistance", RULES)
+    for at in range(0, 60_000):
+        state.step((at + 3, 0, None, None, None, at, 10.0, at + 1, 10.0, float(at % 97), at + 50))
+        state.step((at + 3, 1, 1.0, 5.0, 4.0, *[None] * 6))
+    assert len(state.heap) <= 1026 and len(state.retired) <= 1026
 
 
 def test_source_checks(spark):

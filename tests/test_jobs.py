@@ -2,6 +2,7 @@
 
 import importlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,36 @@ def test_metrics_of_constants(spark):
     assert report["0"].precision == 0 and report["0"].support == 0 and report["1"].recall == pytest.approx(2 / 3)
 
 
+def test_confusion_takes_all_labels_that_occur(spark):
+    schema = "actual_d int, predicted_d int"
+    table = metrics.confusion(spark.createDataFrame([(0, 7), (0, 0), (2, 0), (2, None)], schema))
+    assert table.columns == ["actual_d", "predicted_0", "predicted_2", "predicted_7"]
+    assert sorted(map(tuple, table.collect())) == [(0, 1, 0, 1), (2, 1, 0, 0), (7, 0, 0, 0)]
+
+
+def test_predictions_and_importances_come_from_the_trees(spark, features):
+    """Recomputed from the fitted trees, one by one."""
+    rows = kept(model.split(model_table(features)))
+    classifier, regressor = model.fit(rows.where("part = 'train'"), FEATURE_COLUMNS, maxIter=4)
+    found = {(r.symbol, r.position): r for r in model.predict((classifier, regressor), rows, FEATURE_COLUMNS).collect()}
+    margin = lambda m, x: sum(w * t.predict(x) for w, t in zip(m.treeWeights, m.trees, strict=True))
+    for r in model.assemble(rows, FEATURE_COLUMNS).limit(40).collect():
+        got = found[r.symbol, r.position]
+        odds = [1 / (1 + math.exp(-2 * margin(m, r.features))) for m in classifier.models]
+        assert got.confidence == pytest.approx(max(odds) / sum(odds)) and got.predicted_d == odds.index(max(odds))
+        assert got.predicted_p == pytest.approx(margin(regressor, r.features)) and (got.actual_d, got.part) == (r.target_d, r.part)
+    table = {r.feature: r.importance for r in model.importances((classifier, regressor), FEATURE_COLUMNS, spark).collect()}
+    for i, name in enumerate(FEATURE_COLUMNS):
+        assert table[name] == pytest.approx(sum(m.featureImportances[i] for m in classifier.models) / 3)
+
+
+def test_split_keeps_repeated_bars(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01", i) for i in range(6)] + [("b", "2024-01-02", 9)] * 4, "symbol string, Datetime string, position int").withColumn("Datetime", F.col("Datetime").cast("timestamp"))
+    for by_time, test in ((False, 2), (True, 3)):
+        found = model.split(rows, by_time=by_time)
+        assert found.columns == [*rows.columns, "part"] and found.count() == 10 and found.where("part = 'test'").count() == test
+
+
 def test_chart_tables(spark, features):
     tables = chart_tables(features, "view", 100)
     rows = tables["rows"].collect()
@@ -66,8 +97,15 @@ def test_chart_tables(spark, features):
         a = anchors[r.symbol, r.side]
         slope = (a.anchor2Price - a.anchor1Price) / (a.anchor2Position - a.anchor1Position)
         assert r.value == pytest.approx(a.anchor1Price + slope * (r.position - a.anchor1Position))
-    one = chart.payload_json(chart.records(features), 5).first()
-    assert [x["position"] for x in json.loads(one.json)] == sorted(x["position"] for x in json.loads(one.json)) and one.n_rows == 5
+    parts = chart.payload_json(features, "view", 5).collect()
+    whole = {r.field: json.loads(r.json) for r in parts if r.symbol is None}
+    assert whole == {"symbols": sorted({r.symbol for r in rows}), "defaultSymbol": "view", "defaultCandleCount": 5, "candleCountOptions": [100, 200, 300, 500, 1000]}
+    series = {r.symbol: json.loads(r.json) for r in parts if r.field == "series"}
+    assert sorted(series) == whole["symbols"]
+    for one in series.values():
+        assert [x["position"] for x in one] == sorted(x["position"] for x in one) and len(one) <= 5 and "supportAnchor1Price" in one[0]
+    with pytest.raises(ValueError, match="symbols"):
+        chart.payload_json(features.limit(0), "view")
     path = new_path(spark)
     write_chart(features, path, 50)
     assert spark.read.json(path).count() == sum(min(50, r.n) for r in features.groupBy("symbol").agg(F.count("*").alias("n")).collect())

@@ -25,7 +25,7 @@ def test_trained_queries_use_all_trees_and_features(spark, monkeypatch):
 
 def test_sets_of_bars_hold_every_symbol(spark):
     whole = sorted(map(tuple, queries.QUERIES["s02_bars_from_ticks"](spark, SF).collect()))
-    for name in ("u01_stack_all", "s07_flatten_all_names"):
+    for name in ("u01_stack", "u01_stack_all", "s07_flatten_names", "s07_flatten_all_names"):
         assert sorted(map(tuple, queries.QUERIES[name](spark, SF).collect())) == whole
     tagged = queries.QUERIES["s06_tag_all"](spark, SF).collect()
     assert len(tagged) == len(whole) and {r.symbol for r in tagged} == {"ALL.X"}
