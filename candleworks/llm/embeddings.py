@@ -193,8 +193,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
     most = max(1024, SAMPLE_BYTES // (8 * width))
     lists = int(np.clip(n // per_list, 1, min(max_lists, most // 4)))
     sample = min(max(16 * lists, 8192), most)
-    share = min(1.0, sample / n)
-    chosen = raw.where(F.pmod(F.xxhash64("raw"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("raw").toArrow()
+    part = min(1.0, sample / n)
+    chosen = raw.where(F.pmod(F.xxhash64("raw"), F.lit(1 << 20)) < int(np.ceil(part * (1 << 20)))).select("raw").toArrow()
     train = unit_rows(chosen.column("raw").to_pylist(), width, kind)[0]
     if not len(train):  # few vectors, none in the share of the hash
         train = unit_rows([r.raw for r in raw.select("raw").limit(sample).collect()], width, kind)[0]
