@@ -36,7 +36,7 @@ class Kind:
     pattern: str  # for Java's engine
     hint: str  # texts without a match of it are not searched
     score: float  # once confirmed
-    context: str  # words that raise the score by 0.5, looked for before the span
+    context: str  # words that raise the score by 0.5, looked for on both sides of the span
     tag: str
     neighbours: str = ""  # characters that may not touch the span
 
@@ -51,7 +51,10 @@ KINDS = [
     Kind("local_phone", r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", "[0-9]{3}[ .-][0-9]{4}", 0.3, "phone|tel|call|mobile|fax|cell", "<PHONE>", "[0-9+.-]"),
 ]
 BASE = ("email", "ip", "card", "phone")
-BEFORE = 40
+
+#: Characters on each side of a span in which context words count, and how many matches
+#: of the added kinds, of 11 characters at least, they can hold.
+NEAR, MATCHES_NEAR = 40, 4
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
 
@@ -106,8 +109,14 @@ def clear(kind: Kind, left: Column, right: Column) -> Column:
     return ~F.right(left, F.lit(1)).rlike(kind.neighbours) & ~F.left(right, F.lit(1)).rlike(kind.neighbours)
 
 
-def score(kind: Kind, left: Column) -> Column:
-    near = F.lower(F.right(left, F.lit(BEFORE))).rlike(kind.context)
+def score(kind: Kind, pieces: Column, matches: Column, i: Column) -> Column:
+    """Score of match i, with context from the text on both sides of it."""
+    piece = lambda k: F.coalesce(F.get(pieces, i + k), F.lit(""))
+    match = lambda k: F.coalesce(F.get(matches, i + k), F.lit(""))
+    reach = range(MATCHES_NEAR, 0, -1)
+    before = F.concat(*[x for k in reach for x in (piece(-k), match(-k))], piece(0))
+    after = F.concat(piece(1), *[x for k in range(1, MATCHES_NEAR + 1) for x in (match(k), piece(k + 1))])
+    near = F.lower(F.right(before, F.lit(NEAR))).rlike(kind.context) | F.lower(F.left(after, F.lit(NEAR))).rlike(kind.context)
     return F.least(F.lit(kind.score) + F.when(near, 0.5).otherwise(0.0), F.lit(1.0))
 
 
@@ -141,7 +150,7 @@ def found(kind: Kind, text: Column) -> Column:
                     F.get(matches, i),
                     lambda m: F.when(
                         F.coalesce(confirmed(kind, m) & clear(kind, F.get(pieces, i), F.get(pieces, i + 1)), F.lit(False)),
-                        F.struct(F.lit(kind.name).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), score(kind, F.get(pieces, i)).alias("score")),
+                        F.struct(F.lit(kind.name).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), score(kind, pieces, matches, i).alias("score")),
                     ),
                 ),
             )
@@ -194,7 +203,7 @@ def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> D
         def put(matches: Column, pieces: Column, kind: Kind = kind) -> Column:
             def one(i: Column) -> Column:
                 left, m = F.get(pieces, i), F.get(matches, i)
-                good = F.coalesce(confirmed(kind, m) & clear(kind, left, F.get(pieces, i + 1)) & (score(kind, left) >= min_score), F.lit(False))
+                good = F.coalesce(confirmed(kind, m) & clear(kind, left, F.get(pieces, i + 1)) & (score(kind, pieces, matches, i) >= min_score), F.lit(False))
                 return F.concat(left, F.when(good, F.lit(kind.tag)).otherwise(m))
 
             return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one), ""), F.get(pieces, F.size(matches)))

@@ -72,13 +72,13 @@ def _op6_kind(kind: pii.Kind) -> str:
         "local_phone": "true",
     }[kind.name]
     touch = f"AND NOT regexp_matches(right(l, 1), '{kind.neighbours}') AND NOT regexp_matches(left(r, 1), '{kind.neighbours}')" if kind.neighbours else ""
-    near = f"AND {kind.score} + CASE WHEN regexp_matches(lower(right(l, {pii.BEFORE})), '{kind.context}') THEN 0.5 ELSE 0 END >= 0.5" if kind.name not in pii.BASE else ""
+    near = f"AND {kind.score} + CASE WHEN regexp_matches(lower(substr(text, greatest(s - {pii.NEAR}, 0) + 1, least(s, {pii.NEAR}))), '{kind.context}') OR regexp_matches(lower(substr(text, s + len(m) + 1, {pii.NEAR})), '{kind.context}') THEN 0.5 ELSE 0 END >= 0.5" if kind.name not in pii.BASE else ""
     return f"""{kind.name} AS (
   SELECT doc_id, '{kind.name}' AS kind, s, s + len(m) AS e FROM (
-    SELECT doc_id, m, l, r, CAST(sum(len(l)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
-    FROM (SELECT doc_id, i, ms[i] AS m, ps[i] AS l, ps[i + 1] AS r FROM (
-      SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}'))))
+    SELECT doc_id, text, m, l, r, CAST(sum(len(l)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+    FROM (SELECT doc_id, text, i, ms[i] AS m, ps[i] AS l, ps[i + 1] AS r FROM (
+      SELECT doc_id, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}'))))
     WINDOW w AS (PARTITION BY doc_id ORDER BY i))
   WHERE {good} {touch} {near})"""
 

@@ -234,8 +234,9 @@ PERSONAL = [
     "mail a.b@c.de, x@y.z_q@e.fg and @no one@two", "é 10.0.0.255 1.2.3.4.5.6.7.8 256.1.1.1 000255.00.0.01 99999999999999999999.1.1.1",
     "card 4111 1111 1111 1111 or 4111-1111-1111-1112 and 5500005555555559", "call +1 (437) 555-0689 or +49 30 123456 or +1 2",
     "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE88370400440532013000",
-    "my SSN 123-45-6789 but part 123-45-6789", "phone (415) 555-2671, order 415-555-2671", "\U0001f600 a@b.co", "a" * 20000 + "@", "1" * 20000, "1." * 9000, "+" * 5000 + "1 2 3",
+    "my SSN 123-45-6789 and also 987-65-4321, 123-45-6780" + " " * 50 + "part 123-45-6789", "phone (415) 555-2671, order 415-555-2671", "\U0001f600 a@b.co", "a" * 20000 + "@", "1" * 20000, "1." * 9000, "+" * 5000 + "1 2 3",
     "a@b.co " * 700, "x@a" + ".b" * 4000,
+    "call 555-123-4567 or 555-987-6543", "555-123-4567" + " far" * 12 + " 555-987-6543, 555-111-2222 is my phone",
 ]
 
 
@@ -248,8 +249,10 @@ def test_pii(spark, docs, texts, nothing):
     added = {i: [(s.kind, everything[i][s.start : s.end]) for s in r.spans[len(r.base_spans) :]] for i, r in rows.items()}
     k = len(texts)
     assert added[k + 4] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
-    assert added[k + 5][0] == ("ssn", "123-45-6789")
+    assert added[k + 5] == [("ssn", "123-45-6789"), ("ssn", "123-45-6780")]
     assert added[k + 6][0] == ("local_phone", "(415) 555-2671")
+    assert [x for _, x in added[k + len(PERSONAL) - 2]] == ["555-123-4567", "555-987-6543"]
+    assert [x for _, x in added[k + len(PERSONAL) - 1]] == ["555-987-6543", "555-111-2222"]
     assert added[k + 3] == []
     assert pii.detect(nothing).count() == 0
 
