@@ -3,9 +3,12 @@
 Equal vectors (by two 64-bit hashes) collapse into one with a multiplicity. Coarse centroids and residual
 subspace codebooks are fitted on a bounded sample; every vector then has a home list,
 a code of its residual and the length of what the code leaves out. A vector probes all
-lists whose cells come within half the distance of the similarity: between two vectors at
-that distance or less lies the plane that parts their cells, and one of them is within
-half of it, so a pair is found whatever way it lies. In a list, table look-ups give
+lists whose cells come within a margin of it. Between two partners lies the plane that
+parts their cells, and the nearer is away from it by at most half of how far they lie
+apart across it. The margin is `reach` times the spread of that, which the sample's
+residuals show across the planes of near lists (the 99th percentile of the planes), for
+partners just at the similarity; half their whole distance, which no pair exceeds, is
+its bound, reached where vectors vary in few directions. In a list, table look-ups give
 asymmetric distances to all members; those that the code's error cannot rule out are
 reranked by exact cosine. A pair is linked if either probes the other's list, and counted
 once. Probes and candidates have no cap.
@@ -30,6 +33,10 @@ from .components import components
 #: Doubles in one table of distances between rows and lists.
 CELLS = 1 << 22
 
+#: Margin in spreads: a pair is missed only where its vectors lie more than four spreads
+#: apart across a plane that is about midway between them. Infinite: none is missed.
+REACH = 2.0
+
 #: Bytes of the vectors, as doubles, that the index is fitted on.
 SAMPLE_BYTES = 256 << 20
 
@@ -39,8 +46,7 @@ class Index:
     centroids: np.ndarray  # lists x width
     codebooks: list[np.ndarray]  # for each subspace: codes x its width
     bounds: np.ndarray  # where subspaces begin
-    similarity: float
-    reach: float
+    margin: float
 
     @property
     def batch(self) -> int:
@@ -61,15 +67,12 @@ class Index:
 
     def probes(self, d2: np.ndarray) -> list[np.ndarray]:
         """Lists to look into, the home included. The plane between the home's centroid
-        and another bounds the other's cell; its distance is compared with the margin, half
-        the distance of the similarity, or less where a finite reach trades recall."""
+        and another bounds the other's cell; its distance is compared with the margin."""
         home = d2.argmin(axis=1)
         own, at = np.unique(home, return_inverse=True)
         squares = (self.centroids**2).sum(1)
         gaps = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * self.centroids[own] @ self.centroids.T, 0))
-        apart = np.sqrt(max(0.0, 2 - 2 * self.similarity))
-        margin = min(apart / 2, self.reach * apart / np.sqrt(self.centroids.shape[1]))
-        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[at] * margin + 1e-6
+        near = d2 - d2[np.arange(len(d2)), home][:, None] <= 2 * gaps[at] * self.margin + 1e-6
         return [np.flatnonzero(n) for n in near]
 
 
@@ -93,7 +96,28 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int, similarity:
     width = sample.shape[1]
     bounds = np.linspace(0, width, min(subspaces, width) + 1).astype(int)
     books = [kmeans(rest[:, a:b], codes, 6, rng) for a, b in zip(bounds, bounds[1:], strict=False)]
-    return Index(centroids, books, bounds, similarity, reach)
+    apart = np.sqrt(max(0.0, 2 - 2 * similarity))
+    return Index(centroids, books, bounds, min(apart / 2, reach * apart * spread(centroids, rest, rng)))
+
+
+def spread(centroids: np.ndarray, rest: np.ndarray, rng, planes: int = 256, near: int = 8) -> float:
+    """How much of a residual's length lies across the planes between near lists: root of
+    the mean square, at the 99th percentile of some planes. 1 where nothing is known."""
+    length = (rest**2).sum()
+    if len(centroids) < 2 or length <= 0:
+        return 1.0
+    own = rng.choice(len(centroids), size=min(planes, len(centroids)), replace=False)
+    d2 = ((centroids[own] ** 2).sum(1)[:, None] + (centroids**2).sum(1)) - 2 * centroids[own] @ centroids.T
+    others = np.argsort(d2, axis=1)[:, 1 : near + 1]
+    across = (centroids[others] - centroids[own][:, None]).reshape(-1, centroids.shape[1])
+    norm = np.sqrt((across**2).sum(1))
+    across = across[norm > 1e-9] / norm[norm > 1e-9][:, None]
+    if not len(across):
+        return 1.0
+    shares = np.zeros(len(across))
+    for i in range(0, len(rest), 4096):
+        shares += ((rest[i : i + 4096] @ across.T) ** 2).sum(0)
+    return float(np.sqrt(min(1.0, np.quantile(shares / length, 0.99))))
 
 
 def unit_rows(raw: list[bytes], width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +143,7 @@ def packed(vectors: DataFrame, kind: str) -> DataFrame:
     return vectors.mapInArrow(run, "k long, n long, raw binary")
 
 
-def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def search_block(index: Index, home: int, members: dict, queries: dict, similarity: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Keys with their numbers of linked rows as far as this block counts them, and
     links that connect what all links of the block connect."""
     x, codes, error, lists = members["x"], members["codes"], members["error"], len(index.centroids)
@@ -132,13 +156,13 @@ def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple
         dots = np.repeat((q @ index.centroids[home])[:, None], len(x), axis=1)
         for j, book in enumerate(index.codebooks):
             dots += (q[:, index.bounds[j] : index.bounds[j + 1]] @ book.T)[:, codes[:, j]]
-        row, column = np.nonzero(dots + error >= index.similarity - 1e-6)
+        row, column = np.nonzero(dots + error >= similarity - 1e-6)
         other = (queries["k"][i + row] != members["k"][column]) & (queries["had"][i + row] == members["had"][column])
         row, column = row[other], column[other]
         exact = np.empty(len(row))
         for a in range(0, len(row), 1 << 16):
             exact[a : a + (1 << 16)] = np.einsum("ij,ij->i", q[row[a : a + (1 << 16)]], x[column[a : a + (1 << 16)]])
-        good = exact >= index.similarity
+        good = exact >= similarity
         row, column = row[good], column[good]
         if not len(row):
             continue
@@ -161,13 +185,13 @@ def search_block(index: Index, home: int, members: dict, queries: dict) -> tuple
     return keys[some], counts[some], links
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str = "embedding", id_col: str = "vec_id", keep=None, per_list: int = 256, max_lists: int = 16_384, reach: float = float("inf"), subspaces: int = 16, codes: int = 256, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str = "embedding", id_col: str = "vec_id", keep=None, per_list: int = 256, max_lists: int = 16_384, reach: float = REACH, subspaces: int = 16, codes: int = 256, block: int = 2048) -> DataFrame:
     """vectors with n_links (other rows at the similarity or above), component_id (the
     smallest id reachable by links, its own included) and kept (it is that id).
 
     Vectors that are null, empty, zero or hold a null, NaN or infinite component link
     with nothing, and vectors of different widths not with each other. Equal vectors
-    all link. The index is fitted on about 16 distinct vectors a list (8192 at least, and
+    all link. With reach infinite every pair is found. The index is fitted on about 16 distinct vectors a list (8192 at least, and
     16 * max_lists or SAMPLE_BYTES at most) chosen by hash, and covers all; max_lists bounds this fit on
     the driver, not what is found: with more vectors the lists grow, and the work in each
     with its square. Columns of vectors named like the results are replaced.
@@ -251,7 +275,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
         members["probed"] = np.repeat(np.arange(len(here)), size) * len(index().centroids) + others[np.repeat(begin[here], size) + within]
         members["codes"] = np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1)
         queries = {"k": k[there], "n": count[there], "x": x[there], "had": had[there], "home": others[begin[there]].astype(np.int64)}
-        who, counts, links = search_block(index(), int(table.column("list")[0].as_py()), members, queries)
+        who, counts, links = search_block(index(), int(table.column("list")[0].as_py()), members, queries, similarity)
         a = np.concatenate([who, np.array([p for p, _ in links], dtype=np.int64)])
         b = pa.array([None] * len(who) + [p for _, p in links], pa.int64())
         return pa.table([pa.array(a), b, pa.array(np.concatenate([counts, np.zeros(len(links), np.int64)]))], names=names)
