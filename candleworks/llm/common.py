@@ -39,7 +39,20 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.durable_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `durable` wrote, once all that was made of them is itself
+    written; others are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).pop("durable_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def join_each(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, most: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_each
+from .common import durable, join_each, release
 
 
 def _state(edges: DataFrame):
@@ -30,9 +30,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", hub: int = 100_000)
         large = join_each(both.where("b > a"), least, "a", "n", 2 * before[0], hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: u and its smaller neighbours go to the least of those
         large = durable(large)
+        release(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_each(large, least, "a", "n", 2 * before[0], hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         edges = durable(small.distinct())
+        release(large)
         after = _state(edges)
         if after == before:
             break

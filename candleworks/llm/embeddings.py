@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_each, share
+from .common import durable, join_each, release, share
 from .components import components
 
 
@@ -255,8 +255,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
     sizes = dealt.groupBy("list").agg(F.ceil(F.count_if(~F.col("query")) / block).cast("int").alias("m"), F.ceil(F.count_if("query") / block).cast("int").alias("q"))
     own = F.pmod(F.xxhash64("k"), F.when(F.col("query"), F.col("q")).otherwise(F.col("m"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("query"), F.col("m")).otherwise(F.col("q")) - 1)
-    spread = dealt.join(F.broadcast(sizes), "list").where("m > 0 and q > 0").select(*columns, own.alias("own"), F.explode(others).alias("other"))
-    spread = spread.withColumn("mb", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("qb", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
+    spread_rows = dealt.join(F.broadcast(sizes), "list").where("m > 0 and q > 0").select(*columns, own.alias("own"), F.explode(others).alias("other"))
+    spread_rows = spread_rows.withColumn("mb", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("qb", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
 
     def compare(table: pa.Table) -> pa.Table:
         names = ["a", "b", "n"]
@@ -280,7 +280,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9, vector_col: str
         b = pa.array([None] * len(who) + [p for _, p in links], pa.int64())
         return pa.table([pa.array(a), b, pa.array(np.concatenate([counts, np.zeros(len(links), np.int64)]))], names=names)
 
-    found = durable(spread.groupBy("list", "mb", "qb").applyInArrow(compare, "a long, b long, n long"))
+    found = durable(spread_rows.groupBy("list", "mb", "qb").applyInArrow(compare, "a long, b long, n long"))
+    release(dealt)
     roots = components(found.where("b is not null")).withColumnRenamed("node", "k")
     counted = found.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("linked"))
     of = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -45,7 +45,7 @@ from .common import LOWER, SPACE, carried, durable, hash_spans, mix64, share, sh
 _STEP = np.uint64(0x9FB21C651E98DF25)
 END, START = np.uint64(0xA3B195354A39B70D), np.uint64(0x51ED270B9F3C2A17)  # keys of the text's end and start
 ORDERS = (1, 2, 3)
-BLOCKS_IN_CHUNK = 16
+BLOCKS_IN_CHUNK = 6
 
 
 # ---------------------------------------------------------------- numbers in transit
@@ -445,7 +445,7 @@ def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes
     size = size or 1
     buckets = int(np.clip(np.ceil(np.log2(size / bucket_bytes)), 0, 24)) if size > bucket_bytes else 0
     keys = Keys(min(61, int(size).bit_length() + 20), buckets)  # a token has 6 bytes or so
-    blocks = blocks_of(docs, train, text_col, names, block_bytes, int(np.clip(size // bucket_bytes, 16, 100_000)))
+    blocks = blocks_of(docs, train, text_col, names, block_bytes, int(np.clip(size // max(2 * block_bytes, 2 << 20), 16, 100_000)))
 
     def ask(batches):
         for batch in batches:
