@@ -422,7 +422,9 @@ def blocks_of(docs: DataFrame, train, text_col: str, names: list[str], block_byt
     name = f"candleworks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(run, schema)
     made.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(docs.sparkSession)}/{name}").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    table = docs.sparkSession.table(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the name alone: with a path of its own, the files stay
+    return table
 
 
 def block_of(texts: bytes, lengths: bytes) -> Block:
