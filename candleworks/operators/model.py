@@ -46,7 +46,7 @@ def fit(train: DataFrame, features: list[str], **changes):
     rows = assemble(with_weights(train), features).select("features", F.col("target_d").cast("double").alias("target_d"), "target_p", "weight").persist()
     try:
         tree = GBTClassifier(labelCol="target_d", featuresCol="features", **options).setRawPredictionCol("margins")
-        classifier = OneVsRest(classifier=tree, labelCol="target_d", featuresCol="features", weightCol="weight", predictionCol="predicted_d", rawPredictionCol="margins").fit(rows)
+        classifier = OneVsRest(classifier=tree, labelCol="target_d", featuresCol="features", weightCol="weight", predictionCol="predicted_d", rawPredictionCol="margins", parallelism=3).fit(rows)
         regressor = GBTRegressor(labelCol="target_p", featuresCol="features", predictionCol="predicted_p", **options).fit(rows)
     finally:
         rows.unpersist()
