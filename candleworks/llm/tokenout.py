@@ -160,10 +160,14 @@ def documents(rows: DataFrame, width: int = 2) -> DataFrame:
     """The segments of packed rows: doc_id, start (ids of the document before it), ids
     (little-endian bytes), row_id, segment (its number in the row), offset and end (its
     cumulative lengths), positions (bytes of its position ids) and n_tokens of the row."""
-    segment = F.posexplode("doc_ids").alias("segment", "doc_id")
-    cut = rows.select("row_id", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "starts", segment)
-    k = F.col("segment")
-    a, b = F.get("cu_seqlens", k), F.get("cu_seqlens", k + 1)
     wide = (F.octet_length("position_ids") / (F.octet_length("input_ids") / width)).cast("int")
-    part = lambda column, size: F.substring(column, a * size + 1, (b - a) * size)
-    return cut.select("doc_id", F.get("starts", k).alias("start"), part("input_ids", F.lit(width)).alias("ids"), "row_id", "segment", a.alias("offset"), b.alias("end"), part("position_ids", wide).alias("positions"), "n_tokens")
+
+    def cut(k):
+        a, b = F.get("cu_seqlens", k), F.get("cu_seqlens", k + 1)
+        part = lambda column, size: F.substring(column, a * size + 1, (b - a) * size)
+        values = {"doc_id": F.get("doc_ids", k), "start": F.get("starts", k), "ids": part("input_ids", F.lit(width)), "segment": k, "offset": a, "end": b, "positions": part("position_ids", wide)}
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    # cut before they are dealt out, so that no segment carries its whole row
+    segments = rows.select("row_id", "n_tokens", F.explode(F.transform(F.sequence(F.lit(0), F.size("doc_ids") - 1), cut)).alias("s"))
+    return segments.select("s.doc_id", "s.start", "s.ids", "row_id", "s.segment", "s.offset", "s.end", "s.positions", "n_tokens")
