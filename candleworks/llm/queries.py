@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, lm, packing, pii, quality, sharding, simhash, tokenout
+from . import codes, decontam, embeddings, langid, lm, mixing, packing, phrases, pii, quality, sharding, simhash, tokenout
 from .common import durable, held_out
 
 
@@ -142,5 +142,82 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2), keep=["doc_id"])
 
 
-QUERIES = {"op4_lm_score": op4_lm_score, "op8_vectors": op8_vectors, "op3_shard": op3_shard, "op7_pack": op7_pack, "op9_token_rows": op9_token_rows, "op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate}
-ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return found.withColumn("codebooks_sha256", F.lit(books.digest() if books else ""))
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """A round is two tables: the nearest entry of each part, and the new entries."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""far{i} AS (SELECT vec_id, c.part, e, sum((c.v - b.v) * (c.v - b.v)) AS d
+  FROM comp c JOIN book{i} b ON c.part = b.part AND c.pos = b.pos GROUP BY vec_id, c.part, e),
+near{i} AS (SELECT vec_id, part, arg_min(e, row(d, e)) AS e, min(d) AS d FROM far{i} GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} AS (SELECT b.part, b.e, b.pos, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN (
+  SELECT part, e, pos, CAST(floor_div AS BIGINT) AS v FROM (SELECT n.part, n.e, c.pos,
+    (sum(c.v) - ((sum(c.v) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+    FROM near{i} n JOIN comp c ON n.vec_id = c.vec_id AND n.part = c.part GROUP BY n.part, n.e, c.pos)) m
+  ON b.part = m.part AND b.e = m.e AND b.pos = m.pos)""")
+    return f"""WITH kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+  AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+flat AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, len(embedding) // {parts} AS w FROM kept),
+comp AS (SELECT vec_id, i // w AS part, i % w AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM flat),
+book0 AS (SELECT part, e, pos, v FROM comp JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{", ".join(steps)},
+digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id) CROSS JOIN digest"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT DISTINCT s.lang, s.g FROM f s JOIN f b ON s.lang = b.lang AND b.m > s.m AND b.f >= s.f
+  AND contains(' ' || b.g || ' ', ' ' || s.g || ' ')),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, array_to_string(string_split(c.g, ' ')[1:k], ' ') AS lg, array_to_string(string_split(c.g, ' ')[k + 1:], ' ') AS rg
+  FROM (SELECT lang, m, g, f, unnest(range(1, m)) AS k FROM f WHERE m > 1) c ANTI JOIN inside USING (lang, g)),
+scored AS (SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, n,
+  CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = lg JOIN f y ON y.lang = cuts.lang AND y.g = rg JOIN totals ON totals.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score FROM best)
+WHERE rank <= 2000
+"""
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS most,
+  [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+run AS (SELECT *, coalesce(sum(most) OVER earlier, 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS open, 1.5::DOUBLE * sum(source_size) OVER () AS share
+  FROM w WINDOW earlier AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+full_ones AS (SELECT *, most * open <= weight * (share - filled) AS is_full FROM run),
+level AS (SELECT max(share) - coalesce(sum(most) FILTER (is_full), 0) AS rest, sum(weight) FILTER (NOT is_full) AS weights FROM full_ones),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE weight * rest / weights END AS target FROM full_ones CROSS JOIN level),
+r AS (SELECT doc_id, size, source_size, target, least(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END, 2) AS rate,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
+"""
+
+
+QUERIES = {"op4_lm_score": op4_lm_score, "op8_vectors": op8_vectors, "op3_shard": op3_shard, "op7_pack": op7_pack, "op9_token_rows": op9_token_rows, "op5_simhash": op5_simhash, "op1_quality": op1_quality, "op6_pii": op6_pii, "op10_language": op10_language, "op2_decontaminate": op2_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_phrases": op12_phrases, "op13_mix": op13_mix}
+ORACLES = {"op6_pii": _op6_sql(), "op2_decontaminate": OP2_SQL, "op11_vector_codes": _op11_sql(), "op12_phrases": OP12_SQL, "op13_mix": OP13_SQL}
