@@ -82,6 +82,33 @@ def share(spark: SparkSession, value):
     return get
 
 
+#: Bits of a bitmap of keys: at most, and for each key.
+MAX_BITS, BITS_EACH = 1 << 28, 32
+
+
+def bitmap_of(keys: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Bytes of a bitmap with the bits of all values of the column `key` (longs) modulo
+    its size, a power of two: about BITS_EACH bits for each key, but at most max_bits, so
+    it can be broadcast however many keys there are. It says of some other keys that they
+    are there, and of none that is that it is not."""
+    n = keys.count()
+    bits = 1 << 15
+    while bits < min(BITS_EACH * n, max_bits):
+        bits *= 2
+    at = F.pmod("key", F.lit(bits)) + 1
+    blocks = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for b, block in blocks.collect():  # max_bits / 32768 rows of 4 KB at most
+        out[(b - 1) * 4096 : (b - 1) * 4096 + 4096] = np.frombuffer(bytes(block), dtype=np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys may be among those of the bitmap."""
+    at = (keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

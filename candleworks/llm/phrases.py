@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, durable, hash_spans, mix64, release, slices, spans_of, text_column, utf8
+from .common import LOWER, MAX_BITS, bitmap_of, durable, hash_spans, in_bitmap, mix64, release, slices, spans_of, text_column, utf8
 
 SIZE, LEAST, TOP = 5, 100, 2000
 
@@ -39,9 +39,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.roll(np.arange(256, dtype=np.uint8), 101)[LOWER]
 
 #: Bits of a pair's key, bytes of text worked on at once, keys or grams held in a task.
-KEY_BITS, BYTES, HELD = 40, 4 << 20, 1 << 20
-#: Bits of the bitmap: at most, and for each frequent pair.
-MAX_BITS, BITS_EACH = 1 << 28, 32
+KEY_BITS, BYTES, HELD = 40, 2 << 20, 1 << 19
 #: Bytes of the table of counts that is broadcast at most.
 SMALL = 32 << 20
 
@@ -111,29 +109,13 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, c int").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def bitmap_of(keys: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Bytes of a bitmap with the bits of all keys modulo its size, a power of two: about
-    BITS_EACH bits for each key, but at most max_bits."""
-    n = keys.count()
-    bits = 1 << 15
-    while bits < min(BITS_EACH * n, max_bits):
-        bits *= 2
-    at = F.pmod("key", F.lit(bits)) + 1
-    blocks = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for b, block in blocks.collect():  # max_bits / 32768 rows of 4 KB at most
-        out[(b - 1) * 4096 : (b - 1) * 4096 + 4096] = np.frombuffer(bytes(block), dtype=np.uint8)
-    return out
-
-
 def longest_grams(words: Words, likely: np.ndarray, size: int = SIZE):
     """(language number, words, how often) of the longest grams that begin at the words."""
     if not len(words.starts):
         return
     joined = np.zeros(len(words.starts) + size, dtype=bool)
     at, key = words.pairs()
-    key = (key & np.uint64(len(likely) * 8 - 1)).astype(np.int64)
-    joined[at] = likely[key >> 3] >> (key & 7).astype(np.uint8) & 1
+    joined[at] = in_bitmap(likely, key)
     length = np.ones(len(words.starts), dtype=np.int64)
     on = np.ones(len(words.starts), dtype=bool)
     for k in range(size - 1):

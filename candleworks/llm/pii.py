@@ -120,23 +120,24 @@ def score(kind: Kind, pieces: Column, matches: Column, i: Column) -> Column:
     return F.least(F.lit(kind.score) + F.when(near, 0.5).otherwise(0.0), F.lit(1.0))
 
 
-def starts(pieces: Column, matches: Column) -> Column:
-    """Code-point position of every match: running sums in blocks of 256, so that a
-    text with many matches costs little more than its length."""
-    n = F.size(matches)
+def running(values: Column, zero: Column, add) -> Column:
+    """add over each value and all before it, in blocks of 256, so that many values cost
+    little more than a few."""
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 256).cast("int")), lambda b: F.aggregate(F.slice(values, b * 256 + 1, F.lit(256)), zero, add))
 
-    def running(steps: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 256).cast("int")), lambda b: F.aggregate(F.slice(steps, b * 256 + 1, F.lit(256)), F.lit(0).cast("long"), lambda a, x: a + x))
+    def at(blocks: Column, i: Column) -> Column:
+        block = F.floor(i / 256).cast("int")
+        whole = F.aggregate(F.slice(blocks, F.lit(1), block), zero, add)
+        return F.aggregate(F.slice(values, block * 256 + 1, i % 256 + 1), whole, add)
 
-        def at(sums: Column, i: Column) -> Column:
-            block = F.floor(i / 256).cast("int")
-            whole = F.aggregate(F.slice(sums, F.lit(1), block), F.lit(0).cast("long"), lambda a, x: a + x)
-            return F.aggregate(F.slice(steps, block * 256 + 1, i % 256 + 1), whole, lambda a, x: a + x)
+    return let(blocks, lambda blocks: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(blocks, i)))
 
-        return let(sums, lambda sums: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(sums, i)))
 
-    before = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.length(F.get(pieces, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0)).cast("long"))
-    return let(before, running)
+def starts(pieces: Column, matches: Column) -> Column:
+    """Code-point position of every match: running sums of the lengths before it."""
+    before = F.transform(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: (F.length(F.get(pieces, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0)).cast("long"))
+    return let(before, lambda steps: running(steps, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def found(kind: Kind, text: Column) -> Column:
@@ -194,24 +195,34 @@ def count_kind(spans: str, kind: str) -> Column:
     return F.size(F.filter(F.col(spans), lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """docs with the confirmed spans of text_col replaced by tags, kind after kind.
-    A null text stays null, an empty one empty; other columns are untouched."""
-    text = F.col(text_col)
-    for kind in KINDS:
+def cut_out(text: Column, spans: Column) -> Column:
+    """text with each run of overlapping spans replaced by the tag of the first, the longest
+    of those that begin there."""
+    tag = F.create_map(*[x for k in KINDS for x in (F.lit(k.name), F.lit(k.tag))])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.element_at(tag, s["kind"]).alias("tag"))))
+
+    def pieces(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda s: -s["back"])
+
+        def one(reach: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                covered = F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("long"))
+                between = F.substring(text, (covered + 1).cast("int"), F.greatest(s["start"] - covered, F.lit(0)).cast("int"))
+                return F.concat(between, F.when(s["start"] >= covered, s["tag"]).otherwise(""))
 
-        def put(matches: Column, pieces: Column, kind: Kind = kind) -> Column:
-            def one(i: Column) -> Column:
-                left, m = F.get(pieces, i), F.get(matches, i)
-                good = F.coalesce(confirmed(kind, m) & clear(kind, left, F.get(pieces, i + 1)) & (score(kind, pieces, matches, i) >= min_score), F.lit(False))
-                return F.concat(left, F.when(good, F.lit(kind.tag)).otherwise(m))
-
-            return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one), ""), F.get(pieces, F.size(matches)))
-
-        value = F.col(text_col)
-        new = let(
-            F.regexp_extract_all(value, F.lit(kind.pattern), F.lit(0)),
-            lambda matches: F.when(F.size(matches) > 0, let(F.split(value, kind.pattern, -1), lambda pieces: put(matches, pieces))).otherwise(value),
-        )
-        docs = docs.withColumn(text_col, F.when(text.rlike(kind.hint), new).otherwise(text))
-    return docs
+            tail = F.substring(text, (F.get(reach, F.size(reach) - 1) + 1).cast("int"), F.length(text))
+            return F.concat(F.array_join(F.transform(ordered, piece), ""), tail)
+
+        return let(let(ends, lambda e: running(e, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))), one)
+
+    return F.when(F.size(spans) > 0, let(ordered, pieces)).otherwise(text)
+
+
+def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """docs with the spans that `detect` reports in text_col replaced by tags. All spans are
+    found in the original text, which is cut once. A null text stays null, an empty one
+    empty; other columns are untouched."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("keep_row"), F.col(text_col).alias("keep_text"))
+    found = detect(row, "keep_text", min_score=min_score)
+    new = F.when(F.col("keep_text").isNotNull(), cut_out(F.col("keep_text"), F.col("spans")))
+    return found.select(*[new.alias(c) if c == text_col else F.col("keep_row").getField(c).alias(c) for c in docs.columns])

@@ -1,10 +1,10 @@
 """Shards of near-equal bytes: a minimax contiguous partition of atomic groups.
 
-Groups are equal texts, ordered by digest. The smallest capacity that lets a greedy
-walk cut the ordered group sizes into the given number of shards is found by binary
-search, and the cuts are made there. A group larger than that capacity has a shard of
-its own, so the others still share evenly; the largest shard is as small as any
-contiguous partition can make it.
+Groups are equal texts, ordered by digest. A group larger than an even share of what is
+left has a shard of its own (the last shards), so that the others still share evenly. For
+these the smallest capacity that lets a greedy walk cut the ordered group sizes into the
+shards that are left is found by binary search: the largest shard is as small as any
+contiguous partition can make it. Cuts then lie as evenly as that capacity allows.
 
 The walk sees the sizes of digest ranges. A range that a cut may fall into is split
 into finer ranges, down to single groups, until the capacity and all cuts are exact:
@@ -85,7 +85,7 @@ def search(sizes: np.ndarray, single: np.ndarray, shards: int) -> tuple[int, lis
 def even_cuts(sizes: np.ndarray, capacity: int, shards: int, forward: list[int], backward: list[int]) -> list[int]:
     """Cuts within the capacity, each as near as can be to an even share of what is
     left: no later than the walk from the front allows, no earlier than the walk from
-    the back. With a group above the capacity the walk's own cuts stay."""
+    the back."""
     n = len(sizes)
     if not n or sizes.max() > capacity:
         return forward
@@ -105,6 +105,28 @@ def even_cuts(sizes: np.ndarray, capacity: int, shards: int, forward: list[int],
     return [c for c in cuts if 0 < c < n]
 
 
+def heavy(rows: DataFrame, shards: int) -> list[str]:
+    """Digests of the groups that are larger than an even share of what the larger ones
+    leave, the largest first; fewer than `shards`, unless there are no others."""
+    found: list[str] = []
+    ranges = rows.groupBy(F.substring("digest", 1, FIRST).alias("prefix")).agg(F.sum("size").alias("size")).collect()
+    left = sum(r.size for r in ranges)
+    known: dict[str, int] = {}  # the groups of ranges that were looked into, above the share of then
+    while left and len(found) < shards:
+        # groups above the share: in ranges above it, fewer than there are shards
+        share = left / (shards - len(found))
+        wide = [r.prefix for r in ranges if r.size > share]
+        some = rows.where(F.substring("digest", 1, FIRST).isin(wide)) if wide else rows.limit(0)
+        sizes = some.groupBy("digest").agg(F.sum("size").alias("size")).where(F.col("size") > share)
+        known = {r.digest: r.size for r in sizes.collect()} if wide else {}
+        more = sorted((d for d in known if d not in found), key=lambda d: (-known[d], d))
+        if not more:
+            break
+        found += more
+        left -= sum(known[d] for d in more)
+    return found
+
+
 def boundaries(rows: DataFrame, shards: int) -> list[str]:
     """Digest prefixes at which a new shard begins."""
 
@@ -153,9 +175,13 @@ def shard(docs: DataFrame, shards: int = 24, text_col: str = "text", order_col:
             F.md5(text).alias("digest"),
         )
     )
-    cuts = sorted(boundaries(rows, shards))
+    alone = heavy(rows, shards)
+    others = shards - len(alone)
+    cuts = sorted(boundaries(rows.where(~F.col("digest").isin(alone)), others)) if others else []
     number = F.lit(0)
     for cut in cuts:
         number = number + (F.col("digest") >= cut).cast("int")
+    for k, digest in enumerate(alone):
+        number = F.when(F.col("digest") == digest, F.lit(others + k)).otherwise(number)
     placed = rows.withColumn("law", F.lit("bytes")).withColumn("shard", number)
     return positions(placed, "shard", ["digest", "__order"]).select(*[F.col(f"`keep_{c}`").alias(c) for c in names], *made)

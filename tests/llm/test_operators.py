@@ -135,6 +135,25 @@ def test_shard_search_is_exact_and_even():
         assert max(int(sizes[a:b].sum()) for a, b in zip(even, even[1:], strict=False)) <= max(capacity, int(sizes.max()))
 
 
+@pytest.mark.parametrize("part", [[], [0.1], [1 / 3], [0.3, 0.1, 0.1], [0.045, 0.05]])
+def test_large_groups_leave_the_other_shards_even(spark, part):
+    """Groups of a third, a tenth and about an even share of all bytes, 24 shards."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"{i} " + "x" * int(n)) for i, n in enumerate(rng.integers(1, 400, size=20_000))]
+    rest = sum(len(t) + 8 for _, t in rows)
+    whole = rest / (1 - sum(part))
+    for k, share in enumerate(part):
+        text = f"copy {k} " + "y" * 1000
+        rows += [(30_000 + 1000 * k + i, text) for i in range(int(whole * share) // (len(text) + 8))]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep=["doc_id"])
+    loads = {r.shard: r.n for r in found.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert sorted(loads) == list(range(24))
+    planted = [int(whole * share) // (len(f"copy {k} ") + 1008) * (len(f"copy {k} ") + 1008) for k, share in enumerate(part)]
+    others = sorted(loads.values())[: 24 - len(part)]
+    assert sorted(loads.values())[24 - len(part) :] == sorted(planted)
+    assert others[0] > 0.95 * others[-1]
+
+
 def test_positions(spark):
     rows = spark.createDataFrame([(i % 3 if i % 5 else None, i // 7) for i in range(200)] * 2, "g int, o int")
     found = ordinals.positions(rows, "g", ["o"]).collect()
@@ -267,6 +286,24 @@ def test_redact(spark):
     assert rows[3].spans == "old"
 
 
+def test_redaction_replaces_the_spans_that_are_detected(spark):
+    rng = np.random.default_rng(8)
+    parts = ["+49 10.20.30.40 55 66", "+14155552671 or 555-987-6543", "a@b.co", "4111 1111 1111 1111", "phone 555-987-6543", "é\U0001f600", "DE89 3704 0044 0532 0130 00", "ssn 123-45-6789", " ", "x", "+1 (437) 555-0689", "1.2.3.4"]
+    texts = [*PERSONAL, *("".join(rng.choice(parts, size=int(n))) for n in rng.integers(1, 12, size=80)), "1.2.3.4 a@b.co " * 400]
+    docs = spark.createDataFrame(clash(texts), SCHEMA)
+    tags = {k.name: k.tag for k in pii.KINDS}
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+    for r in pii.redact(docs).collect():
+        want, end = "", 0
+        for s in sorted(spans[r.doc_id], key=lambda s: (s.start, -s.end)):
+            if s.start >= end:
+                want += texts[r.doc_id][end : s.start] + tags[s.kind]
+            end = max(end, s.end)
+        assert r.text == want + texts[r.doc_id][end:]
+    two = pii.redact(spark.createDataFrame(clash(parts[:2]), SCHEMA)).orderBy("doc_id").collect()
+    assert [r.text for r in two] == ["<PHONE>", "<PHONE> or 555-987-6543"]
+
+
 # ---------------------------------------------------------------- packing and tokens
 
 
