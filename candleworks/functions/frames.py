@@ -52,37 +52,49 @@ class Frames:
         return flag((p >= q) & (F.col(a) < F.col(b)))
 
 
-def first_positions(counts: DataFrame) -> DataFrame:
-    """(symbol, __base): the rows of all symbols before each, from (symbol, __n).
-    Symbols are dealt by range; sums within a range and over the ranges, of which there
-    are as many as partitions, add up, so no task needs all symbols."""
-    dealt = counts.repartitionByRange("symbol").sortWithinPartitions("symbol").withColumn("__range", F.spark_partition_id())
-    rows = kept(dealt)
-    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = rows.groupBy("__range").agg(F.sum("__n").alias("__n"))
-    ranges = ranges.select("__range", before(Window.orderBy("__range")).alias("__earlier"))
-    within = rows.withColumn("__within", before(Window.partitionBy("__range").orderBy("symbol")))
-    return within.join(ranges, "__range").select("symbol", (F.col("__within") + F.col("__earlier")).alias("__base"))
+def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows with `__rank`, 0-based in the order given, nulls first. Rows are dealt by range
+    and numbered in their partition; the partitions' counts, a row for each, give what is
+    before it. No task needs a whole symbol or day; ties are in no certain order. The
+    numbered rows are written, so that a number stays with its row."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    numbered = kept(dealt).withColumn("__range", F.shiftright("__at", 33))
+    counts = numbered.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("__range", (before - F.col("__first")).alias("__base"))
+    return numbered.join(F.broadcast(bases), "__range").withColumn("__rank", F.col("__at") + F.col("__base")).select(*rows.columns, "__rank")
 
 
 def ordinals(bars: DataFrame, whole: bool = False) -> DataFrame:
     """bars with `position` (0-based in its symbol) and, with `whole`, `global_position`
-    (0-based in (symbol, time) order). Bars are numbered within (symbol, day); running
-    sums of the small table of day counts give the offsets, so no task needs a whole
-    symbol."""
-    dated = bars.withColumn("__day", F.to_date("Datetime"))
-    days = dated.groupBy("symbol", "__day").agg(F.count("*").alias("__n"))
-    in_symbol = Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.withColumn("__offset", F.coalesce(F.sum("__n").over(in_symbol), F.lit(0)))
-    offsets = offsets.select("symbol", "__day", "__offset")
-    if whole:
-        offsets = offsets.join(first_positions(days.groupBy("symbol").agg(F.sum("__n").alias("__n"))), "symbol")
-    in_day = Window.partitionBy("symbol", "__day").orderBy("Datetime")
-    numbered = dated.withColumn("__i", F.row_number().over(in_day) - 1).join(offsets, ["symbol", "__day"])
-    position = (F.col("__i") + F.col("__offset")).cast("long")
-    if whole:
-        return numbered.select(*bars.columns, position.alias("position"), (position + F.col("__base")).cast("long").alias("global_position"))
-    return numbered.select(*bars.columns, position.alias("position"))
+    (0-based in (symbol, time) order). Bars are numbered over all symbols by range; what is
+    before a symbol is the least of its numbers. A null symbol is one of its own and comes
+    first, as does a null time in its symbol. No bar is lost."""
+    rows = ranked(bars, ("symbol", "Datetime"))
+    firsts = rows.groupBy(F.col("symbol").alias("__symbol")).agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"))
+    met = joined_by_symbol(rows, firsts)
+    position = (F.col("__rank") - F.col("__first")).cast("long").alias("position")
+    return met.select(*bars.columns, position, *([F.col("__rank").cast("long").alias("global_position")] if whole else []))
+
+
+#: Symbols whose small table of facts is broadcast at most.
+FEW_SYMBOLS = 100_000
+
+
+def joined_by_symbol(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows and the facts of their symbol, null-safe: facts has `__symbol`, once each, and
+    `__n`, its rows. A few symbols are broadcast. Of many, those with more than a
+    thousandth of all rows, at most a thousand, are; the others meet by shuffle."""
+    facts = kept(facts)
+    same = rows["symbol"].eqNullSafe(facts["__symbol"])
+    n, total = facts.agg(F.count("*"), F.sum("__n")).first()
+    if n <= FEW_SYMBOLS:
+        return rows.join(F.broadcast(facts), same)
+    hot = facts.where(F.col("__n") > total // 1000)
+    cold = facts.where(F.col("__n") <= total // 1000)
+    first = rows.join(F.broadcast(hot), rows["symbol"].eqNullSafe(hot["__symbol"]))
+    rest = rows.join(F.broadcast(hot.select("__symbol")), rows["symbol"].eqNullSafe(hot["__symbol"]), "left_anti")
+    return first.unionByName(rest.join(cold, rest["symbol"].eqNullSafe(cold["__symbol"])))
 
 
 #: Bars that a feature looks back (previous close, 14 true ranges, 100 ratios) and ahead.
@@ -93,7 +105,9 @@ def chunks(bars: DataFrame, size: int = 4096) -> DataFrame:
     """bars with positions, cut into chunks of `size` bars a symbol; the last bars of
     a chunk are also in the next, the first also in the previous, marked as not own.
     Frames over (symbol, chunk) give own bars the values that frames over the symbol
-    would, in tasks of bounded size."""
+    would, in tasks of bounded size. A chunk smaller than the look-back raises ValueError."""
+    if size < LOOK_BACK:
+        raise ValueError(f"chunks need {LOOK_BACK} bars")
     own = F.floor(F.col("position") / size).cast("long")
     inside = F.col("position") % size
     copies = F.array_compact(

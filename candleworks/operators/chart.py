@@ -73,27 +73,31 @@ def markers(visible: DataFrame) -> DataFrame:
     return visible.select("symbol", "time", F.explode(options).alias("m")).select("symbol", "time", "m.kind", "m.place")
 
 
-def payload(records: DataFrame, n: int = CANDLES) -> DataFrame:
-    """(symbol, rows): the last n records of each symbol in order; n bounds a row."""
+def payload(records: DataFrame, page: int = CANDLES) -> DataFrame:
+    """(symbol, page, rows): all records of each symbol, in order, in pages of as many
+    positions; a page bounds a row, and nothing is left out. Pages without records are
+    not there."""
     names = [c for c in records.columns if c != "symbol"]
     record = F.struct("position", *[c for c in names if c != "position"])
-    return last_candles(records, n).groupBy("symbol").agg(F.array_sort(F.collect_list(record)).alias("rows"))
+    paged = records.groupBy("symbol", F.floor(F.col("position") / page).cast("long").alias("page"))
+    return paged.agg(F.array_sort(F.collect_list(record)).alias("rows"))
 
 
 def payload_json(features: DataFrame, wanted: str, n: int = CANDLES, clean=None) -> DataFrame:
-    """(field, symbol, json): what the page reads. `symbols`, `defaultSymbol`,
+    """(field, symbol, page, json): what the page reads. `symbols`, `defaultSymbol`,
     `defaultCandleCount` and `candleCountOptions` are a row each, without a symbol; each
-    symbol has a row `series` with its last n records in order. Null values stay as
-    null. `clean` changes the records first. No symbol raises ValueError."""
+    symbol has a row `series` for each page of n positions, with its records in order:
+    one after the other they are all the symbol's records. Null values stay as null.
+    `clean` changes the records first. No symbol raises ValueError."""
     records_of = records(features)
     records_of = records_of if clean is None else clean(records_of)
     json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
-    row = lambda field, symbol, text: (F.lit(field).alias("field"), symbol.alias("symbol"), text.alias("json"))
-    none = F.lit(None).cast("string")
-    series = payload(records_of.where(F.col("symbol").isNotNull()), n).select(*row("series", F.col("symbol"), json("rows")))
-    names = not_empty(symbols(features), "symbols").agg(F.array_sort(F.collect_list("symbol")).alias("s")).select(*row("symbols", none, json("s")))
-    default = default_symbol(features, wanted).select(*row("defaultSymbol", none, F.concat(F.lit('"'), F.col("symbol"), F.lit('"'))))
+    none, nowhere = F.lit(None).cast("string"), F.lit(None).cast("long")
+    row = lambda field, text, symbol=none, page=nowhere: (F.lit(field).alias("field"), symbol.alias("symbol"), page.alias("page"), text.alias("json"))
+    series = payload(records_of.where(F.col("symbol").isNotNull()), n).select(*row("series", json("rows"), F.col("symbol"), F.col("page")))
+    names = not_empty(symbols(features), "symbols").agg(F.array_sort(F.collect_list("symbol")).alias("s")).select(*row("symbols", json("s")))
+    default = default_symbol(features, wanted).select(*row("defaultSymbol", F.concat(F.lit('"'), F.col("symbol"), F.lit('"'))))
     fixed = features.sparkSession.range(1)
-    count = fixed.select(*row("defaultCandleCount", none, F.lit(str(n))))
-    options = fixed.select(*row("candleCountOptions", none, json(F.array(*map(F.lit, CANDLE_OPTIONS)))))
+    count = fixed.select(*row("defaultCandleCount", F.lit(str(n))))
+    options = fixed.select(*row("candleCountOptions", json(F.array(*map(F.lit, CANDLE_OPTIONS)))))
     return names.union(default).union(count).union(options).union(series)

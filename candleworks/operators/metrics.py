@@ -1,7 +1,8 @@
 """Class weights, classification and regression metrics, fit diagnosis.
 
 A table of predictions has actual_d, predicted_d, actual_p, predicted_p and part
-(train or test). All metrics come from small grouped sums.
+(train or test). All metrics come from small grouped sums, the rates and errors of all
+parts from one scan.
 """
 
 from __future__ import annotations
@@ -29,8 +30,24 @@ def with_weights(train: DataFrame, label: str = "target_d") -> DataFrame:
     return train.join(F.broadcast(balanced_weights(train, label).select(label, "weight")), label)
 
 
+def moments(predictions: DataFrame) -> DataFrame:
+    """accuracy, mae, rmse and r2 of each part, from one pass: counts, sums and the mean
+    and squared distance from it of the actual values, which merge from partition to
+    partition. r2 of a constant: 1 without error, else 0."""
+    e = F.col("actual_p") - F.col("predicted_p")
+    one = predictions.groupBy("part").agg(
+        F.avg(flag(F.col("actual_d") == F.col("predicted_d"))).alias("accuracy"),
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.sum(e * e).alias("__e"),
+        (F.var_pop(F.when(e.isNotNull(), F.col("actual_p"))) * F.count(e)).alias("__y"),
+    )
+    r2 = F.when(F.col("__y") > 0, 1 - div(F.col("__e"), F.col("__y"))).when(F.col("__e") == 0, 1.0).otherwise(0.0)
+    return one.select("part", "accuracy", "mae", "rmse", r2.alias("r2"))
+
+
 def accuracy(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy("part").agg(F.avg(flag(F.col("actual_d") == F.col("predicted_d"))).alias("accuracy"))
+    return moments(predictions).select("part", "accuracy")
 
 
 def cells(predictions: DataFrame) -> DataFrame:
@@ -73,18 +90,13 @@ def confusion(predictions: DataFrame, labels=None) -> DataFrame:
 
 
 def regression(predictions: DataFrame) -> DataFrame:
-    """mae, rmse and r2 for each part. r2 of a constant: 1 without error, else 0."""
-    e, y = F.col("actual_p") - F.col("predicted_p"), F.col("actual_p")
-    means = predictions.groupBy("part").agg(F.avg("actual_p").alias("__mean"))
-    rows = predictions.join(F.broadcast(means), "part")
-    sums = rows.groupBy("part").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__e"), F.sum((y - F.col("__mean")) * (y - F.col("__mean"))).alias("__y"))
-    r2 = F.when(F.col("__y") > 0, 1 - div(F.col("__e"), F.col("__y"))).when(F.col("__e") == 0, 1.0).otherwise(0.0)
-    return sums.select("part", "mae", "rmse", r2.alias("r2"))
+    """mae, rmse and r2 for each part."""
+    return moments(predictions).select("part", "mae", "rmse", "r2")
 
 
 def diagnosis(predictions: DataFrame, accuracy_gap: float = 0.20, r2_gap: float = 0.50, least: float = 0.50) -> DataFrame:
     """One row: both parts' accuracy and r2, and what they say of the fit."""
-    both = accuracy(predictions).join(regression(predictions), "part")
+    both = moments(predictions)
     of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{part}_{c}")
     one = both.agg(*[of(p, c) for p in ("train", "test") for c in ("accuracy", "r2")])
     gap = (F.col("train_accuracy") - F.col("test_accuracy") > accuracy_gap) | (F.col("train_r2") - F.col("test_r2") > r2_gap)

@@ -1,21 +1,23 @@
 """Market structure: swings, anchors, trendlines, breakouts.
 
 Swings, pivot terms, pairs of anchors and the facts of every line are windows, joins
-and groupings. Two ordered folds remain: the greedy choice of anchors (over swings only),
-and the line that is active at each bar. Both read sorted rows batch by batch.
+and groupings. Pivots and lines meet the bars around them as arrays, one for each block of
+positions. Two ordered folds remain, the greedy choice of anchors and the line that is
+active at each bar: blocks of a symbol are folded side by side (`functions.folds`).
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections import deque
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, flag
+from ..functions.folds import in_blocks
 from ..functions.frames import Frames
 
 
@@ -74,8 +76,8 @@ def swings(bars: DataFrame, keys=("symbol",), rules: Rules = DEFAULT) -> DataFra
 
 def pivots(marked: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """One row for each swing and side: its price and the parts of its score that do
-    not depend on other anchors. Nearby rejections are an equi-join of the swings'
-    neighbouring positions with the bars."""
+    not depend on other anchors. Nearby rejections are counted in the blocks of bars that
+    the swing's neighbourhood meets."""
     sides = F.explode(
         F.array_compact(
             F.array(
@@ -87,51 +89,36 @@ def pivots(marked: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     found = marked.where("swing_low = 1 or swing_high = 1").select("symbol", "position", F.col("Close").alias("pivot_close"), "local_volatility", sides)
     found = found.select("symbol", "position", "pivot_close", "local_volatility", "s.*")
     n = rules.rejection_window
-    around = found.select("symbol", "side", "position", "price", "pivot_close", F.explode(F.sequence(F.col("position") - n, F.col("position") + n)).alias("at"))
-    bars = marked.select("symbol", F.col("position").alias("at"), "High", "Low", "Close")
-    met = around.join(bars, ["symbol", "at"])
     support = F.col("side") == "support"
-    extreme = F.when(support, F.col("Low")).otherwise(F.col("High"))
-    rejected = (F.abs(extreme - F.col("price")) <= F.col("pivot_close") * rules.tolerance) & F.when(support, F.col("Close") > F.col("Low")).otherwise(F.col("Close") < F.col("High"))
-    counts = met.groupBy("symbol", "side", "position").agg(F.sum(flag(rejected)).alias("rejections"))
-    base = F.col("strength") / F.greatest("local_volatility", F.lit(1e-9)) * 0.75 + F.least("rejections", F.lit(5)) * 0.18
-    return found.join(counts, ["symbol", "side", "position"]).select("symbol", "side", "position", "price", "strength", "local_volatility", "rejections", base.alias("base"))
-
-
-def in_order(df: DataFrame, order: list[str], fold, schema: str) -> DataFrame:
-    """fold(symbol, side) gives an object for one symbol and side whose step(row) and
-    end() give rows; rows come by `order`, batch after batch, and no more than the
-    object's own state is kept, however long the history is."""
-    names = df.columns
-    keys = len(KEYS)
-    fields = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches):
-        key, state, out = None, None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:keys] != key:
-                    out += state.end() if state else []
-                    key, state = row[:keys], fold(*row[:keys])
-                out += state.step(row[keys:])
-            if len(out) > 10_000:
-                yield table(out)
-                out = []
-        out += state.end() if state else []
-        yield table(out)
+    def rejected(bar: Column) -> Column:
+        extreme = F.when(support, bar["Low"]).otherwise(bar["High"])
+        turned = F.when(support, bar["Close"] > bar["Low"]).otherwise(bar["Close"] < bar["High"])
+        return (F.abs(extreme - F.col("price")) <= F.col("pivot_close") * rules.tolerance) & turned
 
-    def table(rows):
-        columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names=fields)
-
-    return df.repartition(*KEYS).sortWithinPartitions(*KEYS, *order).mapInArrow(run, schema)
+    met = beside(found.withColumns({"from": F.greatest(F.col("position") - n, F.lit(0)), "to": F.col("position") + n}), marked)
+    counts = met.groupBy("symbol", "side", "position").agg(F.sum(F.size(F.filter("bars", rejected)).cast("long")).alias("rejections"))
+    base = F.col("strength") / F.greatest("local_volatility", F.lit(1e-9)) * 0.75 + F.least("rejections", F.lit(5)) * 0.18
+    return found.join(counts, ["symbol", "side", "position"]).select("symbol", "side", "position", "price", "strength", "local_volatility", "rejections", base.alias("base"))
 
 
 KEYS = ("symbol", "side")
-KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+#: Bars of an array, and of a block that is folded in one go with those before it where
+#: the fold begins.
+ARRAY, BLOCK, HALO = 256, 4096, 1024
 ANCHOR_COLUMNS = "symbol string, side string, position long, price double, score double, stale long"
 
 
+def beside(spans: DataFrame, bars: DataFrame) -> DataFrame:
+    """spans (symbol, from, to: positions) with `bars`, the array of the bars in them, in a
+    row for each block that they meet: one or two, as long as they are shorter than that.
+    Bars are gathered once, in arrays of a block's bars."""
+    block = lambda c: F.floor(F.col(c) / ARRAY).cast("long")
+    arrays = bars.groupBy("symbol", block("position").alias("__block")).agg(F.collect_list(F.struct("position", "High", "Low", "Close")).alias("bars"))
+    met = spans.withColumn("__block", F.explode(F.sequence(block("from"), block("to")))).join(arrays, ["symbol", "__block"])
+    return met.withColumn("bars", F.filter("bars", lambda b: b["position"].between(F.col("from"), F.col("to")))).drop("__block", "from", "to")
+
+
 class Chooser:
     """Which swings of one symbol and side become anchors. An anchor is given out once
     it is known when it gets stale: as a later one lies more than lookback beyond it."""
@@ -139,8 +126,15 @@ class Chooser:
     def __init__(self, symbol: str, side: str, rules: Rules):
         self.key, self.rules, self.last, self.open = (symbol, side), rules, None, deque()
 
+    def begin(self, state: str) -> None:
+        self.last, anchors = json.loads(state)
+        self.open = deque(map(tuple, anchors))
+
+    def state(self, at: int) -> str:
+        return json.dumps([self.last, list(self.open)])
+
     def step(self, row: tuple) -> list[tuple]:
-        (position, price, base), rules = row, self.rules
+        (position, _, price, base), rules = row, self.rules
         if self.last is not None and position - self.last < rules.min_pivot_distance:
             return []
         separation = 1.0 if self.last is None else min((position - self.last) / max(rules.separation_unit, 1), 2.5)
@@ -157,12 +151,14 @@ class Chooser:
         return [(*self.key, *anchor, None) for anchor in self.open]
 
 
-def anchors(pivot: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def anchors(pivot: DataFrame, rules: Rules = DEFAULT, size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """(symbol, side, position, price, score, stale) of the anchors; known `pivot_window`
     bars after their position. stale is the bar from which an anchor is not a line's
-    first any more: when one is known that lies more than `lookback` beyond it."""
-    rows = pivot.select(*KEYS, "position", "price", "base")
-    return in_order(rows, ["position"], lambda symbol, side: Chooser(symbol, side, rules), ANCHOR_COLUMNS)
+    first any more: when one is known that lies more than `lookback` beyond it. Any block
+    size and halo give the same rows."""
+    at = F.col("position")
+    rows = pivot.select(*KEYS, at.alias("at"), at.alias("until"), F.lit(1).alias("event"), "price", "base")
+    return in_blocks(rows, KEYS, lambda symbol, side: Chooser(symbol, side, rules), ANCHOR_COLUMNS, size, halo)
 
 
 def projected(p1: Column, v1: Column, p2: Column, v2: Column, at: Column) -> Column:
@@ -195,22 +191,28 @@ def pairs(anchor: DataFrame, bars: DataFrame, rules: Rules = DEFAULT) -> DataFra
 
 def line_facts(pair: DataFrame, bars: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """pair with price_span, touches, rejections and body_violations over the bars from
-    the first to the second anchor: an interval join as an equi-join on positions."""
+    the first to the second anchor: each line meets the one or two blocks of bars it
+    crosses, and the parts are added up."""
     key = ["symbol", "side", "first_pos", "second_pos"]
-    along = pair.select(*key, "first_price", "second_price", F.explode(F.sequence("first_pos", "second_pos")).alias("position"))
-    met = along.join(bars.select("symbol", "position", "High", "Low", "Close"), ["symbol", "position"])
-    c, tolerance = F.col("Close"), F.col("Close") * rules.tolerance
-    line = projected(F.col("first_pos"), F.col("first_price"), F.col("second_pos"), F.col("second_price"), F.col("position"))
+    spans = pair.select(*key, "first_price", "second_price", F.col("first_pos").alias("from"), F.col("second_pos").alias("to"))
     support = F.col("side") == "support"
-    met = met.withColumn("line", line)
-    touched = F.abs(F.when(support, F.col("Low")).otherwise(F.col("High")) - F.col("line")) <= tolerance
-    rejected = touched & F.when(support, c > F.col("line")).otherwise(c < F.col("line"))
-    violated = F.when(support, c < F.col("line") - tolerance).otherwise(c > F.col("line") + tolerance)
+
+    def seen(bar: Column) -> Column:
+        """How the line lies at a bar: touched, rejected, violated."""
+        c, tolerance = bar["Close"], bar["Close"] * rules.tolerance
+        line = projected(F.col("first_pos"), F.col("first_price"), F.col("second_pos"), F.col("second_price"), bar["position"])
+        touched = F.abs(F.when(support, bar["Low"]).otherwise(bar["High"]) - line) <= tolerance
+        rejected = touched & F.when(support, c > line).otherwise(c < line)
+        violated = F.when(support, c < line - tolerance).otherwise(c > line + tolerance)
+        return F.struct(bar["High"].alias("high"), bar["Low"].alias("low"), flag(touched).alias("touched"), flag(rejected).alias("rejected"), flag(violated).alias("violated"))
+
+    met = beside(spans, bars).select(*key, F.transform("bars", seen).alias("seen"))
+    total = lambda name: F.sum(F.aggregate(F.col(f"seen.{name}"), F.lit(0).cast("long"), lambda a, x: a + x))
     facts = met.groupBy(*key).agg(
-        (F.max("High") - F.min("Low")).alias("price_span"),
-        F.sum(flag(touched)).alias("touches"),
-        F.sum(flag(rejected)).alias("rejections"),
-        F.sum(flag(violated)).alias("body_violations"),
+        (F.max(F.array_max("seen.high")) - F.min(F.array_min("seen.low"))).alias("price_span"),
+        total("touched").alias("touches"),
+        total("rejected").alias("rejections"),
+        total("violated").alias("body_violations"),
     )
     return pair.join(facts, key)
 
@@ -253,9 +255,20 @@ class Follower:
     def __init__(self, symbol: str, side: str, rules: Rules):
         self.key, self.rules, self.up = (symbol, side), rules, 1 if side == "support" else -1
         self.heap: list[tuple] = []
-        self.retired: set[tuple] = set()
+        self.retired: dict[tuple, int | None] = {}  # and when they get stale
         self.room, self.active = 1024, None
 
+    def begin(self, state: str) -> None:
+        self.active, retired = json.loads(state)
+        self.retired = {(first, second): stale for first, second, stale in retired}
+        if self.active:
+            self.active |= {k: tuple(self.active[k]) for k in ("key", "line")}
+
+    def state(self, at: int) -> str:
+        """The active line, and the retired pairs that would still be usable."""
+        retired = sorted((*key, stale) for key, stale in self.retired.items() if stale is None or at < stale)
+        return json.dumps([self.active, retired])
+
     def alive(self, entry: tuple, at: int) -> bool:
         return (entry[6] is None or at < entry[6]) and (-entry[2], -entry[1]) not in self.retired
 
@@ -263,7 +276,7 @@ class Follower:
         if len(self.heap) > self.room:
             self.heap = [e for e in self.heap if self.alive(e, at)]
             heapq.heapify(self.heap)
-            self.retired.clear()
+            self.retired = {key: stale for key, stale in self.retired.items() if stale is None or at < stale}
             self.room = max(1024, 2 * len(self.heap))
         while self.heap and not self.alive(self.heap[0], at):
             heapq.heappop(self.heap)
@@ -277,7 +290,7 @@ class Follower:
         rules, best, active = self.rules, self.best(at), self.active
         key = None if best is None else (-best[2], -best[1])
         if best is not None and (active is None or (key != active["key"] and -best[0] > active["score"] * rules.replacement)):
-            active = {"key": key, "line": (key[0], best[3], key[1], best[4]), "base": -best[0], "score": -best[0], "touches": 0, "rejections": 0, "breaks": 0, "born": at, "touched": at}
+            active = {"key": key, "line": (key[0], best[3], key[1], best[4]), "stale": best[6], "base": -best[0], "score": -best[0], "touches": 0, "rejections": 0, "breaks": 0, "born": at, "touched": at}
         self.active = active
         if active is None:
             return []
@@ -301,7 +314,7 @@ class Follower:
             - active["breaks"] * 55.0
         )
         if active["breaks"] >= rules.max_breaks or untouched > rules.max_untouched or active["score"] < rules.min_active:
-            self.retired.add(active["key"])
+            self.retired[active["key"]] = active["stale"]
             self.active = None
         return [(*self.key, at, value, p1, v1, p2, v2)]
 
@@ -309,16 +322,19 @@ class Follower:
         return []
 
 
-def active_lines(bars: DataFrame, line: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def active_lines(bars: DataFrame, line: DataFrame, rules: Rules = DEFAULT, size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """One row for each bar and side that has an active line. Bars without a price are
-    passed over."""
+    passed over. A pair goes to the blocks of bars at which it can be used. Any block size
+    and halo give the same rows."""
     none = lambda kind: F.lit(None).cast(kind)
     pair = ["first_pos", "first_price", "second_pos", "second_price", "score", "stale"]
     kinds = ["long", "double", "long", "double", "double", "long"]
     priced = bars.where(F.col("Close").isNotNull() & F.col("Low").isNotNull() & F.col("High").isNotNull())
-    both = priced.select("symbol", F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side"), F.col("position").alias("at"), F.lit(1).alias("bar"), "Low", "High", "Close", *[none(k).alias(c) for c, k in zip(pair, kinds, strict=True)])
-    usable = line.select("symbol", "side", F.col("usable_from").alias("at"), F.lit(0).alias("bar"), *[none("double").alias(c) for c in ("Low", "High", "Close")], *[F.col(c).cast(k) for c, k in zip(pair, kinds, strict=True)])
-    return in_order(both.union(usable), ["at", "bar"], lambda symbol, side: Follower(symbol, side, rules), LINE_COLUMNS)
+    at = F.col("position")
+    both = priced.select("symbol", F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side"), at.alias("at"), at.alias("until"), F.lit(1).alias("event"), "Low", "High", "Close", *[none(k).alias(c) for c, k in zip(pair, kinds, strict=True)])
+    until = F.coalesce(F.col("stale"), F.col("second_pos") + F.col("persistence") + 1) - 1
+    usable = line.select("symbol", "side", F.col("usable_from").alias("at"), until.alias("until"), F.lit(0).alias("event"), *[none("double").alias(c) for c in ("Low", "High", "Close")], *[F.col(c).cast(k) for c, k in zip(pair, kinds, strict=True)])
+    return in_blocks(both.union(usable), KEYS, lambda symbol, side: Follower(symbol, side, rules), LINE_COLUMNS, size, halo)
 
 
 def with_lines(marked: DataFrame, anchor: DataFrame, active: DataFrame) -> DataFrame:

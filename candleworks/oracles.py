@@ -176,6 +176,8 @@ KEY = "symbol, side, first_pos, second_pos"
 ORACLES = {name: candle_sql(*columns) for name, columns in CANDLES.items()} | {
     "crossings": bars_sql(f"SELECT symbol, Datetime, position, {six('ma_20', 'ma_50')}, bullish_cross_20_50 AS up, bearish_cross_20_50 AS down FROM f WHERE bullish_cross_20_50 = 1 OR bearish_cross_20_50 = 1", CANDLE_STEPS),
     "s01_read_bars": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
+    "s01_named_csv": bars_sql(f"SELECT Datetime, CASE WHEN position % 50 <> 29 THEN round(Open, 6) + 0.0 END AS Open, {six('High', 'Low', 'Close')}, Volume, symbol FROM b WHERE position % 50 NOT IN (7, 13, 21)"),
+    "s01_refused_rows": bars_sql(f"SELECT symbol, CASE WHEN position % 50 <> 13 THEN Datetime END AS Datetime, {six('High')}, CASE WHEN position % 50 <> 7 THEN round(Close, 6) + 0.0 END AS Close, CASE WHEN position % 50 <> 21 THEN Volume END AS Volume, CASE position % 50 WHEN 7 THEN 'Close' WHEN 13 THEN 'Datetime' ELSE 'Volume' END AS refused FROM b WHERE position % 50 IN (7, 13, 21)"),
     "s02_bars_from_ticks": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "s02_recent_bars": bars_sql(f"SELECT {BAR_ROW} FROM bars WHERE Datetime >= (SELECT max(ts) FROM ticks) - INTERVAL 7 DAY", source=QUARTERS),
     "s03_parse_times": """WITH t AS (SELECT event_id, date_trunc('second', ts) AS s FROM events)
@@ -189,6 +191,11 @@ SELECT event_id, strftime(s, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 2 = 0
     "s07_flatten_all_names": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "s08_write_bars": bars_sql(f"SELECT {BAR_ROW} FROM bars"),
     "s10_feature_table_roundtrip": bars_sql(f"SELECT symbol, position, Datetime, {six('Close', 'ma_20')}, target_d FROM f", CANDLE_STEPS),
+    "s10_symbols_as_text": bars_sql(f"SELECT {BAR_ROW} FROM bars", source=HOURLY.replace("event_type", "lpad(CAST(user_id % 12 AS VARCHAR), 4, '0')")),
+    "p06_pruned_symbol": bars_sql(f"SELECT {BAR_ROW} FROM bars WHERE symbol = 'purchase'"),
+    "x01_ordinals_with_nulls": bars_sql("""SELECT symbol, Datetime, round(Close, 6) + 0.0 AS Close, row_number() OVER (PARTITION BY symbol ORDER BY Datetime) - 1 AS position,
+       row_number() OVER (ORDER BY symbol NULLS FIRST, Datetime) - 1 AS global_position
+FROM (SELECT nullif(symbol, 'error') AS symbol, CASE WHEN position % 3 = 0 THEN make_timestamp((1700000000 + position) * 1000000) ELSE Datetime END AS Datetime, Close FROM b)"""),
     "p03_complete_rows": bars_sql(f"SELECT symbol, count(*) AS n, min(position) AS first_position, max(position) AS last_position FROM f WHERE {COMPLETE} GROUP BY symbol", CANDLE_STEPS),
     "p04_rows_with_targets": bars_sql("SELECT symbol, count(*) AS n FROM f WHERE future_max_high IS NOT NULL GROUP BY symbol", CANDLE_STEPS),
     "p06_one_symbol": bars_sql(f"SELECT {BAR_ROW} FROM bars WHERE symbol = 'purchase'"),
@@ -312,7 +319,7 @@ _RECORD += [(name, f"{c} = 1") for name, c in (("swingHigh", "swing_high"), ("sw
 for _s, _i, _ in _PARTS:
     _RECORD += [(f"{_s}Anchor{_i}Position", f"{_s}_anchor_{_i}_position"), (f"{_s}Anchor{_i}Price", f"round({_s}_anchor_{_i}_price, 6) + 0.0")]
 _STRUCT = "{" + ", ".join(f"'{name}': {x}" for name, x in _RECORD) + "}"
-_SERIES = f"series AS (SELECT symbol, count(*) AS n_rows, CAST(to_json(list({_STRUCT} ORDER BY position)) AS VARCHAR) AS json FROM (SELECT * FROM st {_LAST.replace('200', '500')}) GROUP BY symbol)"
+_SERIES = f"series AS (SELECT symbol, position // 500 AS page, count(*) AS n_rows, CAST(to_json(list({_STRUCT} ORDER BY position)) AS VARCHAR) AS json FROM st GROUP BY symbol, position // 500)"
 _SYMBOLS = "(SELECT DISTINCT event_type AS s FROM events)"
 
 
@@ -320,20 +327,23 @@ def _plain(columns: list[str]) -> str:
     return ", ".join(columns)
 
 
+_FEATURES = f"SELECT symbol, position, Datetime, {PRICES}, Volume, global_position, {six(*KEPT)}, {six(*STRUCTURE_DOUBLES)}, {_plain(STRUCTURE_WHOLE)} FROM feature"
+
 ORACLES |= {
     "m10_active_lines": f"WITH RECURSIVE {HOURLY}, {ACTIVE} SELECT symbol, side, position, {six('line')}, first_pos, {six('first_price')}, second_pos, {six('second_price')} FROM active",
     "m11_distances": structure_sql(f"SELECT symbol, position, {six('distance_to_anchored_support', 'distance_to_anchored_resistance')} FROM st"),
     "m12_breakouts": structure_sql("SELECT symbol, position, anchored_breakout, anchored_breakdown, failed_breakdown FROM st WHERE anchored_breakout = 1 OR anchored_breakdown = 1 OR failed_breakdown = 1"),
-    "f02_feature_table": structure_sql(f"SELECT symbol, position, Datetime, {PRICES}, Volume, global_position, {six(*KEPT)}, {six(*STRUCTURE_DOUBLES)}, {_plain(STRUCTURE_WHOLE)} FROM feature", _TABLE),
+    "f02_feature_table": structure_sql(_FEATURES, _TABLE),
     "p02_model_table": structure_sql(f"SELECT symbol, Datetime, position, {', '.join(c if c in STRUCTURE_WHOLE else six(c) for c in [*FEATURE_COLUMNS, 'target_d', 'target_p'])} FROM feature", _TABLE),
     "n01_records": structure_sql(f"SELECT symbol, CAST(epoch(Datetime) AS BIGINT) AS time, {', '.join(f'round({c}, 6) + 0.0 AS {c.lower()}' for c in ('Open', 'High', 'Low', 'Close'))}, CAST(Volume AS DOUBLE) AS volume, position, swing_high = 1 AS swingHigh, swing_low = 1 AS swingLow, anchored_breakout = 1 AS anchoredBreakout, anchored_breakdown = 1 AS anchoredBreakdown, {_CAMEL} FROM st"),
     "k05_latest_anchors": structure_sql("SELECT symbol, side, anchor1Position, round(anchor1Price, 6) + 0.0 AS anchor1Price, anchor2Position, round(anchor2Price, 6) + 0.0 AS anchor2Price FROM latest", f"{_VISIBLE}, latest AS ({_LATEST})"),
     "n04_rays": structure_sql("SELECT v.symbol, side, position, time, round(anchor1Price + (anchor2Price - anchor1Price) / (anchor2Position - anchor1Position) * (position - anchor1Position), 6) + 0.0 AS value FROM visible v JOIN latest l ON l.symbol = v.symbol", f"{_VISIBLE}, latest AS ({_LATEST})"),
     "u02_markers": structure_sql(_MARKERS, _VISIBLE),
-    "n02_payload_json": structure_sql("SELECT symbol, n_rows, json FROM series", _SERIES),
-    "n02_payload": structure_sql(f"""SELECT 'series' AS field, symbol, json FROM series
-UNION ALL SELECT 'symbols', NULL, CAST(to_json(list(s ORDER BY s)) AS VARCHAR) FROM {_SYMBOLS}
-UNION ALL SELECT 'defaultSymbol', NULL, '"' || arg_min(s, CASE WHEN s = 'view' THEN '' ELSE s END) || '"' FROM {_SYMBOLS}
-UNION ALL SELECT 'defaultCandleCount', NULL, '500' UNION ALL SELECT 'candleCountOptions', NULL, '[100,200,300,500,1000]'""", _SERIES),
-    "s11_chart_rows": structure_sql(f"SELECT symbol, {', '.join(f'{x} AS {name}' for name, x in _RECORD if name != 'position')} FROM (SELECT * FROM st {_LAST.replace('200', '500')})"),
+    "n02_payload_json": structure_sql("SELECT symbol, page, n_rows, json FROM series", _SERIES),
+    "n02_payload": structure_sql(f"""SELECT 'series' AS field, symbol, page, json FROM series
+UNION ALL SELECT 'symbols', NULL, NULL, CAST(to_json(list(s ORDER BY s)) AS VARCHAR) FROM {_SYMBOLS}
+UNION ALL SELECT 'defaultSymbol', NULL, NULL, '"' || arg_min(s, CASE WHEN s = 'view' THEN '' ELSE s END) || '"' FROM {_SYMBOLS}
+UNION ALL SELECT 'defaultCandleCount', NULL, NULL, '500' UNION ALL SELECT 'candleCountOptions', NULL, NULL, '[100,200,300,500,1000]'""", _SERIES),
+    "s11_chart_rows": structure_sql(f"SELECT symbol, {', '.join(f'{x} AS {name}' for name, x in _RECORD if name != 'position')} FROM st"),
+    "s09_feature_table_roundtrip": structure_sql(_FEATURES, _TABLE),
 }

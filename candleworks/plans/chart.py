@@ -14,7 +14,7 @@ def chart_tables(features: DataFrame, wanted: str, n: int = chart.CANDLES) -> di
     return {"rows": visible, "candles": chart.candles(visible), "rays": chart.rays(visible), "markers": chart.markers(visible), "symbols": chart.symbols(features), "default": chart.default_symbol(features, wanted)}
 
 
-def write_chart(features: DataFrame, path: str, n: int = chart.CANDLES) -> None:
-    """Chart rows as JSON lines, a folder for each symbol."""
+def write_chart(features: DataFrame, path: str) -> None:
+    """All chart rows as JSON lines, a folder for each symbol, files in time order."""
     rows = not_empty(features, "symbols").select(*chart.REQUIRED)
-    write(chart.last_candles(chart.records(rows), n).withColumn("Datetime", F.timestamp_seconds("time")), path, "json")
+    write(chart.records(rows).withColumn("Datetime", F.timestamp_seconds("time")), path, "json")

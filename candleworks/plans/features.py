@@ -46,7 +46,7 @@ def positioned(bars: DataFrame) -> DataFrame:
 def structured(bars: DataFrame, rules: structure.Rules = structure.DEFAULT) -> DataFrame:
     """Positioned bars with all structure columns."""
     marked = kept(in_chunks(bars, lambda b, keys: structure.swings(b, keys, rules), CHUNK))
-    anchor = kept(structure.anchors(structure.pivots(marked, rules), rules))
+    anchor = structure.anchors(structure.pivots(marked, rules), rules)
     line = structure.lines(structure.pairs(anchor, bars, rules), bars, rules)
     lined = structure.with_lines(marked, anchor, structure.active_lines(bars, line, rules))
     return in_chunks(lined, lambda b, keys: structure.breakouts(b, keys, rules), CHUNK)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import base_symbol, epoch_seconds, exchange_time, parse_time, round_price
 from .functions.frames import Frames, ordinals
-from .operators import chart, metrics, model, structure
+from .operators import boosting, chart, metrics, model, structure
 from .operators.features import candle_features, in_chunks
 from .operators.targets import targets
 from .plans import features as job
@@ -51,7 +51,8 @@ def candle_query(*columns: str):
     """Some columns of the candle features and targets of every bar."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(targets(candle_features(numbered(spark, sf_dir))).select("symbol", "position", *columns))
+        apply = lambda b, keys: targets(candle_features(b, keys), keys)
+        return rounded(in_chunks(numbered(spark, sf_dir), apply).select("symbol", "position", *columns))
 
     return run
 
@@ -62,12 +63,12 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.swings(stored(spark, sf_dir))
+    return in_chunks(stored(spark, sf_dir), structure.swings)
 
 
 def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bars = stored(spark, sf_dir)
-    return bars, source.kept(structure.anchors(structure.pivots(structure.swings(bars))))
+    return bars, structure.anchors(structure.pivots(source.kept(in_chunks(bars, structure.swings))))
 
 
 def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -109,6 +110,35 @@ def s01_read_bars(spark, sf_dir):
     return rounded(source.read_csv(spark, path))
 
 
+def damaged_csv(spark, sf_dir):
+    """Bars as CSV: columns in another order, one more, and cells that are no number or time
+    or that are missing."""
+    bars = numbered(spark, sf_dir)
+    at = F.col("position") % 50
+    text = lambda c: F.col(c).cast("string")
+    cells = {
+        "symbol": F.col("symbol"), "Note": F.concat(F.lit("bar, "), text("position")), "Volume": F.when(at == 21, "1.5").otherwise(text("Volume")),
+        "Close": F.when(at == 7, "x").otherwise(text("Close")), "Low": text("Low"), "Open": F.when(at == 29, "NA").otherwise(text("Open")), "High": text("High"),
+        "Datetime": F.when(at == 13, "yesterday").otherwise(F.date_format("Datetime", "yyyy-MM-dd HH:mm:ss")),
+    }
+    path = source.new_path(spark)
+    bars.select(*[c.alias(n) for n, c in cells.items()]).write.csv(path, header=True)
+    return path
+
+
+def s01_named_csv(spark, sf_dir):
+    """Bars from CSV by the names of its header; refused rows are put aside."""
+    return rounded(source.read_csv(spark, damaged_csv(spark, sf_dir), source.new_path(spark)))
+
+
+def s01_refused_rows(spark, sf_dir):
+    """The rows of the same CSV that were put aside, read back from where they were written."""
+    aside = source.new_path(spark)
+    source.read_csv(spark, damaged_csv(spark, sf_dir), aside)
+    rows = spark.read.schema(f"{source.BARS.simpleString()[7:-1].replace(':', ' ')}, refused string").json(aside)
+    return rounded(rows.select("symbol", "Datetime", "High", "Close", "Volume", "refused"))
+
+
 def s02_bars_from_ticks(spark, sf_dir):
     return rounded(hourly(spark, sf_dir))
 
@@ -168,6 +198,25 @@ def s10_feature_table_roundtrip(spark, sf_dir):
     return written(spark, table)
 
 
+def s09_feature_table_roundtrip(spark, sf_dir):
+    """The whole feature table, written and read back."""
+    return written(spark, features(spark, sf_dir))
+
+
+def s10_symbols_as_text(spark, sf_dir):
+    """Bars of symbols that look like numbers (0007), written by symbol and read back."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named = events.withColumn("event_type", F.lpad((F.col("user_id") % 12).cast("string"), 4, "0")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return written(spark, source.select_bars(source.from_ticks(source.walk_ticks(named), "1 hour")))
+
+
+def p06_pruned_symbol(spark, sf_dir):
+    """One symbol from bars that were written by symbol: only its folder is read."""
+    path = source.new_path(spark)
+    source.write(hourly(spark, sf_dir), path)
+    return rounded(source.one_symbol(spark, path, "purchase").select(*source.BAR_COLUMNS))
+
+
 def p03_complete_rows(spark, sf_dir):
     table = candle_features(numbered(spark, sf_dir)).na.drop("any")
     return table.groupBy("symbol").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
@@ -214,6 +263,14 @@ def x01_ordinals(spark, sf_dir):
     return rounded(ordinals(hourly(spark, sf_dir), whole=True).select("symbol", "Datetime", "position", "global_position"))
 
 
+def x01_ordinals_with_nulls(spark, sf_dir):
+    """Ordinals where one symbol is null and one day holds a third of the bars."""
+    bars = numbered(spark, sf_dir).drop("global_position")
+    packed = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("position"))
+    bars = bars.select(F.when(F.col("symbol") != "error", F.col("symbol")).alias("symbol"), F.when(F.col("position") % 3 == 0, packed).otherwise(F.col("Datetime")).alias("Datetime"), "Close")
+    return rounded(ordinals(bars, whole=True).select("symbol", "Datetime", "Close", "position", "global_position"))
+
+
 def c11_base_symbol(spark, sf_dir):
     names = F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ".ns").otherwise(""))
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower(names).alias("symbol"))
@@ -358,6 +415,20 @@ def d06_importances(spark, sf_dir):
     return rounded(model.importances(trained(spark, sf_dir)[0], job.FEATURE_COLUMNS, spark))
 
 
+def softmax_trees(spark, sf_dir):
+    rows = source.kept(model.split(job.model_table(features(spark, sf_dir))))
+    return boosting.fit(rows.where("part = 'train'"), job.FEATURE_COLUMNS), rows
+
+
+def d04_softmax_predictions(spark, sf_dir):
+    """The result table of trees that are grown for all classes at once."""
+    return rounded(boosting.predict(*softmax_trees(spark, sf_dir)))
+
+
+def d06_gain_importances(spark, sf_dir):
+    return rounded(boosting.importances(softmax_trees(spark, sf_dir)[0], spark))
+
+
 def k03_top_importances(spark, sf_dir):
     return d06_importances(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(20)
 
@@ -392,9 +463,9 @@ def n02_payload(spark, sf_dir):
 
 
 def n02_payload_json(spark, sf_dir):
-    """The series of the payload alone, with their numbers of records."""
+    """The pages of the payload's series alone, with their numbers of records."""
     series = n02_payload(spark, sf_dir).where("field = 'series'")
-    return series.select("symbol", F.json_array_length("json").cast("long").alias("n_rows"), "json")
+    return series.select("symbol", "page", F.json_array_length("json").cast("long").alias("n_rows"), "json")
 
 
 def s11_chart_rows(spark, sf_dir):
@@ -457,22 +528,25 @@ CANDLES = {
 
 def crossings(spark, sf_dir):
     """Where each symbol's 20-bar mean crosses its 50-bar mean."""
-    f = Frames()
-    bars = numbered(spark, sf_dir)
-    means = bars.withColumns({"ma_20": f.roll(F.avg, F.col("Close"), 20), "ma_50": f.roll(F.avg, F.col("Close"), 50)})
-    means = means.withColumns({"up": f.crosses("ma_20", "ma_50", True), "down": f.crosses("ma_20", "ma_50", False)})
+
+    def apply(bars, keys):
+        f = Frames(keys)
+        means = bars.withColumns({"ma_20": f.roll(F.avg, F.col("Close"), 20), "ma_50": f.roll(F.avg, F.col("Close"), 50)})
+        return means.withColumns({"up": f.crosses("ma_20", "ma_50", True), "down": f.crosses("ma_20", "ma_50", False)})
+
+    means = in_chunks(numbered(spark, sf_dir), apply)
     return rounded(means.where("up = 1 or down = 1").select("symbol", "Datetime", "position", "ma_20", "ma_50", "up", "down"))
 
 
 QUERIES = {name: candle_query(*columns) for name, columns in CANDLES.items()} | {
     f.__name__: f
     for f in (
-        crossings, s01_read_bars, s02_bars_from_ticks, s02_recent_bars, s03_parse_times, s04_exchange_time, s05_round_prices, s06_tag, s06_tag_all,
-        s07_flatten_names, s07_flatten_all_names, s08_write_bars, s10_feature_table_roundtrip, p02_model_table, p03_complete_rows, p04_rows_with_targets, p06_one_symbol,
+        crossings, s01_read_bars, s01_named_csv, s01_refused_rows, s02_bars_from_ticks, s02_recent_bars, s03_parse_times, s04_exchange_time, s05_round_prices, s06_tag, s06_tag_all,
+        s07_flatten_names, s07_flatten_all_names, s08_write_bars, s09_feature_table_roundtrip, s10_feature_table_roundtrip, s10_symbols_as_text, p06_pruned_symbol, x01_ordinals_with_nulls, p02_model_table, p03_complete_rows, p04_rows_with_targets, p06_one_symbol,
         j01_without_bars, a01_summary, a02_symbols, u01_stack, u01_stack_all, x01_ordinals, c11_base_symbol, c12_default_symbol, c14_epoch, m01_swings,
         m02_strength, m04_rejections, m05_pivot_base, m06_anchors, j03_pairs, m07_projection, a11_line_facts, m08_lines, m09_usable_pairs,
         m10_active_lines, m11_distances, m12_breakouts, f02_feature_table, halo_chunks, a03_class_distribution, a04_class_weights, a05_accuracy,
-        a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d05_predictions, d06_importances, k03_top_importances,
+        a06_class_report, a07_confusion, a08_regression, a10_diagnosis, d01_split, d01_split_by_time, d04_softmax_predictions, d05_predictions, d06_importances, d06_gain_importances, k03_top_importances,
         k04_first_predictions, n01_records, k01_in_order, k02_last_candles, k05_latest_anchors, n02_payload, n02_payload_json, s11_chart_rows, p05_missing_columns, p07_empty_symbols, n03_candles, n04_rays, u02_markers,
     )
 }

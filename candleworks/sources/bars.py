@@ -54,14 +54,67 @@ def unique_times(bars: DataFrame) -> DataFrame:
     return bars
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from CSV with a header; times in mixed ISO forms."""
-    schema = T.StructType([T.StructField("Datetime", T.StringType())] + BARS.fields[1:])
-    return spark.read.schema(schema).csv(path, header=True).withColumn("Datetime", parse_time(F.col("Datetime")))
+#: Cells that count as missing.
+MISSING = ["", "#N/A", "N/A", "NA", "NaN", "nan", "None", "NULL", "null", "n/a", "<NA>"]
+RECORD = "__record"
+
+
+def checked_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with a header, matched by name: the bar columns, `refused` (what is
+    wrong, null if nothing is) and `record` (the line as it stands, where its cells do not
+    fit the header).
+
+    Columns may come in any order and others may be there; ValueError names those that are
+    missing. All files must have the same header, else reading fails. Refused are a
+    line with more or fewer cells than the header ("record"), and cells that are neither
+    missing nor a number, a whole number (Volume) or a time in a mixed ISO form (the
+    column's name); a refused cell is null. Missing cells are null.
+    """
+    names = require(spark.read.csv(path, header=True), BAR_COLUMNS).columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
+    lines = spark.read.schema(texts).csv(path, header=True, enforceSchema=False, columnNameOfCorruptRecord=RECORD)
+
+    def cell(name: str):
+        text = F.trim(F.col(f"`{name}`"))
+        return F.when(~text.isin(MISSING), text)
+
+    def value(name: str):
+        kind = BARS[name].dataType
+        number = cell(name).try_cast("double")
+        if name == "Volume":  # 12 and 12.0 alike
+            return F.coalesce(cell(name).try_cast("long"), F.when(number == F.floor(number), number.try_cast("long")))
+        return number if kind == T.DoubleType() else cell(name) if kind == T.StringType() else cell(name).try_cast("timestamp")
+
+    bad = F.array_compact(F.array(F.when(F.col(RECORD).isNotNull(), "record"), *[F.when(cell(c).isNotNull() & value(c).isNull(), c) for c in BAR_COLUMNS]))
+    return lines.select(*[value(c).alias(c) for c in BAR_COLUMNS], F.when(F.size(bad) > 0, F.array_join(bad, ",")).alias("refused"), F.col(RECORD).alias("record"))
+
+
+def read_csv(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Bars from CSV by the names of the header (see `checked_csv`). A refused row raises
+    an error; with quarantine, refused rows are written to that path as JSON lines, with
+    what is wrong, and the others are returned."""
+    rows = checked_csv(spark, path)
+    if quarantine is None:
+        said = F.concat(F.lit("refused: "), F.col("refused"), F.lit(" in "), F.to_json(F.struct(*BAR_COLUMNS)))
+        sound = rows.where(F.when(F.col("refused").isNull(), True).otherwise(F.raise_error(said).cast("boolean")))
+    else:
+        rows.where(F.col("refused").isNotNull()).write.json(quarantine)
+        sound = rows.where(F.col("refused").isNull())
+    return sound.select(*BAR_COLUMNS)
+
+
+def read_table(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Bars or features that `write` wrote in a folder for each symbol. Symbols come back as
+    the text they are, 007 too (a partition's type would otherwise be guessed from its
+    names); a filter on symbol reads that symbol's folders only. An empty symbol is written
+    like a null one and comes back as null."""
+    found = spark.read.format(form).load(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name == "symbol" else f for f in found])).format(form).load(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def one_symbol(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """The bars of one symbol in time order, from its folder alone."""
+    return read_table(spark, path).where(F.col("symbol") == symbol).orderBy("Datetime")
 
 
 def flatten_names(df: DataFrame) -> DataFrame:
