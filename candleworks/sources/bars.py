@@ -72,7 +72,8 @@ def checked_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     names = require(spark.read.csv(path, header=True), BAR_COLUMNS).columns
     texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
-    lines = spark.read.schema(texts).csv(path, header=True, enforceSchema=False, columnNameOfCorruptRecord=RECORD)
+    options = {"header": True, "enforceSchema": False, "columnNameOfCorruptRecord": RECORD, "columnPruning": False}  # pruned lines would not be checked
+    lines = spark.read.schema(texts).options(**options).csv(path)
 
     def cell(name: str):
         text = F.trim(F.col(f"`{name}`"))

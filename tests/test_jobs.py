@@ -100,15 +100,20 @@ def test_chart_tables(spark, features):
     parts = chart.payload_json(features, "view", 5).collect()
     whole = {r.field: json.loads(r.json) for r in parts if r.symbol is None}
     assert whole == {"symbols": sorted({r.symbol for r in rows}), "defaultSymbol": "view", "defaultCandleCount": 5, "candleCountOptions": [100, 200, 300, 500, 1000]}
-    series = {r.symbol: json.loads(r.json) for r in parts if r.field == "series"}
+    series, records = {}, chart.records(features)
+    for r in sorted((r for r in parts if r.field == "series"), key=lambda r: (r.symbol, r.page)):
+        page = json.loads(r.json)
+        assert 0 < len(page) <= 5 and all(x["position"] // 5 == r.page for x in page)
+        series.setdefault(r.symbol, []).extend(page)
     assert sorted(series) == whole["symbols"]
-    for one in series.values():
-        assert [x["position"] for x in one] == sorted(x["position"] for x in one) and len(one) <= 5 and "supportAnchor1Price" in one[0]
+    for symbol, one in series.items():
+        want = [r.position for r in records.where(F.col("symbol") == symbol).orderBy("position").collect()]
+        assert [x["position"] for x in one] == want and "supportAnchor1Price" in one[0]
     with pytest.raises(ValueError, match="symbols"):
         chart.payload_json(features.limit(0), "view")
     path = new_path(spark)
-    write_chart(features, path, 50)
-    assert spark.read.json(path).count() == sum(min(50, r.n) for r in features.groupBy("symbol").agg(F.count("*").alias("n")).collect())
+    write_chart(features, path)
+    assert spark.read.json(path).count() == features.count()
     with pytest.raises(ValueError):
         chart.records(features.drop("swing_low"))
 
