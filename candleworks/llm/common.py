@@ -131,7 +131,7 @@ def map_text(df: DataFrame, text_col: str, keep, fields: list[T.StructField], fn
     made = [f.name for f in fields]
     schema = T.StructType([df.schema[c] for c in names] + fields)
     # a carried text goes to Python once
-    source = text_col if text_col in names and df.schema[text_col].dataType == T.StringType() else "__text"
+    source = f"keep_{text_col}" if text_col in names and df.schema[text_col].dataType == T.StringType() else "__text"
 
     def run(batches):
         for batch in batches:
@@ -141,11 +141,11 @@ def map_text(df: DataFrame, text_col: str, keep, fields: list[T.StructField], fn
             mask = None
             if rows_too:
                 *out, mask = out
-            made_batch = pa.RecordBatch.from_arrays([batch.column(c) for c in names] + list(out), names=names + made)
+            made_batch = pa.RecordBatch.from_arrays([batch.column(f"keep_{c}") for c in names] + list(out), names=names + made)
             yield made_batch if mask is None else made_batch.filter(mask)
 
     texts = [text_column(text_col)] if source == "__text" else []
-    return df.select(*[F.col(f"`{c}`") for c in names], *texts).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], *texts).mapInArrow(run, schema)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:

@@ -197,14 +197,15 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, text_col: str, keep, place: str | None) -> DataFrame:
-    """One row for each piece: carried columns, piece, start, length, ids_crc32, and
-    its task and number among the task's pieces of that length. Only documents of
+    """One row for each piece: carried columns (as keep_<name>), piece, start, length,
+    ids_crc32, and its task and number among the task's pieces of that length. Only documents of
     more than `capacity` ids are cut; their first piece takes the remainder."""
     made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     encoder = Encoder(place)
     fields = [T.StructField(n, T.IntegerType() if n == "piece" else T.LongType()) for n in (*made[:4], "__task", "__nth")]
-    schema = T.StructType([docs.schema[c] for c in names] + fields)
+    rows_of = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], F.col(text_col).alias("__text"))
+    schema = T.StructType([rows_of.schema[f"keep_{c}"] for c in names] + fields)
 
     def run(batches):
         task, seen = TaskContext.get().partitionId(), Counter()
@@ -219,11 +220,11 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, text_col: str, keep, pla
                     seen[b - a] += 1
             made_rows = np.array(rows, dtype=np.int64).reshape(-1, 7)
             taken = pa.array(made_rows[:, 0])
-            arrays = [batch.column(c).take(taken) for c in names]
+            arrays = [batch.column(f"keep_{c}").take(taken) for c in names]
             arrays += [pa.array(made_rows[:, 1].astype(np.int32))] + [pa.array(made_rows[:, k]) for k in range(2, 7)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return rows_of.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, text_col: str = "text", keep=None, place: str | None = None) -> DataFrame:
@@ -239,8 +240,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, text_col: str =
     earlier = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
     ranked = cut.join(bases, ["__task", "length"]).withColumn("__rank", F.col("__nth") + F.col("__base"))
-    names = [c for c in cut.columns if not c.startswith("__")]
-    schema = T.StructType([cut.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    names = [c for c in cut.columns if c not in ("__task", "__nth")]
+    schema = T.StructType([T.StructField(c.removeprefix("keep_"), cut.schema[c].dataType) for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place_all(batches):
         for batch in batches:

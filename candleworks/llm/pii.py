@@ -173,7 +173,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep=None, min_score: float
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base_spans", "spans")]
     text = F.col("__text")
-    df = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    df = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     for kind in KINDS:
         df = df.withColumn(f"__{kind.name}", found(kind, text))
     df = df.withColumn("base_spans", F.concat(*[F.col(f"__{k}") for k in BASE]))
@@ -183,7 +183,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep=None, min_score: float
         F.filter(added, lambda s: (s["score"] >= min_score) & ~F.exists(F.col("base_spans"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
     )
     df = df.withColumn("spans", F.concat("base_spans", F.coalesce(free, F.array().cast(T.ArrayType(SPAN)))))
-    return df.select(*[F.col(f"`{c}`") for c in names], "base_spans", "spans")
+    return df.select(*[F.col(f"`keep_{c}`").alias(c) for c in names], "base_spans", "spans")
 
 
 def as_text(spans: Column) -> Column:

@@ -180,16 +180,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     null id is never a component's smallest; a component of null ids has a null one.
     Repeated rows stay as they are. Columns of docs named like the results are replaced.
     """
-    with_id = docs.withColumn("__id", F.col(id_col))
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id")]
-    marked = durable(fingerprints(with_id, text_col, [*names, "__id"], size))
+    carried = [f"keep_{c}" for c in names]
+    body = f"keep_{text_col}" if text_col in names else "__body"
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], F.col(id_col).alias("__id"), *([] if text_col in names else [F.col(text_col).alias("__body")]))
+    marked = durable(fingerprints(rows, body, [*carried, "__id"], size))
     nodes = durable(marked.groupBy("fingerprint").agg(F.min("__id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(nodes.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint")
     of = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     table = of.join(least, "root").select("fingerprint", "component_id", "rows")
     total = nodes.agg(F.sum("rows")).first()[0] or 0
-    return join_each(marked, table, "fingerprint", "rows", total).select(*[F.col(f"`{c}`") for c in names], "fingerprint", "component_id")
+    return join_each(marked, table, "fingerprint", "rows", total).select(*[F.col(f"`keep_{c}`").alias(c) for c in names], "fingerprint", "component_id")
 
 
 def hexadecimal(column: str = "fingerprint"):

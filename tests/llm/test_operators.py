@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from candleworks.llm import components, decontam, embeddings, langid, ordinals, packing, pii, quality, sharding, simhash, tokenout
+from candleworks.llm import components, decontam, embeddings, langid, mixing, ordinals, packing, pii, quality, sharding, shingles, simhash, tokenout
 from candleworks.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, score double, shard int, spans string"
@@ -486,3 +486,24 @@ def test_quality(spark, docs, texts, nothing):
     assert quality.score(quality.describe(nothing), model).count() == 0
     x, level = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4))
     assert level.tolist() == pytest.approx([0.1, 0.4, 0.9]) and x.tolist() == pytest.approx([1, 2.5, 4])
+
+
+CLASHING = ["__text", "__id", "__body", "__task", "__mine", "__nth", "__rank", "__email", "__order", "__key", "keep_text", "keep_doc_id", "node", "fingerprint", "copies"]
+
+
+def test_columns_of_any_name_go_through(spark):
+    rows = [(i, t, "en", "s") for i, t in enumerate(["a b c", "a b c", None, "the end of it. a@b.co", "x " * 50])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHING})
+    bench = spark.createDataFrame([(1, "the end of it")], "item_id long, text string")
+    model = langid.fit(docs)
+    made = {
+        "decontaminate": decontam.decontaminate(docs, bench), "language": langid.identify(docs, model), "pii": pii.detect(docs), "redact": pii.redact(docs), "pack": packing.pack(docs),
+        "simhash": simhash.near_duplicates(docs), "shingles": shingles.near_duplicates(docs), "shard": sharding.shard(docs, 2), "mix": mixing.plan(docs), "describe": quality.describe(docs),
+    }
+    replaced = {"simhash": {"fingerprint"}, "mix": {"copies"}}
+    for name, found in made.items():
+        rows = found.collect()
+        assert {r.doc_id for r in rows} == set(range(5)), name
+        for c in set(CLASHING) - replaced.get(name, set()):
+            assert all(r[c] == f"{c}:{r.doc_id}" for r in rows), (name, c)
