@@ -22,8 +22,9 @@ of keys add up the counts of all blocks and answer with those of the others in t
 asked, so that answers carry no keys; a block then builds the arcs that its own texts can take. Blocks lie in
 a bucketed table, so that only the answers are shuffled to them.
 
-Counts of words are exact. Hashes of n-grams have log2 of the tokens and 23 more bits:
-about one n-gram in 1e7 shares its count with another, at every size.
+Counts of words are exact. Hashes of n-grams have log2 of the tokens and 23 more bits, 61
+at most: about one n-gram in 1e7 shares its count with another up to 2 TB of text, and more
+in proportion beyond.
 """
 
 from __future__ import annotations
