@@ -163,10 +163,8 @@ def s05_round_prices(spark, sf_dir):
 
 
 def s06_tag(spark, sf_dir):
-    """Each symbol's bars tagged with a name of its own. Symbols are the few event types."""
-    bars = source.kept(hourly(spark, sf_dir))
-    names = [r.symbol for r in source.symbols(bars).collect()]
-    return rounded(source.stack([source.tag(bars.where(F.col("symbol") == s).drop("symbol"), f"{s.upper()}.X") for s in names]))
+    """Each symbol's bars tagged with a name of its own."""
+    return rounded(source.tag(hourly(spark, sf_dir), F.concat(F.upper("symbol"), F.lit(".X"))))
 
 
 def s07_flatten_names(spark, sf_dir):
@@ -246,10 +244,11 @@ def a02_symbols(spark, sf_dir):
 
 
 def u01_stack(spark, sf_dir):
-    """One frame for each symbol. Symbols are the few event types."""
+    """A frame for each letter that symbols begin with, and one for the others."""
     bars = source.kept(hourly(spark, sf_dir))
-    names = [r.symbol for r in source.symbols(bars).collect()]
-    return rounded(source.stack([bars.where(F.col("symbol") == s) for s in names]))
+    letter = F.coalesce(F.lower(F.substring("symbol", 1, 1)), F.lit(""))
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    return rounded(source.stack([*[bars.where(letter == x) for x in letters], bars.where(~letter.isin(letters))]))
 
 
 def u01_stack_all(spark, sf_dir):

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,8 +127,9 @@ def round_prices(bars: DataFrame) -> DataFrame:
     return bars.withColumns({p: round_price(F.col(p)) for p in PRICES})
 
 
-def tag(bars: DataFrame, symbol: str) -> DataFrame:
-    return bars.withColumn("symbol", F.lit(symbol))
+def tag(bars: DataFrame, symbol: str | Column) -> DataFrame:
+    """bars with a name, or an expression of one, as their symbol."""
+    return bars.withColumn("symbol", symbol if isinstance(symbol, Column) else F.lit(symbol))
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:
