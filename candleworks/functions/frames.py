@@ -56,7 +56,8 @@ def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """rows with `__rank`, 0-based in the order given, nulls first. Rows are dealt by range
     and numbered in their partition; the partitions' counts, a row for each, give what is
     before it. No task needs a whole symbol or day; ties are in no certain order. The
-    numbered rows are written, so that a number stays with its row."""
+    numbered rows are written, so that a number stays with its row. Rows are read twice, for
+    the bounds of the ranges and then for themselves: write what is dear to make."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     numbered = kept(dealt).withColumn("__range", F.shiftright("__at", 33))
     counts = numbered.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
@@ -71,32 +72,12 @@ def ordinals(bars: DataFrame, whole: bool = False) -> DataFrame:
     before a symbol is the least of its numbers. A null symbol is one of its own and comes
     first, as does a null time in its symbol. No bar is lost."""
     rows = ranked(bars, ("symbol", "Datetime"))
-    firsts = rows.groupBy(F.col("symbol").alias("__symbol")).agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"))
-    met = joined_by_symbol(rows, firsts)
+    firsts = rows.groupBy(F.col("symbol").alias("__symbol")).agg(F.min("__rank").alias("__first"))
+    met = rows.join(firsts, F.col("symbol").eqNullSafe(F.col("__symbol")))
     position = (F.col("__rank") - F.col("__first")).cast("long").alias("position")
     return met.select(*bars.columns, position, *([F.col("__rank").cast("long").alias("global_position")] if whole else []))
 
 
-#: Symbols whose small table of facts is broadcast at most.
-FEW_SYMBOLS = 100_000
-
-
-def joined_by_symbol(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """rows and the facts of their symbol, null-safe: facts has `__symbol`, once each, and
-    `__n`, its rows. A few symbols are broadcast. Of many, those with more than a
-    thousandth of all rows, at most a thousand, are; the others meet by shuffle."""
-    facts = kept(facts)
-    same = rows["symbol"].eqNullSafe(facts["__symbol"])
-    n, total = facts.agg(F.count("*"), F.sum("__n")).first()
-    if n <= FEW_SYMBOLS:
-        return rows.join(F.broadcast(facts), same)
-    hot = facts.where(F.col("__n") > total // 1000)
-    cold = facts.where(F.col("__n") <= total // 1000)
-    first = rows.join(F.broadcast(hot), rows["symbol"].eqNullSafe(hot["__symbol"]))
-    rest = rows.join(F.broadcast(hot.select("__symbol")), rows["symbol"].eqNullSafe(hot["__symbol"]), "left_anti")
-    return first.unionByName(rest.join(cold, rest["symbol"].eqNullSafe(cold["__symbol"])))
-
-
 #: Bars that a feature looks back (previous close, 14 true ranges, 100 ratios) and ahead.
 LOOK_BACK, LOOK_AHEAD = 128, 24
 

@@ -44,7 +44,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordinals(hourly(spark, sf_dir))
+    return ordinals(source.kept(hourly(spark, sf_dir)))
 
 
 def candle_query(*columns: str):
@@ -356,7 +356,7 @@ def p02_model_table(spark, sf_dir):
 
 def halo_chunks(spark, sf_dir):
     """Candle features and targets of 15-minute bars, computed in chunks with a halo."""
-    bars = ordinals(source.select_bars(source.from_ticks(ticks(spark, sf_dir), "15 minutes")))
+    bars = ordinals(source.kept(source.select_bars(source.from_ticks(ticks(spark, sf_dir), "15 minutes"))))
     apply = lambda b, keys: targets(candle_features(b, keys), keys)
     return rounded(in_chunks(bars, apply, 512).select("symbol", "position", "return_1", "atr_14", "adx_14", "high_volatility_market", "trend_slope_100", "ma_100", "rolling_higher_highs", "bullish_cross_50_100", "target_d", "target_p"))
 

@@ -84,7 +84,7 @@ def test_lines_and_pivots_meet_bars_as_arrays(spark, monkeypatch):
     assert sorted(map(str, again.collect())) == facts and len(facts) > 20
 
 
-def test_ordinals_with_nulls_ties_and_many_symbols(spark, monkeypatch):
+def test_ordinals_with_nulls_and_both_joins(spark):
     rows = [(s, t, i) for i, (s, t) in enumerate([(None, 5), (None, None), ("a", None), ("a", 3), ("a", 1), ("", 2), ("b", 9)] + [("hot", t) for t in range(50)])]
     df = spark.createDataFrame(rows, "symbol string, t int, i int").withColumn("Datetime", F.timestamp_seconds("t")).repartition(4)
     want, last, k = {}, object(), 0
@@ -92,9 +92,10 @@ def test_ordinals_with_nulls_ties_and_many_symbols(spark, monkeypatch):
     for g, (s, _, i) in enumerate(order):
         k = k + 1 if s == last else 0
         want[i], last = (k, g), s
-    for few in (100_000, 0):
-        monkeypatch.setattr(frames, "FEW_SYMBOLS", few)
+    for threshold in ("10m", "-1"):  # symbols are joined by broadcast or by shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         assert {r.i: (r.position, r.global_position) for r in frames.ordinals(df, whole=True).collect()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert frames.ordinals(df.limit(0), whole=True).count() == 0
     with pytest.raises(ValueError, match="128"):
         frames.chunks(df, 64)
