@@ -23,15 +23,15 @@ KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 ROW, STATE, LAST = 0, 1, 2
 
 
-def in_blocks(df: DataFrame, keys: tuple[str, ...], fold: Callable, schema: str, size: int = 4096, halo: int = 1024) -> DataFrame:
+def in_blocks(df: DataFrame, keys: tuple[str, ...], fold: Callable, schema: str, size: int = 4096, halo: int = 1024, closes: bool = False) -> DataFrame:
     """Rows of `schema` (the keys first) that fold(*keys) makes of each group's rows.
 
     df has the keys, `at`, `until` and `event`, and columns of its own. Rows come in order
     of (at, event). Events, 1, happen at `at`; other rows, 0, must be known from there to
     `until`. An object that fold gives has step(row) -> rows, for (at, event, the columns
     of its own); state(at) -> str, all that later steps depend on as of that position;
-    begin(state); and end() -> rows, if nothing follows. No more than a batch and its state
-    is held. Null keys are groups as well.
+    begin(state); and, with closes, end() -> rows, if nothing follows. No more than a batch
+    and its state is held. Null keys are groups as well.
     """
     own_columns = [c for c in df.columns if c not in (*keys, "at", "until", "event")]
     fields = [f.split() for f in schema.split(", ")]
@@ -51,7 +51,7 @@ def in_blocks(df: DataFrame, keys: tuple[str, ...], fold: Callable, schema: str,
                 return []
             block, nothing = key[-1], [None] * (len(names) - n_keys)
             rows = [(*key[:-1], *nothing, block, STATE, start, state.state((block + 1) * size))]
-            return rows + [(*row, block, LAST, None, None) for row in state.end()]
+            return rows + [(*row, block, LAST, None, None) for row in (state.end() if closes else [])]
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
@@ -112,6 +112,8 @@ def in_blocks(df: DataFrame, keys: tuple[str, ...], fold: Callable, schema: str,
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.union(t)
+    if not closes:
+        return rows.where(F.col("__what") == ROW).select(*names)
     last = ends.groupBy(*keys).agg(F.max("__block").alias("__block"))
     rest = rows.where(F.col("__what") == LAST)
     rest = rest.join(last, same(rest, last), "left_semi")

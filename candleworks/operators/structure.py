@@ -158,7 +158,7 @@ def anchors(pivot: DataFrame, rules: Rules = DEFAULT, size: int = BLOCK, halo: i
     size and halo give the same rows."""
     at = F.col("position")
     rows = pivot.select(*KEYS, at.alias("at"), at.alias("until"), F.lit(1).alias("event"), "price", "base")
-    return in_blocks(rows, KEYS, lambda symbol, side: Chooser(symbol, side, rules), ANCHOR_COLUMNS, size, halo)
+    return in_blocks(rows, KEYS, lambda symbol, side: Chooser(symbol, side, rules), ANCHOR_COLUMNS, size, halo, closes=True)
 
 
 def projected(p1: Column, v1: Column, p2: Column, v2: Column, at: Column) -> Column:
@@ -318,9 +318,6 @@ class Follower:
             self.active = None
         return [(*self.key, at, value, p1, v1, p2, v2)]
 
-    def end(self) -> list[tuple]:
-        return []
-
 
 def active_lines(bars: DataFrame, line: DataFrame, rules: Rules = DEFAULT, size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """One row for each bar and side that has an active line. Bars without a price are

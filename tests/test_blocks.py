@@ -54,7 +54,7 @@ def test_any_blocks_give_the_rows_of_one_fold(spark, size, halo):
             want.append((key, a, total, sum(s <= a <= e for s, e, _ in spans)))
         want.append((key, -1, total, 0))
     df = spark.createDataFrame(rows, "k string, at long, until long, event int, value long, end long").repartition(3)
-    found = folds.in_blocks(df, ("k",), Sum, "k string, at long, total long, n long", size, halo)
+    found = folds.in_blocks(df, ("k",), Sum, "k string, at long, total long, n long", size, halo, closes=True)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
 
 
