@@ -22,6 +22,12 @@ of keys add up the counts of all blocks and answer with those of the others in t
 asked, so that answers carry no keys; a block then builds the arcs that its own texts can take. Blocks lie in
 a bucketed table, so that only the answers are shuffled to them.
 
+Beyond 2**`first_bits` buckets (32 GB of text by default) blocks ask in two steps. They are
+dealt to parts, and ask the wide buckets of their part; these add up what their blocks ask,
+ask the narrow buckets with the sums, and pass the answers on. A word that every block holds
+is then asked for once by each part, not by each block, a block always asks for hundreds of
+keys in a row, and a group holds as much as a narrow bucket does, at any size.
+
 Counts of words are exact. Hashes of n-grams have log2 of the tokens and 23 more bits, 61
 at most: about one n-gram in 1e7 shares its count with another up to 2 TB of text, and more
 in proportion beyond.
@@ -41,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, carried, durable, hash_spans, mix64, share, shared_folder, slices, spans_of, utf8
+from .common import LOWER, SPACE, carried, durable, hash_spans, mix64, release, share, shared_folder, slices, spans_of, utf8
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 END, START = np.uint64(0xA3B195354A39B70D), np.uint64(0x51ED270B9F3C2A17)  # keys of the text's end and start
@@ -201,35 +207,112 @@ ASKED = "order int, bucket long, chunk long, block long, keys binary, counts bin
 ANSWERED = "order int, bucket long, chunk long, block long, counts binary, class int, n long, total long, history long"
 
 
-def answers(keys: Keys):
-    """All that is asked of one bucket to the counts of the other blocks, in the order
-    asked; and sums over the distinct keys by class of count (block is null)."""
+class Heard:
+    """What is asked of one bucket, row by row: keys as numbers of the distinct ones, and
+    the counts that come with them. Keys of pairs and triples are numbered as they rise."""
 
-    def run(table: pa.Table) -> pa.Table:
-        order = int(table.column("order")[0].as_py())
+    def __init__(self, table: pa.Table, keys: Keys):
+        self.order = int(table.column("order")[0].as_py())
         raw = table.column("keys").to_pylist()
         own = [restored(c) for c in table.column("counts").to_pylist()]
-        size = np.array([len(c) for c in own])
+        self.size = np.array([len(c) for c in own])
         own = np.concatenate(own)
         history = np.ones(len(own), dtype=bool)
-        if order == 1:
+        if self.order == 1:
             texts = pa.array([zstandard.ZstdDecompressor().decompress(r) for r in raw], pa.binary())
-            which = pc.split_pattern(texts, b" ").flatten().dictionary_encode().indices.to_numpy()
+            coded = pc.split_pattern(texts, b" ").flatten().dictionary_encode()
+            self.which, self.distinct = coded.indices.to_numpy(), coded.dictionary
         else:
-            if order == 2:
+            if self.order == 2:
                 history, own = (own & np.uint64(1)) == 0, own >> np.uint64(1)
             key = np.concatenate([keys.unpack(r) for r in raw])
             by = np.argsort(key)
             key = key[by]
-            which = np.empty(len(key), dtype=np.int32)
-            which[by] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
-            del key, by
-        total = np.bincount(which, weights=own.astype(np.float64)).astype(np.int64)
-        leads = np.zeros(len(total), dtype=bool)
-        leads[which] = history
-        cut = np.cumsum(size)
-        back = total[which] - own.astype(np.int64)
-        n = len(raw)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            self.which = np.empty(len(key), dtype=np.int32)
+            self.which[by] = np.cumsum(new, dtype=np.int32) - 1
+            self.distinct = key[new]
+            del key, by, new
+        self.own = own.astype(np.int64)
+        self.total = np.bincount(self.which, weights=self.own.astype(np.float64)).astype(np.int64)
+        self.leads = np.zeros(len(self.total), dtype=bool)  # whether the key is a history
+        self.leads[self.which] = history
+
+    def replies(self, total: np.ndarray) -> list[bytes]:
+        """For each row the total of each key without what the row itself counts."""
+        back = total[self.which] - self.own
+        cut = np.cumsum(self.size)
+        return [squeezed(back[b - s : b]) for s, b in zip(self.size, cut, strict=True)]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words in order of (hash, word), as numbers, and the hashes."""
+        by = pc.sort_indices(self.distinct).to_numpy()
+        sizes = pc.binary_length(self.distinct).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        letters = np.frombuffer(b"".join(self.distinct.to_pylist()), dtype=np.uint8)
+        hashes = hash_spans(letters, ends - sizes, ends)
+        by = by[np.argsort(hashes[by], kind="stable")]
+        return by, hashes[by]
+
+
+def gathered(near: Keys, far: Keys):
+    """The sums of what the blocks of a part ask of a wide bucket, as rows for the narrow
+    buckets in it; the part stands for the block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heard = Heard(table, near)
+        order, total = heard.order, heard.total
+        if order == 1:
+            by, hashes = heard.words()
+            bucket, total = far.bucket_of_word(hashes), total[by]
+        else:
+            # the bits of the wide bucket, which packing leaves out
+            key = heard.distinct + (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(near.bits - near.bucket_bits))
+            bucket = far.bucket(key)
+        counts = total.astype(np.uint64)
+        if order == 2:
+            counts = counts << np.uint64(1) | (~heard.leads).astype(np.uint64)
+        at = edges(bucket)
+        if order == 1:
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), heard.distinct.take(pa.array(by)))
+            packed = [zstandard.ZstdCompressor(level=3).compress(words) for words in pc.binary_join(lists, b" ").to_pylist()]
+        else:
+            packed = [far.pack(key[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        n = len(packed)
+        part = table.column("part")[0].as_py()
+        return pa.table(
+            [pa.array([order] * n, pa.int32()), pa.array(bucket[at[:-1]], pa.int64()), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int64())]
+            + [pa.array(packed, pa.binary()), pa.array([squeezed(counts[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())],
+            names=["order", "bucket", "chunk", "block", "keys", "counts"],
+        )
+
+    return run
+
+
+def passed_on(near: Keys):
+    """The answers that a part got from narrow buckets, to its blocks."""
+
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["order", "bucket", "chunk", "block", "counts"])
+        heard = Heard(table, near)
+        told = sorted(zip(answered.column("bucket").to_pylist(), answered.column("counts").to_pylist(), strict=True))
+        others = np.concatenate([restored(c) for _, c in told]).astype(np.int64)
+        total = heard.total.copy()
+        total[heard.words()[0] if heard.order == 1 else slice(None)] += others
+        return pa.table([*[table.column(c) for c in ("order", "bucket", "chunk", "block")], pa.array(heard.replies(total), pa.binary())], names=["order", "bucket", "chunk", "block", "counts"])
+
+    return run
+
+
+def answers(keys: Keys):
+    """All that is asked of one bucket to the counts of the other blocks, in the order
+    asked; and sums over the distinct keys by class of count (block is null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heard = Heard(table, keys)
+        heard.distinct = None
+        order, total, leads, n = heard.order, heard.total, heard.leads, table.num_rows
         found, of, number = np.unique(classes(total[total > 0]), return_inverse=True, return_counts=True)
         amount = np.bincount(of, weights=total[total > 0], minlength=len(found)).astype(np.int64)
         context = np.bincount(of, weights=leads[total > 0], minlength=len(found)).astype(np.int64)
@@ -241,7 +324,7 @@ def answers(keys: Keys):
             pa.array(np.full(n + m, table.column("bucket")[0].as_py(), np.int64)),
             pa.concat_arrays([table.column("chunk").combine_chunks(), none(m, long)]),
             pa.concat_arrays([table.column("block").combine_chunks(), none(m, long)]),
-            pa.array([squeezed(back[b - s : b]) for s, b in zip(size, cut, strict=True)] + [None] * m, pa.binary()),
+            pa.array(heard.replies(total) + [None] * m, pa.binary()),
             pa.concat_arrays([none(n, pa.int32()), pa.array(found.astype(np.int32))]),
             *[pa.concat_arrays([none(n, long), pa.array(x.astype(np.int64))]) for x in (number, amount, context)],
         ]
@@ -433,7 +516,7 @@ def block_of(texts: bytes, lengths: bytes) -> Block:
     return Block(np.frombuffer(raw, dtype=np.uint8), np.concatenate([[0], np.cumsum(restored(lengths).astype(np.int64))]))
 
 
-def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes: int = 3 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes: int = 3 << 20, bucket_bytes: int = 16 << 20, first_bits: int = 11) -> DataFrame:
     """docs with held_out (not `train`, a boolean column expression), n_tokens,
     n_known, train_tokens, base_score and score, log10 probabilities of the text.
 
@@ -447,7 +530,9 @@ def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes
     size, texts = docs.agg(F.sum(F.octet_length(text_col) + 1), F.count_if(train)).first()
     size = size or 1
     buckets = int(np.clip(np.ceil(np.log2(size / bucket_bytes)), 0, 24)) if size > bucket_bytes else 0
-    keys = Keys(min(61, int(size).bit_length() + 20), buckets)  # a token has 6 bytes or so
+    bits = min(61, int(size).bit_length() + 20)  # a token has 6 bytes or so
+    far, keys = Keys(bits, buckets), Keys(bits, min(buckets, first_bits))
+    steps = buckets - keys.bucket_bits  # bits of the parts; none: blocks ask narrow buckets
     blocks = blocks_of(docs, train, text_col, names, block_bytes, int(np.clip(size // max(2 * block_bytes, 2 << 20), 16, 100_000)))
 
     def ask(batches):
@@ -463,7 +548,17 @@ def score(docs: DataFrame, train, text_col: str = "text", keep=None, block_bytes
                 )
 
     asks = blocks.select("chunk", "block", "texts", "lengths", F.transform("rows", lambda r: F.struct(r["train"].alias("train"))).alias("rows")).mapInArrow(ask, ASKED)
-    found = durable(asks.repartition(len(ORDERS) << buckets, "order", "bucket").groupBy("order", "bucket").applyInArrow(answers(keys), ANSWERED))
+    answered = lambda rows: rows.repartition(min(len(ORDERS) << buckets, 200_000), "order", "bucket").groupBy("order", "bucket").applyInArrow(answers(far), ANSWERED)
+    if not steps:
+        found = durable(answered(asks))
+    else:
+        asks = durable(asks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(1 << steps))))
+        sums = durable(answered(asks.groupBy("order", "bucket", "part").applyInArrow(gathered(keys, far), ASKED)))
+        told = sums.where("block is not null").select("order", F.shiftright("bucket", steps).alias("wide"), F.col("block").alias("part"), "bucket", "counts")
+        met = asks.groupBy("order", "bucket", "part").cogroup(told.groupBy("order", "wide", "part"))
+        passed = met.applyInArrow(passed_on(keys), "order int, bucket long, chunk long, block long, counts binary")
+        found = durable(passed.unionByName(sums.where("block is null"), allowMissingColumns=True))
+        release(asks, sums)
     model = share(docs.sparkSession, smoothing(found, texts))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in made[1:4]] + [T.StructField(c, T.DoubleType()) for c in made[4:]])
 

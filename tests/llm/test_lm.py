@@ -62,14 +62,15 @@ def texts():
     return [*some, None, "", " \n\t ", some[0], some[0], some[1], "x" * 30_000, "once only", " ".join(rng.choice(words, size=6000)), "a \u00a0 b\x00c"]
 
 
-@pytest.mark.parametrize(("block", "bucket"), [(4 << 20, 16 << 20), (300, 4000), (1, 1 << 20)])
-def test_scores_are_the_plain_ones(spark, texts, block, bucket):
-    """With every block size; ids null, repeated and far apart, columns that clash."""
+@pytest.mark.parametrize(("block", "bucket", "first"), [(4 << 20, 16 << 20, 11), (300, 4000, 11), (1, 1 << 20, 11), (300, 4000, 2), (2000, 20_000, 0)])
+def test_scores_are_the_plain_ones(spark, texts, block, bucket, first):
+    """With every block size, asking in one step and in two; ids null, repeated and far
+    apart, columns that clash."""
     ids = [None if i % 7 == 0 else (i // 2) * 10**12 for i in range(len(texts))]
     rows = [(i, k, t, 0.5, 7, "old") for i, (k, t) in enumerate(zip(ids, texts, strict=True))]
     docs = spark.createDataFrame(rows, "n long, doc_id long, text string, Score double, block int, counts string").repartition(3)
     train = (F.col("n") % 5) != 2
-    found = lm.score(docs, train, block_bytes=block, bucket_bytes=bucket).collect()
+    found = lm.score(docs, train, block_bytes=block, bucket_bytes=bucket, first_bits=first).collect()
     plain = Plain([t for i, t in enumerate(texts) if i % 5 != 2])
     assert sorted(r.n for r in found) == list(range(len(texts)))
     for r in found:
