@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,51 @@ def test_keys_survive_the_wire():
             mine = values[bucket == b]
             back = keys.unpack(keys.pack(mine.copy())) | np.uint64(int(b) << (bits - buckets))
             assert (back == mine).all()
+
+
+def grouped(rows, columns, by):
+    """Tables of the rows of each group, as tasks get them."""
+    found = {}
+    for row in rows:
+        found.setdefault(tuple(row[c] for c in by), []).append(row)
+    kinds = {"order": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return {key: pa.table({c: pa.array([r[c] for r in mine], kinds.get(c, pa.int64())) for c in columns}) for key, mine in found.items()}
+
+
+def test_two_steps_answer_as_one_and_parts_bound_what_a_bucket_hears():
+    """Forty blocks that all hold the same common words: a narrow bucket hears each part once."""
+    rng = np.random.default_rng(4)
+    far, near, parts = lm.Keys(40, 5), lm.Keys(40, 2), 8
+    ask = ["order", "bucket", "chunk", "block", "keys", "counts"]
+
+    def rows_of(keys):
+        rng = np.random.default_rng(5)
+        for number in range(40):
+            texts = [" ".join(["the", "of", *rng.choice([f"w{i}" for i in range(300)], size=20)]).encode() for _ in range(3)]
+            block = lm.Block(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            for order, bucket, raw, counts in lm.asked(block, rng.random(3) < 0.7, keys):
+                yield {"order": order, "bucket": bucket, "chunk": number // 6, "block": number, "keys": raw, "counts": counts, "part": number % parts}
+
+    def told(tables):
+        by, sums = {}, {}
+        for table in tables:
+            for r in table.to_pylist():
+                if r["block"] is None:
+                    key = r["order"], r["class"]
+                    sums[key] = np.add(sums.get(key, 0), (r["n"], r["total"], r["history"]))
+                else:
+                    by.setdefault((r["order"], r["block"]), []).append((r["bucket"], r["counts"]))
+        return {k: np.concatenate([lm.restored(c) for _, c in sorted(v)]).tolist() for k, v in by.items()}, {k: v.tolist() for k, v in sums.items()}
+
+    plain, plain_sums = told([lm.answers(far)(t) for t in grouped(rows_of(far), ask, ["order", "bucket"]).values()])
+    wide = grouped(rows_of(near), [*ask, "part"], ["order", "bucket", "part"])
+    sums = [r for t in wide.values() for r in lm.gathered(near, far)(t).to_pylist()]
+    narrow = grouped(sums, ask, ["order", "bucket"])
+    assert max(t.num_rows for t in narrow.values()) <= parts
+    answered = [lm.answers(far)(t) for t in narrow.values()]
+    back = [r | {"wide": r["bucket"] >> 3} for t in answered for r in t.to_pylist() if r["block"] is not None]
+    of = grouped(back, ["bucket", "counts"], ["order", "wide", "block"])
+    shuffled = lambda t: t.take(pa.array(rng.permutation(t.num_rows)))
+    passed = [lm.passed_on(near)(shuffled(t), of[key]) for key, t in wide.items()]
+    assert told(passed)[0] == plain
+    assert told(answered)[1] == plain_sums
