@@ -6,9 +6,12 @@ order of all shingles, so every set goes to the groups of those, which are dealt
 and may spread over tasks, and pairs whose sizes and shared first shingles leave room for
 the overlap are compared exactly: two partners of each set first, then the pairs that
 these do not connect. The order puts shingles that are frequent in a sample last; it
-decides how many pairs are compared, not which are found. Groups with more than `lags`
-others within reach, or in two tasks, wait until the links of the rest are known, and then
-compare, in blocks, only sets that these do not connect.
+decides how many pairs are compared, not which are found. The sample is a share of the
+texts, so what it does not know is as rare in a large corpus as in a small one. Groups with
+more than `lags` others within reach, or in two tasks, wait until the links of the rest are
+known, and then compare, in blocks, only sets that these do not connect and that are in
+enough such groups. Whole sets travel only for pairs whose counts by bucket of the hash
+leave room for the overlap.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .components import components
 SIZE = 5
 SIMILARITY = 0.8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Least share of the texts whose shingles are counted, and the most shingles held as frequent.
+SAMPLED, FREQUENT = 1 / 32, 1 << 21
 _PAIR = "a long, b long, token long, size int, place int, room int, wide boolean"
 
 
@@ -64,6 +69,38 @@ def possible(similarity: float, size_a, place_a, size_b, place_b):
     return np.minimum(size_a - place_a, size_b - place_b) >= want
 
 
+def least_shared(similarity: float, size_a, size_b):
+    """Fewest first shingles that two sets at the similarity share: whichever's first ones
+    end earlier in the order, only the rest of it can be shared beside them."""
+    want = needed(similarity / (1 + similarity), size_a + size_b)
+    return want - np.maximum(needed(similarity, size_a), needed(similarity, size_b)) + 1
+
+
+def counts_of(values: np.ndarray) -> bytes:
+    """How many of a set fall in each bucket of the hash, a byte each: one or two on
+    average. Empty if a count is above 255."""
+    m = 8
+    while 2 * m < len(values):
+        m *= 2
+    n = np.bincount((values & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def shared_at_most(x: bytes, y: bytes) -> tuple[int, int]:
+    """From counts_of two sets: a bound of how many they share, and how many they have."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if not len(x) or not len(y):
+        return 1, 1
+    m = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, m).sum(axis=0), y.reshape(-1, m).sum(axis=0)).sum()), int(x.sum() + y.sum())
+
+
+def shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """How many elements two sets share, and how many they have."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+
+
 def _table(a, b=None, token=None, size=None, place=None, room=None, wide=None):
     def column(values, kind):
         return pa.nulls(len(a), kind) if values is None else pa.array(np.asarray(values), kind)
@@ -151,13 +188,16 @@ def _wide(rows: np.ndarray):
 
 
 def _apart(similarity: float):
-    """Candidate pairs of rows (token, i, j, block, node, size, place, root), sorted by the
-    first three, whose roots differ: within a block where i = j, else of blocks i and j."""
+    """Candidate pairs of rows (token, i, j, block, node, size, place, root, held), sorted by
+    the first three, whose roots differ: within a block where i = j, else of blocks i and j.
+    held is how many wide groups a set is in: a pair that must share more first shingles
+    than that was met in another group, or is none."""
 
     def candidates(left, right):
-        for node, size, place, root in left:
+        for node, size, place, root, held in left:
             rest = right[right[:, 3] != root]
             rest = rest[possible(similarity, size, place, rest[:, 1], rest[:, 2])]
+            rest = rest[np.minimum(held, rest[:, 4]) >= least_shared(similarity, size, rest[:, 1])]
             if len(rest):
                 yield _table(np.full(len(rest), node), rest[:, 0])
 
@@ -177,7 +217,7 @@ def _apart(similarity: float):
 
     def run(batches):
         left: list[np.ndarray] = []  # rows of one token and pair of blocks, a bounded number
-        for rows in _rows(batches, ("token", "i", "j", "block", "node", "size", "place", "root")):
+        for rows in _rows(batches, ("token", "i", "j", "block", "node", "size", "place", "root", "held")):
             edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1), [True]]))
             for a, b in zip(edge, edge[1:], strict=False):
                 if left and (left[0][0, :3] != rows[a, :3]).any():
@@ -209,17 +249,14 @@ def counted(found: DataFrame, wide: DataFrame | None, similarity: float) -> Data
     return pairs.where((F.col("shared") + later >= want) & (F.col("room") >= want)).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose exact similarity is high enough. The sets that are
-    asked for are made where the texts are, found by a bitmap of their keys."""
-    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return pairs
+def _of_ends(pairs: DataFrame, texts: DataFrame, size: int, made) -> DataFrame:
+    """(node, values) with made(set) for the sets that the pairs ask for, made where the
+    texts are, and found by a bitmap of their keys."""
     wanted = bitmap_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    shared = texts.sparkSession.sparkContext.broadcast(wanted.tobytes())
+    bitmap = texts.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
-    def sets(batches):
-        bits, seen = np.frombuffer(shared.value, dtype=np.uint8), set()
+    def run(batches):
+        bits, seen = np.frombuffer(bitmap.value, dtype=np.uint8), set()
         for batch in batches:
             nodes, values = [], []
             for s in shingle_sets(batch.column("__text"), size):
@@ -228,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                     continue
                 seen.add(node)
                 nodes.append(node)
-                values.append(s.tobytes())
+                values.append(made(s))
                 if len(nodes) == 200:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
                     nodes, values = [], []
@@ -236,21 +273,28 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
 
-    of = durable(texts.mapInArrow(sets, "node long, values binary").groupBy("node").agg(F.first("values").alias("values")))
+    return durable(texts.mapInArrow(run, "node long, values binary").groupBy("node").agg(F.first("values").alias("values")))
 
-    def compare(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= needed(similarity, len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    met = pairs.join(of.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
-    good = durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
-    release(pairs, of)
-    return good
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose exact similarity is high enough. Counts by bucket
+    are compared first; whole sets are made and sent for those alone that may be."""
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for made, overlap in ((counts_of, shared_at_most), (np.ndarray.tobytes, shared)):
+        if pairs.isEmpty():
+            break
+
+        def compare(batches, overlap=overlap):
+            for batch in batches:
+                met = (overlap(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True))
+                yield batch.select(["a", "b"]).filter(pa.array([both >= needed(similarity, n - both) for both, n in met], pa.bool_()))
+
+        of = _of_ends(pairs, texts, size, made)
+        ends = pairs.join(of.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+        good = durable(ends.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+        release(pairs, of)
+        pairs = good
+    return pairs
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -271,6 +315,36 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return more
 
 
+def frequencies(texts: DataFrame, size: int, share: float, most: int = FREQUENT) -> np.ndarray:
+    """A byte for each bucket of shingle hashes, a power of two of them: 16 times log2 of
+    the most often that one of its shingles occurs in this share of the distinct texts, 0
+    where none is held. Held are those that occur twice, and of more than `most` the most
+    frequent."""
+
+    def shingled(batches):
+        for batch in batches:
+            for s in shingle_sets(batch.column("__text"), size):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+
+    some = texts.where(F.pmod(F.xxhash64("__text"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).distinct()
+    level = F.least(F.floor(16 * F.log2("n")), F.lit(255)).cast("short").alias("level")
+    often = durable(some.mapInArrow(shingled, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", level))
+    held, least = 0, 256
+    for row in often.groupBy("level").count().orderBy(F.desc("level")).collect():  # 256 at most
+        if held + row["count"] > most:
+            break
+        held, least = held + row["count"], row["level"]
+    buckets = 1 << 15
+    while buckets < 8 * held:
+        buckets *= 2
+    at = F.col("token").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("at")
+    table = often.where(F.col("level") >= least).groupBy(at).agg(F.max("level").alias("level")).toArrow()
+    out = np.zeros(buckets, dtype=np.uint8)
+    out[table.column("at").to_numpy()] = table.column("level").to_numpy()
+    release(often)
+    return out
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep=None, size: int = SIZE, similarity: float = SIMILARITY, lags: int = 64, sample: int = 8192, block: int = 4096) -> DataFrame:
     """docs with component_id: the smallest id reachable over texts whose sets of word
     shingles have the Jaccard similarity or more, the row's own included.
@@ -293,21 +367,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     keyed = map_text(docs.select(F.col(id_col).alias("__id"), text_column(text_col)), "__text", ["__id"], node, key)
     nodes = durable(keyed.groupBy("node").agg(F.min("__id").alias("least"), F.count("*").alias("rows")))
     n_nodes, total = nodes.agg(F.count("*"), F.sum("rows")).first()
-    share = min(1.0, sample / max(1, n_nodes))
-
-    def shingled(batches):
-        for batch in batches:
-            for s in shingle_sets(batch.column("__text"), size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node_of(s))), pa.array(s.view(np.int64))], names=["node", "token"])
-
-    some = texts.where(F.pmod(F.xxhash64("__text"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).distinct()
-    often = some.mapInArrow(shingled, "node long, token long").distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
-    common = often.orderBy(F.desc("n"), "token").limit(500_000).toArrow()
-    order = np.argsort(token := common.column("token").to_numpy().view(np.uint64))
-    frequent = docs.sparkSession.sparkContext.broadcast((token[order], common.column("n").to_numpy()[order]))
+    share = min(1.0, max(SAMPLED, sample / max(1, n_nodes)))
+    frequent = texts.sparkSession.sparkContext.broadcast(frequencies(texts, size, share).tobytes())
 
     def first_ones(batches):
-        known, n = frequent.value
+        often = np.frombuffer(frequent.value, dtype=np.uint8)
         seen = set()
 
         def table(out):
@@ -321,9 +385,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 if not len(values) or who in seen:
                     continue
                 seen.add(who)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    values = values[np.argsort(np.where(known[at] == values, n[at], 0), kind="stable")]
+                values = values[np.argsort(often[(values & np.uint64(len(often) - 1)).astype(np.int64)], kind="stable")]
                 first = values[: len(values) - int(needed(similarity, len(values))) + 1]
                 out.append(np.column_stack([first.view(np.int64), np.full(len(first), who), np.full(len(first), len(values)), np.arange(len(first))]))
                 rows += len(first)
@@ -348,7 +410,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     roots = _joined(roots, more)
     release(links, more, pairs)
     if some_wide:
-        rooted = wide.join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+        held = wide.groupBy("node").agg(F.count("*").alias("held"))
+        rooted = wide.join(held, "node").join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"), "held")
         many = wide.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         cut = rooted.join(many, "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

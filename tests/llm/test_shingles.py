@@ -1,6 +1,7 @@
 """Exact near-duplicates by word shingles, and the pipeline's stage of them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -75,6 +76,49 @@ def test_template_texts_send_no_pairs_to_be_compared(spark, monkeypatch):
     assert sum(sent) == 0
 
 
+def test_a_common_passage_sends_no_pairs_to_be_compared(spark, monkeypatch):
+    """Texts that share a fifth of their words, in groups too wide to be met at once, are
+    too few first shingles short of the similarity."""
+    sent, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *a: (sent.append(pairs.count()), verified(pairs, *a))[1])
+    common = " ".join(f"c{i}" for i in range(24))
+    docs = spark.createDataFrame([(i, common + " " + " ".join(f"o{i}x{k}" for k in range(96))) for i in range(100)], "doc_id long, text string")
+    assert all(r.doc_id == r.component_id for r in shingles.near_duplicates(docs, lags=3, sample=0).collect())
+    assert sum(sent) == 0
+
+
+def test_whole_sets_travel_only_for_pairs_that_may_be(spark, monkeypatch):
+    """Pairs of unlike texts are told apart by counts of a tenth of the bytes; like ones pass."""
+    made = []
+
+    def durable(df, f=shingles.durable):
+        table = f(df)
+        if "values" in table.columns:
+            made.append(table.selectExpr("coalesce(sum(octet_length(values)), 0)").first()[0])
+        return table
+
+    monkeypatch.setattr(shingles, "durable", durable)
+    texts = [" ".join(f"t{i}w{k}" for k in range(400)) for i in range(40)]
+    texts += [texts[0].replace("t0w200", "other"), "a b c d e f " * 3]
+    nodes = [shingles.node_of(s) for s in shingles.shingle_sets(pa.array(texts))]
+    docs = spark.createDataFrame([(t,) for t in texts], "__text string")
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(nodes) for b in nodes[:i]], "a long, b long")
+    good = {(r.a, r.b) for r in shingles.verified(pairs, docs, 5, 0.8).collect()}
+    assert good == {(min(nodes[0], nodes[40]), max(nodes[0], nodes[40]))}
+    assert sum(made) < 41 * 396 * 8 / 4
+
+
+def test_counts_bound_what_sets_share():
+    rng = np.random.default_rng(6)
+    for n, m, both in [(1, 1, 1), (5, 3, 0), (300, 260, 250), (520, 500, 450), (4000, 5000, 3900), (9000, 9000, 9)]:
+        values = rng.integers(0, 1 << 63, size=n + m - both, dtype=np.uint64)
+        x, y = values[:n], values[n - both :]
+        most, total = shingles.shared_at_most(shingles.counts_of(x), shingles.counts_of(y))
+        assert total == n + m and both <= most <= min(n, m)
+        assert shingles.shared(np.sort(x).tobytes(), np.sort(y).tobytes()) == (both, n + m)
+    assert shingles.counts_of(np.full(600, 8, dtype=np.uint64)) == b""
+
+
 def test_large_groups_and_null_ids(spark, monkeypatch):
     """Groups above the bound are broadcast, the others are not; copies with and without ids."""
     monkeypatch.setattr(shingles, "placed", lambda rows, groups, total, f=shingles.placed: f(rows, groups, total, 10))
