@@ -1,10 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Texts with equal sets of shingles collapse first. Two sets at the similarity or above
+Texts with equal sets of shingles collapse first. Each set has a SimHash fingerprint, the
+bitwise majority of its shingles' hashes; the BK-tree shards of `simhash` link those at two
+or fewer differing bits, and two partners of each are compared exactly. Sets at the
+similarity may lie a dozen bits apart, so a second search follows that misses none, and
+compares only what fingerprints have not connected. Two sets at the similarity or above
 share a shingle among the first size - ceil(similarity * size) + 1 of each in any one
 order of all shingles, so every set goes to the groups of those, which are dealt by range
 and may spread over tasks, and pairs whose sizes and shared first shingles leave room for
-the overlap are compared exactly: two partners of each set first, then the pairs that
+the overlap are compared exactly, again two partners of each first, then the pairs that
 these do not connect. The order puts shingles that are frequent in a sample last; it
 decides how many pairs are compared, not which are found. The sample is a share of the
 texts, so what it does not know is as rare in a large corpus as in a small one. Groups with
@@ -19,11 +23,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, bitmap_of, durable, hash_spans, in_bitmap, map_text, mix64, release, slices, spans_of, text_column, utf8
+from . import simhash
+from .common import LOWER, SPACE, bitmap_of, durable, hash_spans, in_bitmap, join_each, map_text, mix64, release, slices, spans_of, text_column, utf8
 from .components import components
 
 SIZE = 5
@@ -190,8 +195,8 @@ def _wide(rows: np.ndarray):
 def _apart(similarity: float):
     """Candidate pairs of rows (token, i, j, block, node, size, place, root, held), sorted by
     the first three, whose roots differ: within a block where i = j, else of blocks i and j.
-    held is how many wide groups a set is in: a pair that must share more first shingles
-    than that was met in another group, or is none."""
+    held is how many wide groups a set is in from this one on: a pair that must share more
+    first shingles than that met before, in another group, or is none."""
 
     def candidates(left, right):
         for node, size, place, root, held in left:
@@ -297,6 +302,25 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return pairs
 
 
+def by_fingerprint(nodes: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of the `total` sets (node, fingerprint): sets of equal fingerprints
+    with the least of them, and those of the links that BK-tree shards find between
+    fingerprints."""
+    first = durable(nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("rows")))
+    equal = join_each(nodes.select("node", "fingerprint"), first, "fingerprint", "rows", total).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = simhash.links(first.select("fingerprint"))
+    for end in ("a", "b"):
+        pairs = pairs.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"node_{end}")), end)
+    found = durable(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).union(equal))
+    release(first)
+    return found
+
+
+def two_of_each(pairs: DataFrame) -> DataFrame:
+    """The pairs of each b with its least and its greatest a."""
+    return pairs.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+
+
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends have different roots."""
     for end in ("a", "b"):
@@ -361,12 +385,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     texts = docs.select(text_column(text_col))
 
     def key(column):
-        return [pa.array([node_of(s) for s in shingle_sets(column, size)], pa.int64())]
+        known = np.array([(node_of(s), simhash.signed(simhash.majority(s))) for s in shingle_sets(column, size)], dtype=np.int64)
+        return [pa.array(known[:, 0]), pa.array(known[:, 1])]
 
     node = [T.StructField("node", T.LongType())]
-    keyed = map_text(docs.select(F.col(id_col).alias("__id"), text_column(text_col)), "__text", ["__id"], node, key)
-    nodes = durable(keyed.groupBy("node").agg(F.min("__id").alias("least"), F.count("*").alias("rows")))
+    keyed = map_text(docs.select(F.col(id_col).alias("__id"), text_column(text_col)), "__text", ["__id"], [*node, T.StructField("fingerprint", T.LongType())], key)
+    nodes = durable(keyed.groupBy("node").agg(F.min("__id").alias("least"), F.count("*").alias("rows"), F.first("fingerprint").alias("fingerprint")))
     n_nodes, total = nodes.agg(F.count("*"), F.sum("rows")).first()
+    near = by_fingerprint(nodes, n_nodes)
+    links = verified(two_of_each(near), texts, size, similarity)
+    roots = _joined(None, links)
+    release(near, links)
     share = min(1.0, max(SAMPLED, sample / max(1, n_nodes)))
     frequent = texts.sparkSession.sparkContext.broadcast(frequencies(texts, size, share).tobytes())
 
@@ -403,15 +432,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     some_wide = not wide.isEmpty()
     pairs = durable(counted(found, wide if some_wide else None, similarity))
     # two partners of each first; what their links connect need not be compared
-    few = pairs.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
-    links = verified(few, texts, size, similarity)
-    roots = _joined(None, links)
+    links = verified(two_of_each(_between(pairs, roots)), texts, size, similarity)
+    roots = _joined(roots, links)
     more = verified(_between(pairs, roots), texts, size, similarity)
     roots = _joined(roots, more)
     release(links, more, pairs)
     if some_wide:
-        held = wide.groupBy("node").agg(F.count("*").alias("held"))
-        rooted = wide.join(held, "node").join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"), "held")
+        held = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place")))
+        rooted = wide.withColumn("held", held).join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"), "held")
         many = wide.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         cut = rooted.join(many, "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

@@ -38,6 +38,11 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     stops = ends[size - 1 :].tolist()
     h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops, strict=False)], dtype=np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the unsigned 64-bit hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

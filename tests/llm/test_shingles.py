@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from candleworks.llm import shingles
+from candleworks.llm import shingles, simhash
 from tests.llm.test_operators import union_find
 
 
@@ -119,6 +119,24 @@ def test_counts_bound_what_sets_share():
     assert shingles.counts_of(np.full(600, 8, dtype=np.uint64)) == b""
 
 
+def test_fingerprints_in_bk_trees_link_first(spark, monkeypatch):
+    """One changed word in 600 leaves a fingerprint within two bits: the BK-tree shards give
+    the pair, and the search by shingles has nothing left to compare."""
+    sent, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *a: (sent.append(pairs.count()), verified(pairs, *a))[1])
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{i}" for i in range(600)]
+        pair = [" ".join(words), " ".join([*words[:-1], "changed"])]
+        prints = [simhash.majority(s) for s in shingles.shingle_sets(pa.array(pair))]
+        if (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS:
+            rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+    assert len(rows) >= 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in shingles.near_duplicates(docs).collect())
+    assert sent[0] == len(rows) // 2 and sum(sent[1:]) == 0
+
+
 def test_large_groups_and_null_ids(spark, monkeypatch):
     """Groups above the bound are broadcast, the others are not; copies with and without ids."""
     monkeypatch.setattr(shingles, "placed", lambda rows, groups, total, f=shingles.placed: f(rows, groups, total, 10))
